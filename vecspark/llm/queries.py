@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import quality, secrets
+from vecspark.llm import packing, quality, secrets, tokenfiles
 from vecspark.llm.common import table
+from vecspark.runtime import shared_dir
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +20,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op6_quality_rules": op6_quality_rules}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, end_id=2)
+    return tokenfiles.read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
 ORACLE = {"op6_quality_rules": quality.sql()}
