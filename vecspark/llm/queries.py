@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import packing, quality, secrets, tokenfiles
+from vecspark.llm import packing, quality, secrets, sharding, tokenfiles
 from vecspark.llm.common import table
 from vecspark.runtime import shared_dir
 
@@ -30,5 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
+def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return sharded.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
 ORACLE = {"op6_quality_rules": quality.sql()}
