@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import packing, quality, secrets, sharding, simhash, tokenfiles
+from vecspark.llm import decontaminate, packing, quality, secrets, sharding, simhash, tokenfiles
 from vecspark.llm.common import table
 from vecspark.runtime import shared_dir
 
@@ -39,5 +39,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
-ORACLE = {"op6_quality_rules": quality.sql()}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
+ORACLE = {"op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql()}
