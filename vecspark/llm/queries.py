@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import decontaminate, packing, quality, secrets, sharding, simhash, tokenfiles
+from vecspark.llm import decontaminate, packing, quality, secrets, sharding, simhash, substrings, tokenfiles
 from vecspark.llm.common import table
 from vecspark.runtime import shared_dir
 
@@ -43,5 +43,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
-ORACLE = {"op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql()}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
+ORACLE = {"op7_substring_dedup": substrings.sql(), "op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql()}
