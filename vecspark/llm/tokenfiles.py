@@ -1,7 +1,7 @@
 """Token ids as Arrow files: fixed-size-list batches with random access, no copy.
 
 Layout of a folder: for each shard ``ids-NNNNNN.arrow`` (Arrow IPC file; columns ``ids`` fixed_size_list<uint32>[length]
-and ``mask`` fixed_size_list<bool>[length]; every batch but the last has ``BATCH`` sequences, so sequence i is row
+(uint16 where the vocabulary fits) and ``mask`` fixed_size_list<bool>[length]; every batch but the last has ``BATCH`` sequences, so sequence i is row
 i % BATCH of batch i // BATCH) and ``docs-NNNNNN.arrow`` (doc_id, start in the shard, n_tokens). The ids of a shard's
 documents follow each other without gaps; only a shard's last sequence is padded, under mask false. ``manifest.arrow``
 has, for each shard in order, the ids and sequences before it.
@@ -34,15 +34,15 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def _schema(length: int, ids: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
-def _sequences(ids: bytes, length: int, schema: pa.Schema) -> pa.RecordBatch:
+def _sequences(ids: np.ndarray, length: int, schema: pa.Schema) -> pa.RecordBatch:
     """A batch of the ids; the last sequence is padded with zeros that the mask marks."""
-    n = len(ids) // 4
+    n = len(ids)
     room = -(-n // length) * length
-    flat = pa.Array.from_buffers(pa.uint32(), room, [None, pa.py_buffer(ids + bytes(4 * (room - n)))])
+    flat = pa.array(np.concatenate([ids, np.zeros(room - n, ids.dtype)]) if room > n else ids)
     mask = pa.Array.from_buffers(pa.bool_(), room, [None, pa.py_buffer(np.packbits(np.arange(room) < n, bitorder="little").tobytes())])
     return pa.record_batch([pa.FixedSizeListArray.from_arrays(flat, length), pa.FixedSizeListArray.from_arrays(mask, length)], schema=schema)
 
@@ -50,9 +50,10 @@ def _sequences(ids: bytes, length: int, schema: pa.Schema) -> pa.RecordBatch:
 class ShardWriter:
     """One shard's two files; close() gives them their names."""
 
-    def __init__(self, folder: str, shard: int, attempt: int, length: int = LENGTH):
+    def __init__(self, folder: str, shard: int, attempt: int, length: int = LENGTH, small: bool = False):
         self.fs, self.folder = _place(folder)
-        self.shard, self.length, self.schema = shard, length, _schema(length)
+        self.kind = np.uint16 if small else np.uint32
+        self.shard, self.length, self.schema = shard, length, _schema(length, pa.from_numpy_dtype(self.kind))
         self.parts = {k: (f"{self.folder}/_{k}-{shard:06d}.{attempt}", f"{self.folder}/{k}-{shard:06d}.arrow") for k in ("ids", "docs")}
         self.out = {k: self.fs.open_output_stream(a) for k, (a, _) in self.parts.items()}
         self.ids = pa.ipc.new_file(self.out["ids"], self.schema)
@@ -66,11 +67,14 @@ class ShardWriter:
         self.held += ids
         full = 4 * self.length * BATCH
         while len(self.held) >= full:
-            self.ids.write_batch(_sequences(bytes(self.held[:full]), self.length, self.schema))
+            self._write(self.held[:full])
             del self.held[:full]
         if len(self.index) >= 10_000:
             self._write_index()
 
+    def _write(self, ids: bytes) -> None:
+        self.ids.write_batch(_sequences(np.frombuffer(ids, "<u4").astype(self.kind), self.length, self.schema))
+
     def _write_index(self) -> None:
         if self.index:
             self.docs.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*self.index)], schema=INDEX))
@@ -78,7 +82,7 @@ class ShardWriter:
 
     def close(self) -> None:
         if self.held:
-            self.ids.write_batch(_sequences(bytes(self.held), self.length, self.schema))
+            self._write(self.held)
         self._write_index()
         for w in (self.ids, self.docs, *self.out.values()):
             w.close()
@@ -99,7 +103,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
         task, writer, code = TaskContext.get(), None, coder(path)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length)
+                writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length, max(code.size, end_id or 0) < 1 << 16)
                 writer.add(doc_id, code.ids(text) + end)
         if writer:
             writer.close()
@@ -155,7 +159,7 @@ class Shard:
         while n > 0:
             flat = self._batch(start // size).column(0).values.to_numpy(zero_copy_only=True)
             part = flat[start % size : start % size + n]
-            out.append(part.tobytes())
+            out.append(part.astype("<u4").tobytes())
             start, n = start + len(part), n - len(part)
         return b"".join(out)
 

@@ -12,8 +12,8 @@ import re
 import numpy as np
 
 PUBLIC = "byte_bpe_50k.json"
-#: Remembered pieces of a worker; when as many are there, it starts anew. Bounds memory, not results.
-REMEMBERED = 500_000
+#: Remembered pieces of a worker, of each of two generations: when the younger is full, the elder goes. Bounds memory, not results.
+REMEMBERED = 400_000
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([^\w\s]*)")
 _RUN = re.compile(r"\s\s")
 
@@ -35,18 +35,19 @@ class _Pieces(dict):
 
     def __init__(self, coder: Coder, lead: str):
         super().__init__({"": coder.whole(lead) if lead else b""})
-        self.coder, self.lead = coder, lead
+        self.coder, self.lead, self.elder = coder, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
         c = self.coder
-        if (m := _LETTERS.fullmatch(piece)) and c.plain:
+        if (ids := self.elder.get(piece)) is not None:
+            pass
+        elif (m := _LETTERS.fullmatch(piece)) and c.plain:
             ids = self[m[1]] + c.marks[m[2]] if m[2] else c.pre_token(self.lead + piece)
         else:
             ids = c.whole(self.lead + piece)
         if len(self) >= REMEMBERED:
-            kept = self[""]
+            self.elder = dict(self)
             self.clear()
-            self[""] = kept
         self[piece] = ids
         return ids
 
@@ -69,6 +70,7 @@ class Coder:
         self.model = self.tokenizer.model
         # by pieces only where the file says what the docstring relies on
         self.plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space and type(self.model).__name__ == "BPE"
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = {b: c for b, c in _byte_chars().items()}
         self.marks = _Marks(self)
