@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import decontaminate, packing, quality, secrets, sharding, simhash, substrings, suffixtree, tokenfiles
+from vecspark.llm import decontaminate, licenses, packing, quality, secrets, sharding, simhash, substrings, suffixtree, tokenfiles
 from vecspark.llm.common import table
 from vecspark.runtime import shared_dir
 
@@ -51,5 +51,9 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_suffix_tree": op9_suffix_tree, "op7_substring_dedup": op7_substring_dedup, "op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "op9_suffix_tree": op9_suffix_tree, "op7_substring_dedup": op7_substring_dedup, "op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
 ORACLE = {"op7_substring_dedup": substrings.sql(), "op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql()}
