@@ -69,15 +69,14 @@ def _repeated(w: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Adds the measures to doc_id and text."""
-    d = texts(docs)
-    d = d.select("*", words(F.col("text")).alias("w"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_SPACE)).alias("l"))
-    t, w, l = F.col("text"), F.col("w"), F.col("l")
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE))
+
+
+def _measures(t: Column, w: Column, l: Column) -> list[Column]:
+    """Of a text without null, its words and its lines that have some."""
     count = lambda f: F.size(F.filter(w, f)).cast("long")
-    return d.select(
-        "doc_id",
-        "text",
+    return [
         F.size(w).cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -87,7 +86,13 @@ def measure(docs: DataFrame) -> DataFrame:
         count(lambda x: F.lower(x).isin(STOP_WORDS)).alias("n_stop_words"),
         count(lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*$")).alias("n_caps_words"),
         F.size(F.filter(F.transform(w, lambda x, i: x == F.get(w, i - 1)), lambda x: x)).cast("long").alias("n_echo_words"),
-    )
+    ]
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """Adds the measures to doc_id and text."""
+    d = texts(docs).select("*", words(F.col("text")).alias("w"), _lines(F.col("text")).alias("l"))
+    return d.select("doc_id", "text", *_measures(F.col("text"), F.col("w"), F.col("l")))
 
 
 def any_of(rules, m=F.col) -> Column:
@@ -100,6 +105,13 @@ def quality_rules(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
     return measure(docs).select("*", any_of(base).alias("base_failed"), failed.alias("failed_rules"), (~any_of((*base, *rules))).alias("kept"))
 
 
+def keep(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
+    """The rows that no rule rejects, with all their columns. One condition, in which each measure is taken once."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    seen = F.struct(words(t).alias("w"), _lines(t).alias("l"))
+    return docs.where(let(seen, lambda s: let(F.struct(*_measures(t, s["w"], s["l"])), lambda m: ~any_of((*base, *rules), lambda n: m[n]))))
+
+
 def sql(rules=RULES, base=BASE) -> str:
     """The same for DuckDB, over documents."""
 

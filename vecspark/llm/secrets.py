@@ -109,12 +109,26 @@ def _entropy_spans(text: Column, c: CharClass) -> Column:
     return F.when(text.rlike(c.run), spans).otherwise(F.array().cast(NO_SPANS))
 
 
+def _spans(text: Column, classes) -> tuple[Column, Column]:
+    base = F.array_sort(F.concat(*(_base_spans(text, i) for i in range(len(BASE)))))
+    return base, F.array_distinct(F.concat(*(_entropy_spans(text, c) for c in classes)))
+
+
+def _all(base: Column, more: Column) -> Column:
+    return F.when(F.size(more) > 0, F.array_sort(F.concat(base, more))).otherwise(base)
+
+
+def spans(text: Column, classes=CLASSES) -> Column:
+    """All spans of a text, in order."""
+    base, more = _spans(text, classes)
+    return let(F.struct(base.alias("base"), more.alias("more")), lambda s: _all(s["base"], s["more"]))
+
+
 def scan(docs: DataFrame, classes=CLASSES) -> DataFrame:
     """doc_id, text, base (its spans) and spans (base and entropy): arrays of start, rank of the kind, end and kind, in order."""
-    d = texts(docs)
-    t = F.col("text")
-    base = d.select("doc_id", "text", F.array_sort(F.concat(*(_base_spans(t, i) for i in range(len(BASE))))).alias("base"), F.array_distinct(F.concat(*(_entropy_spans(t, c) for c in classes))).alias("more"))
-    return base.select("doc_id", "text", "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")).alias("spans"))
+    base, more = _spans(F.col("text"), classes)
+    d = texts(docs).select("doc_id", "text", base.alias("base"), more.alias("more"))
+    return d.select("doc_id", "text", "base", _all(F.col("base"), F.col("more")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
