@@ -1,6 +1,8 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from vecspark.plans import knn_queries, metric_queries
+from vecspark.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "knn_queries", "metric_queries"]
