@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecspark.plans import knn_queries, metric_queries
+from vecspark.plans import cluster_queries, knn_queries, metric_queries, pq_queries
 from vecspark.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "knn_queries", "metric_queries"]
+__all__ = ["ORACLE", "QUERIES", "cluster_queries", "knn_queries", "metric_queries", "pq_queries"]
