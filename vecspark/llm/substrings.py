@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from vecspark.llm.common import texts
 from vecspark.llm.fmindex import FMIndex, repeated_stretches
-from vecspark.runtime import stored
+from vecspark.runtime import forget, release, stored
 
 WINDOW, GRAM, SHARD = 35, 8, 500_000
 #: An anchor is hot from this many occurrences on, and from a thousandth of all.
 HOT, HOT_SHARE = 2_000, 1_000
-#: Documents with repeated anchors, or with words to remove, are broadcast up to so many; above, they meet by a shuffle.
-BROADCAST_DOCS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -251,12 +249,10 @@ def _search(cuts: DataFrame, window: int, shard: int) -> DataFrame:
     return rows.mapInArrow(search, "anchor long, seg_key long, spans array<int>")
 
 
-def _near(small: DataFrame, big: DataFrame, how: str) -> DataFrame:
-    """big joined to small (stored) by document, by broadcast if small is below the bound."""
-    if small.count() <= BROADCAST_DOCS:
-        small = F.broadcast(small)
-    on = big["doc_id"].eqNullSafe(small["s_doc"]) & (big["th"] == small["s_th"])
-    return big.join(small, on, how).drop("s_doc", "s_th")
+def _of(small: DataFrame, docs: DataFrame, how: str) -> DataFrame:
+    """docs joined to small by document, by a shuffle at every size."""
+    on = docs["doc_id"].eqNullSafe(small["s_doc"]) & (docs["th"] == small["s_th"])
+    return docs.join(small, on, how).drop("s_doc", "s_th")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -268,21 +264,23 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     hot_anchors = [r.anchor for r in many.where(F.col("count") > most).select("anchor").collect()]  # fewer than HOT_SHARE
     theirs = table.join(many.select("anchor"), "anchor").groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("anchor", "s", "n")).alias("segs"))
     theirs = stored(theirs, "repeated-segments")
-    hit = _near(theirs.select("s_doc", "s_th"), _known(docs), "left_semi")
-    if theirs.count() <= BROADCAST_DOCS // 10:
-        theirs = F.broadcast(theirs)
-    hit = hit.join(theirs, hit["doc_id"].eqNullSafe(theirs["s_doc"]) & (hit["th"] == theirs["s_th"]))
-    cuts = stored(_cut(hit, hot_anchors, window, gram), "segments")
+    release(docs.sparkSession)
+    forget(table, many)
+    cuts = stored(_cut(_of(theirs, _known(docs), "inner"), hot_anchors, window, gram), "segments")
+    release(docs.sparkSession)
+    forget(theirs)
     found = _search(cuts, window, shard)
     placed = cuts.select("anchor", "seg_key", "at").join(found, ["anchor", "seg_key"]).select(F.explode("at").alias("p"), "spans")
     moved = placed.select(F.col("p.doc_id").alias("s_doc"), F.col("p.th").alias("s_th"), F.transform("spans", lambda x: x + F.col("p.s")).alias("spans"))
-    return moved.groupBy("s_doc", "s_th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = stored(moved.groupBy("s_doc", "s_th").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeated-words")
+    release(docs.sparkSession)
+    forget(cuts)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces)."""
-    spans = stored(repeated(docs, window, gram, shard, hot), "repeated-words")
-    joined = _near(spans, _known(docs), "left").select("doc_id", "text", "spans")
+    joined = _of(repeated(docs, window, gram, shard, hot), _known(docs), "left").select("doc_id", "text", "spans")
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
