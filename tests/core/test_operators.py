@@ -216,3 +216,34 @@ def test_trained_codes_find_neighbours(spark, points):
     q = vec(points.where("id % 24 = 0"))
     found = pq.nearest_by_codes(q, pq.encode(points, book), book, 20)
     assert knn.recall(pq.rerank(q, points, found, 5), knn.nearest(q, points, 5), 5).first()[0] >= 95
+
+
+def test_stateful_gather(spark, tmp_path):
+    now = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, 2, [5, 6], [0.5, 0.9], now), (1, 1, 2, [7, 5], [0.1, 0.5], now), (2, 0, 2, [1], [1.0], now)]
+    spark.createDataFrame(rows, S.PARTS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = S.gather_stream(spark.readStream.schema(S.PARTS).parquet(f"{tmp_path}/in"), 2)
+        s.writeStream.format("memory").queryName("gathered").outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert [(r.qid, r["rank"], r.id, r.dist) for r in spark.sql("select * from gathered order by rank").collect()] == [(1, 1, 7, 0.1), (1, 2, 5, 0.5)]
+
+
+def test_counters_and_waiting(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t0), (2, t0)], "qid long, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/q")
+    spark.createDataFrame([(1, [1.0], t0 + dt.timedelta(minutes=1)), (2, [2.0], t0 + dt.timedelta(hours=5))], S.VECTORS).coalesce(1).write.parquet(f"{tmp_path}/v")
+    counters = S.Counters()
+    spark.streams.addListener(counters)
+    try:
+        q = spark.readStream.schema("qid long, at timestamp").parquet(f"{tmp_path}/q")
+        v = spark.readStream.schema(S.VECTORS).parquet(f"{tmp_path}/v")
+        S.waiting(q, v).writeStream.format("memory").queryName("met").outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(counters)
+    assert [(r.qid, r.vec) for r in spark.sql("select * from met").collect()] == [(1, [1.0])]
+    assert counters.frame(spark).agg(F.sum("rows")).first()[0] >= 4

@@ -215,3 +215,30 @@ def occlusion_factors(spark, sf):
     return d.select(F.col("qid").alias("id"), F.col("id").alias("n"), F.round(prep.occlusion(F.lit(1.0), F.col("dist")), 6).alias("factor"))
 
 
+
+
+_DUR = "select user_id, event_type as type, min(epoch_us(ts)) as b, max(epoch_us(ts)) as e from events group by all"
+
+
+@query(f"with d as ({_DUR}) select type, count(*) as n, round(avg((e - b) / 1000.0), 3) as mean_us, round(median((e - b) / 1000.0), 3) as median_us, round(max((e - b) / 1000.0), 3) as max_us, round(stddev_samp((e - b) / 1000.0), 3) as std_us from d group by type")
+def event_duration_stats(spark, sf):
+    """Durations from an event log, by type: each user's first and last event of a type as its two ends."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("type"), F.expr(_MICROS).cast("long").alias("us")).groupBy("user_id", "type").agg(F.min("us").alias("b"), F.max("us").alias("e"))
+    ends = e.select("user_id", "type", F.explode(F.array(F.struct(F.lit("BEGIN_HANDLER").alias("a"), F.col("b").alias("us")), F.struct(F.lit("END_HANDLER").alias("a"), F.col("e").alias("us")))).alias("x"))
+    path = _file(spark, "ends")
+    ends.select(F.format_string("[%d] [%d] [%s]:%s", "x.us", "user_id", "type", "x.a").alias("value")).write.text(path)
+    stats = logs.duration_statistics(logs.event_durations(logs.events(spark, path)))
+    return rounded(stats.select("type", "n", "mean_us", "median_us", "max_us", "std_us"), "mean_us", "median_us", "max_us", "std_us", digits=3)
+
+
+@query("select count(distinct id) as n from (select vec_id as id, label from embeddings union all select vec_id, (label + 1) % 10 from embeddings where vec_id % 3 = 0)")
+def distinct_overlap_points(spark, sf):
+    """Points over overlapping partitions, each once."""
+    v = vectors(spark, sf)
+    both = v.select("id", "label").unionByName(v.where("id % 3 = 0").select("id", ((F.col("label") + 1) % 10).alias("label")))
+    return both.agg(F.countDistinct("id").alias("n"))
+
+
+@query(f"with {SQL_VECTORS} select qid, (qid % 7)::int as partition_id from q")
+def round_robin_routing(spark, sf):
+    return queries_of(vectors(spark, sf)).select("qid", F.pmod("qid", F.lit(7)).cast("int").alias("partition_id"))

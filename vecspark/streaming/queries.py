@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 VECTORS = "qid long, vec array<double>, sent timestamp"
 PARTS = "qid long, part int, parts int, ids array<long>, dists array<double>, at timestamp"
@@ -111,3 +111,26 @@ def waiting(queries: DataFrame, vectors: DataFrame, delay: str = "10 minutes") -
 def counter_windows(events: DataFrame, ts: str = "ts", width: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
     """Counts and sums of samples in tumbling windows, once each is past the delay."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, width), "counter").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+class Counters(StreamingQueryListener):
+    """A sample of every stream's state after each batch, as rows of (stream, batch, rows, rows a second, milliseconds)."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, int, float, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "stream string, batch long, rows long, rows_per_second double, milliseconds long")
