@@ -247,3 +247,24 @@ def test_counters_and_waiting(spark, tmp_path):
         spark.streams.removeListener(counters)
     assert [(r.qid, r.vec) for r in spark.sql("select * from met").collect()] == [(1, [1.0])]
     assert counters.frame(spark).agg(F.sum("rows")).first()[0] >= 4
+
+
+def test_floor_percentiles_by_brackets(spark):
+    rng = np.random.default_rng(5)
+    groups = {"many": rng.normal(size=3000), "tied": np.concatenate([np.full(900, 7.0), rng.normal(size=300)]), "one": np.array([3.0]), "few": np.array([2.0, 1.0])}
+    d = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("few", None)], "g string, v double").repartition(4)
+    shares = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.999}
+    got = {r.g: r for r in metrics.floor_percentile(d, "v", shares, ["g"]).collect()}
+    for g, x in groups.items():
+        assert all(got[g][k] == sorted(x)[min(int(p * len(x)), len(x) - 1)] for k, p in shares.items()), g
+    whole = sorted(v for x in groups.values() for v in x)
+    assert metrics.floor_percentile(d, "v", {"m": 0.5}).first().m == whole[len(whole) // 2]
+
+
+def test_prefix_sums_over_a_whole_table(spark):
+    d = spark.createDataFrame([(i * 3 - 50, i % 5) for i in range(500)], "id long, w long").repartition(4)
+    for exclusive in (False, True):
+        got = [r.prefix for r in metrics.prefix_weights(d, "w", exclusive=exclusive, buckets=16).orderBy("id").collect()]
+        want = np.cumsum([i % 5 for i in range(500)])
+        assert got == list(want - [i % 5 for i in range(500)] if exclusive else want)
+    assert metrics.prefix_weights(d.limit(0), "w").count() == 0

@@ -14,18 +14,35 @@ def mean(column: str) -> Column:
 
 
 def floor_percentile(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """sorted[floor(share * n)] for each name, without interpolation. One sort by group; no group is collected."""
+    """sorted[floor(share * n)] for each name, without interpolation.
+
+    Exact, and no task sorts a whole group: approximate quantiles cut each group into some hundred brackets, exact counts
+    of the brackets say which one holds the wanted place, and only its rows are ranked. A bracket of one value needs no
+    ranking, so a value that a third of the rows have is no burden."""
     by = by or []
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    r = df.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(w.orderBy(column)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return r.groupBy(*by).agg(*(F.max(F.when(F.col("_r") == F.least(F.floor(F.lit(p) * F.col("_n")) + 1, F.col("_n")), F.col(column))).alias(name) for name, p in shares.items()))
+    d = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    cuts = F.percentile_approx("_v", F.array(*(F.lit(i / 256) for i in range(1, 256))), F.lit(10_000)).alias("_cuts")
+    bounds = d.groupBy(*by).agg(cuts, F.count("*").alias("_n"))
+    rows = d.join(bounds, by) if by else d.join(F.broadcast(bounds))
+    rows = rows.select(*by, "_v", "_n", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
+    count = rows.groupBy(*by, "_b", "_n").agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # some hundred rows a group
+    before = F.sum("_c").over(w.orderBy("_b")) - F.col("_c")
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in shares.items())))
+    place = F.least(F.floor(F.col("_s.p") * F.col("_n")) + 1, F.col("_n")) - F.col("_before")
+    at = count.withColumn("_before", before).select(*by, "_b", "_c", "_low", "_high", "_n", "_before", wanted.alias("_s")).withColumn("_k", place).where("_k between 1 and _c")
+    plain = at.where("_low = _high").select(*by, F.col("_s.name").alias("_name"), F.col("_low").alias("_v"))
+    mixed = at.where("_low < _high").select(*by, "_b", F.col("_s.name").alias("_name"), "_k")
+    r = rows.drop("_n").join(mixed, [*by, "_b"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_name").orderBy("_v")))
+    found = plain.unionByName(r.where("_r = _k").select(*by, "_name", "_v"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in shares))
 
 
 def latency_summary(df: DataFrame, column: str = "latency_us", by: list[str] | None = None) -> DataFrame:
     """Mean, p50, p99 and p999, each under its own name."""
     p = floor_percentile(df, column, {"p50": 0.5, "p99": 0.99, "p999": 0.999}, by)
     m = df.groupBy(*(by or [])).agg(F.avg(column).alias("mean"))
-    return p.join(m, by) if by else p.crossJoin(F.broadcast(m))
+    return p.join(m, by) if by else p.join(F.broadcast(m))
 
 
 def qps(df: DataFrame, send: str, receive: str, by: list[str] | None = None, per_second: float = 1e9) -> DataFrame:
@@ -79,17 +96,31 @@ def rebase(df: DataFrame, ts: str, by: list[str], warmup_s: float = 30.0) -> Dat
     return t.withColumn("seconds", F.col("seconds") - F.min("seconds").over(w))
 
 
-def prefix_weights(df: DataFrame, weight: str, by: list[str] | None = None, order: str = "id", exclusive: bool = False) -> DataFrame:
-    """Running sums in id order: adjacency offsets (exclusive) or the scale for a dart (inclusive)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    return df.withColumn("prefix", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+def prefix_weights(df: DataFrame, weight: str, by: list[str] | None = None, order: str = "id", exclusive: bool = False, buckets: int = 1024) -> DataFrame:
+    """Running sums in the order of an integer column: adjacency offsets (exclusive) or the scale for a dart (inclusive).
+
+    Over a whole table the order is cut into ranges, whose sums (one row each) come first: no task sums all rows."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        return df.withColumn("prefix", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.withColumn("prefix", F.lit(0).cast("long"))
+    width = max(1, -(-(high - low + 1) // buckets))
+    d = df.withColumn("_b", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
+    total, before = 0, {}
+    for b, s in sorted((r[0], r[1] or 0) for r in d.groupBy("_b").agg(F.sum(weight)).collect()):
+        before[b] = total
+        total += s
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_b"))
+    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    return d.withColumn("prefix", F.coalesce(F.sum(weight).over(w), F.lit(0)) + offset).drop("_b")
 
 
 def dart(df: DataFrame, weight: str, share: float, order: str = "id") -> DataFrame:
     """The first row whose running weight reaches the share of the total."""
-    p = prefix_weights(df, weight, order=order)
-    total = p.withColumn("_total", F.max("prefix").over(Window.partitionBy(F.lit(0))))
-    return total.where(F.col("prefix") >= F.col("_total") * share).orderBy(order).limit(1).drop("_total")
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return prefix_weights(df, weight, order=order).where(F.col("prefix") >= F.lit(total * share)).orderBy(order).limit(1)
 
 
 def degree_stats(graph: DataFrame) -> DataFrame:
@@ -154,11 +185,11 @@ def queue_depths(pending: DataFrame, peer: str = "peer") -> DataFrame:
 
 
 def trimmed_latency(df: DataFrame, column: str, order: str, drop_share: float = 0.1) -> DataFrame:
-    """Mean, median (sorted[n / 2]) and p95 without the first share of the queries in the order they were sent."""
-    w = Window.partitionBy(F.lit(0))
-    kept = df.withColumns({"_r": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)}).where(F.col("_r") > F.floor(F.col("_n") * drop_share))
+    """Mean, median (sorted[n / 2]) and p95 without the first share of the queries in the order they were sent (a column without ties)."""
+    first = floor_percentile(df, order, {"_from": drop_share})
+    kept = df.join(F.broadcast(first)).where(F.col(order) >= F.col("_from"))
     p = floor_percentile(kept, column, {"median": 0.5, "p95": 0.95})
-    return p.crossJoin(F.broadcast(kept.agg(F.avg(column).alias("mean"))))
+    return p.join(F.broadcast(kept.agg(F.avg(column).alias("mean"))))
 
 
 def run_table(df: DataFrame, by: list[str]) -> DataFrame:
