@@ -192,7 +192,7 @@ def stream_counter_windows(spark, sf):
     w.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(600)
     last = e.agg(F.max("ts")).select(F.expr("unix_micros(`max(ts)`) div 86400000000 * 86400000000 - 86400000000").alias("x")).first()[0]
     us = F.expr("unix_micros(window.start)")
-    day = F.date_format(F.timestamp_micros(us).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    day = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")).cast("string"), F.lit(" 00:00:00"))  # in no session's zone
     return spark.table(name).where(us < last).select(day.alias("day"), "counter", "n", F.round("total", 4).alias("total"))
 
 
