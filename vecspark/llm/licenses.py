@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import NEAR, texts
+from vecspark.llm.common import NEAR, lean, texts
 
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|creative commons|\bcc[ -]?(by|0)|permission (is|to)|redistribut|warrant(y|ies)|\bgpl|free software"
 WORD = re.compile(r"[^\W_]+(?:[-.+][^\W_]+)*")
@@ -155,4 +155,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return texts(docs).where(F.col("text").rlike(CUE)).mapInArrow(find, FOUND)
+    return texts(docs).where(F.col("text").rlike(CUE)).mapInArrow(lean(find), FOUND)

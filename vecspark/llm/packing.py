@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vecspark.llm.common import texts
+from vecspark.llm.common import lean, texts
 from vecspark.llm.tokens import coder, public_path
 
 CAPACITY, GROUP = 2048, 1024
@@ -164,5 +164,6 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int | None = 1, capac
                     yield from packer.taken()
         packer.pack()
         yield from packer.taken()
+        code.rest()
 
-    return texts(docs).mapInArrow(packed, PIECES)
+    return texts(docs).mapInArrow(lean(packed), PIECES)

@@ -55,5 +55,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op9_suffix_tree": op9_suffix_tree, "op7_substring_dedup": op7_substring_dedup, "op1_decontamination": op1_decontamination, "op10_simhash": op10_simhash, "op8_histogram_shards": op8_histogram_shards, "op2_secret_scan": op2_secret_scan, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules}
-ORACLE = {"op7_substring_dedup": substrings.sql(), "op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_secret_scan,
+        op3_license_scan,
+        op4_token_files,
+        op5_packing,
+        op6_quality_rules,
+        op7_substring_dedup,
+        op8_histogram_shards,
+        op9_suffix_tree,
+        op10_simhash,
+    )
+}
+ORACLE = {"op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql(), "op7_substring_dedup": substrings.sql()}

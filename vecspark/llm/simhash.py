@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import texts
+from vecspark.llm.common import lean, texts
 from vecspark.runtime import stored
 
 RADIUS, WORDS, SEED, BLOCK, SMALL = 2, 3, 42, 4096, 64
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if fps:
                 yield pa.record_batch([b.column(0), pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(batch, "doc_id long, fp long")
+    return texts(docs).mapInArrow(lean(batch), "doc_id long, fp long")
 
 
 # --- bit-sliced comparison ---------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
                 if len(a):
                     yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return sorted_.select(F.xxhash64("bucket", "key", "x", "y").alias("g"), "fp").mapInArrow(compare, "a long, b long").distinct()
+    return sorted_.select(F.xxhash64("bucket", "key", "x", "y").alias("g"), "fp").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _whole_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import texts
+from vecspark.llm.common import lean, texts
 from vecspark.llm.fmindex import FMIndex, repeated_stretches
 from vecspark.runtime import forget, release, stored
 
@@ -145,7 +145,7 @@ def anchor_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 rows = pa.array(at + doc)
                 yield pa.record_batch([pa.array(key), b.column(0).take(rows), b.column(1).take(rows), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "doc_id", "th", "s", "n"])
 
-    return _known(docs).mapInArrow(find, "anchor long, doc_id long, th long, s int, n int")
+    return _known(docs).mapInArrow(lean(find), "anchor long, doc_id long, th long, s int, n int")
 
 
 CUT = "anchor long, seg_key long, seg string, cnt int, at array<struct<doc_id:long,th:long,s:int>>"
@@ -192,7 +192,7 @@ def _cut(hit: DataFrame, hot: list[int], window: int, gram: int) -> DataFrame:
                         names=["anchor", "seg_key", "seg", "cnt", "at"],
                     )
 
-    return hit.select("doc_id", "th", "text", "segs").mapInArrow(cut, CUT)
+    return hit.select("doc_id", "th", "text", "segs").mapInArrow(lean(cut), CUT)
 
 
 def search_shard(segments: list[str], counts: list[int], window: int) -> list[list[int]]:
@@ -246,7 +246,7 @@ def _search(cuts: DataFrame, window: int, shard: int) -> DataFrame:
         if held:
             yield from answer(held)
 
-    return rows.mapInArrow(search, "anchor long, seg_key long, spans array<int>")
+    return rows.mapInArrow(lean(search), "anchor long, seg_key long, spans array<int>")
 
 
 def _of(small: DataFrame, docs: DataFrame, how: str) -> DataFrame:
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
                 n_removed.append(gone)
             yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def sql(window: int = WINDOW) -> str:

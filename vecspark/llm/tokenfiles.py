@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import texts
+from vecspark.llm.common import lean, texts
 from vecspark.llm.tokens import coder, public_path
 
 LENGTH, BATCH = 2048, 256
@@ -105,12 +105,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length, max(code.size, end_id or 0) < 1 << 16)
                 writer.add(doc_id, code.ids(text) + end)
+        code.rest()
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([x], pa.int64()) for x in (writer.shard, writer.n_docs, writer.n_tokens)], names=["shard", "n_docs", "n_tokens"])
 
     ordered = texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = sorted(tuple(r) for r in ordered.mapInArrow(shard, MANIFEST).collect())  # a row for each file
+    shards = sorted(tuple(r) for r in ordered.mapInArrow(lean(shard), MANIFEST).collect())  # a row for each file
     rows, start, sequence = [], 0, 0
     for k, n_docs, n_tokens in shards:
         rows.append((k, n_docs, n_tokens, start, sequence))
@@ -185,4 +186,4 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                         at = end
 
     n = max(1, shards.count())
-    return shards.select("shard", "start").repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("shard", "start").repartition(n, "shard").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")

@@ -85,6 +85,10 @@ class Coder:
         written = text.replace(" ", self.table[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.table)
         return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
+    def rest(self) -> None:
+        """Between tasks the elder pieces go; frequent ones are among the younger."""
+        self.first.elder, self.later.elder = {}, {}
+
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, 4 little-endian bytes each."""
         if not text:
