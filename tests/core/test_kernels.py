@@ -7,7 +7,7 @@ from vecspark.functions import distance as D
 from vecspark.functions import prep as P
 from vecspark.operators import graph as G
 from vecspark.operators import pq
-from vecspark.operators.search import State
+from vecspark.operators.search import Part, SearchParams, State
 
 
 def test_metrics_are_known_or_refused():
@@ -124,3 +124,26 @@ def test_small_rules():
     assert P.medoid_sample_size(1000, 500) == 1000 and P.medoid_sample_size(1000, 8_500) == 1300
     r = P.rotation(5)
     assert np.allclose(r @ r.T, np.eye(5))
+
+
+@pytest.mark.parametrize("size", [1, 8, 30, 300])
+def test_searches_in_step_find_what_one_by_one_does(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(250, 8))
+    nbrs, entry = G.build(x, G.BuildParams(8, 24, 48))
+    book = pq.Codebook(x.mean(axis=0), [0, 4, 8], [pq._lloyd((x - x.mean(axis=0))[:, a : a + 4], 32, 0) for a in (0, 4)])
+    codes, ids = book.encode(x), np.arange(250) * 3 + 1
+    order = rng.permutation(250)  # rows in any order
+    t = pa.table({"id": ids[order], "vec": list(x[order]), "codes": list(codes[order]), "nbrs": pa.array([ids[nbrs[i]].tolist() for i in order], pa.list_(pa.int64())), "nbr_codes": pa.array([codes[nbrs[i]].ravel().tolist() for i in order], pa.list_(pa.int16())), "nbr_homes": pa.array([[0] * len(nbrs[i]) for i in order], pa.list_(pa.int32()))})
+    part, p = Part(t), SearchParams(5, size, 3)
+    q = rng.normal(size=(40, 8))
+    tables = book.table(q)
+    at = np.array([part.at[int(ids[entry])]])
+    many = part.run_many(q, tables, at, p)
+    for i in range(40):
+        s = State.start(q[i], part.ids[at], pq.adc(tables[i], part.codes[at]), np.zeros(1, np.int64), size)
+        part.run(s, tables[i], p)
+        found, d = s.best(5)
+        assert many[i][0].tolist() == found.tolist() and np.allclose(many[i][1], d) and (many[i][2], many[i][3]) == (s.hops, s.ios)

@@ -138,6 +138,92 @@ class Part:
                 s.add(self.nbrs[span], adc(table, self.nbr_codes[span]), self.nbr_homes[span], p.size)
 
 
+    def links(self) -> np.ndarray:
+        """(nodes, largest degree): the places of each node's neighbours here, -1 where there are fewer."""
+        if not hasattr(self, "_links"):
+            order = np.argsort(self.ids)
+            at = np.minimum(np.searchsorted(self.ids[order], self.nbrs), max(0, len(order) - 1))
+            place = np.where(self.ids[order][at] == self.nbrs, order[at], -1) if len(self.nbrs) else self.nbrs
+            degree = np.diff(self.offsets)
+            self._links = np.full((len(self.ids), max(1, int(degree.max(initial=0)))), -1)
+            row = np.repeat(np.arange(len(degree)), degree)
+            self._links[row, np.arange(len(row)) - (self.offsets[:-1] - self.offsets[0])[row]] = place[: len(row)]
+        return self._links
+
+    def run_many(self, q: np.ndarray, tables: np.ndarray, seeds: np.ndarray, p: SearchParams) -> list[tuple]:
+        """Search for several queries at once, all in step; links that lead elsewhere aren't followed. For each query ids, distances, hops, I/Os and comparisons."""
+        n, many, links, chunk = len(self.ids), len(q), self.links(), np.arange(tables.shape[1])
+        seeds = np.unique(seeds)
+        place, dist, done = np.zeros((many, p.size), np.int64), np.full((many, p.size), np.inf), np.ones((many, p.size), bool)
+        seen = np.zeros((many, n), bool)
+        hops, ios, cmps = (np.zeros(many, np.int64) for _ in range(3))
+        exact: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merge(rows: np.ndarray, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+            """Candidates c of rows r (ascending) into the pools of these rows."""
+            count = np.bincount(r, minlength=many)
+            begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+            width = int(count.max())
+            back = np.zeros(many, np.int64)
+            back[rows] = np.arange(len(rows))
+            more_c, more_d = np.zeros((len(rows), width), np.int64), np.full((len(rows), width), np.inf)
+            at = np.arange(len(r)) - begin[r]
+            more_c[back[r], at], more_d[back[r], at] = c, d
+            all_c, all_d = np.concatenate([place[rows], more_c], axis=1), np.concatenate([dist[rows], more_d], axis=1)
+            all_done = np.concatenate([done[rows], np.isinf(more_d)], axis=1)
+            order = np.lexsort((self.ids[all_c], all_d), axis=1)[:, : p.size]
+            place[rows], dist[rows], done[rows] = (np.take_along_axis(x, order, 1) for x in (all_c, all_d, all_done))
+
+        rows = np.arange(many)
+        r, c = np.repeat(rows, len(seeds)), np.tile(seeds, many)
+        seen[r, c] = True
+        merge(rows, r, c, tables[r[:, None], chunk, self.codes[c]].sum(axis=1))
+        while len(rows):
+            ahead = ~done[rows]
+            ahead &= np.cumsum(ahead, axis=1) <= p.beam
+            rows, ahead = rows[ahead.any(axis=1)], ahead[ahead.any(axis=1)]
+            if not len(rows):
+                break
+            r, k = np.nonzero(ahead)
+            r = rows[r]
+            node = place[r, k]
+            done[r, k] = True
+            hops[rows] += 1
+            ios += np.bincount(r, minlength=many)
+            exact.append((r, node, to_rows("l2", q[r], self.x[node])))
+            far = links[node]
+            ok = far >= 0
+            r, c = np.repeat(r, far.shape[1])[ok.ravel()], far[ok]
+            new = ~seen[r, c]
+            r, c = np.divmod(np.unique(r[new] * n + c[new]), n)
+            if not len(r):
+                continue
+            seen[r, c] = True
+            cmps += np.bincount(r, minlength=many)
+            d = tables[r[:, None], chunk, self.codes[c]].sum(axis=1)
+            near = d < dist[r, -1]
+            if near.any():
+                merge(np.unique(r[near]), r[near], c[near], d[near])
+        r, node, d = (np.concatenate(x) for x in zip(*exact)) if exact else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((self.ids[node], d, r))
+        r, node, d = r[order], node[order], d[order]
+        cut = np.searchsorted(r, np.arange(many + 1))
+        return [(self.ids[node[a : min(b, a + p.k)]], d[a : min(b, a + p.k)], int(hops[i]), int(ios[i]), int(cmps[i])) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+
+
+#: Queries that search in step; with the bytes of their marks bounded.
+STEP_QUERIES, STEP_BYTES = 256, 256 << 20
+
+
+def _many(part: Part, qids: list, q: np.ndarray, book: Codebook, seeds: np.ndarray, p: SearchParams, history: list[int]) -> list[tuple]:
+    step, rows = max(1, min(STEP_QUERIES, STEP_BYTES // max(1, len(part.ids)))), []
+    for at in range(0, len(qids), step):
+        some = q[at : at + step]
+        for qid, (ids, d, hops, ios, cmps) in zip(qids[at : at + step], part.run_many(some, book.table(some), seeds, p)):
+            rows += [(qid, int(i), float(x), hops, ios, cmps, 0, history) for i, x in zip(ids, d)]
+    return rows
+
+
 def _answer(rows: list[tuple], schema_names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema_names)
@@ -172,16 +258,11 @@ def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, book, seeds = sent.value
         part = Part(t)
-        at = [part.at[i] for i in seeds]
+        at = np.array([part.at[i] for i in seeds])
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = []
-            q = matrix(b.column(1))
-            for qid, x, table in zip(b.column(0).to_pylist(), q, book.table(q)):
-                s = State.start(x, part.ids[at], adc(table, part.codes[at]), np.zeros(len(at), np.int64), p.size)
-                part.run(s, table, p)
-                rows += _finish(qid, s, p.k)
+            rows = _many(part, b.column(0).to_pylist(), matrix(b.column(1)), book, at, p, [])
             if rows:
                 yield _answer(rows, _NAMES)
 
@@ -203,13 +284,8 @@ def scatter(queries: DataFrame, nodes: DataFrame, entries: DataFrame, book: Code
         if not left.num_rows or not right.num_rows:
             return _table([])
         home = key[0].as_py()
-        part, rows = Part(right, home), []
-        q = matrix(left["vec"])
-        at = [part.at[first[home]]]
-        for qid, x, table in zip(left["qid"].to_pylist(), q, sent.value.table(q)):
-            s = State.start(x, part.ids[at], adc(table, part.codes[at]), np.array([home]), p.size)
-            part.run(s, table, p)
-            rows += _finish(qid, s, p.k)
+        part = Part(right, home)
+        rows = _many(part, left["qid"].to_pylist(), matrix(left["vec"]), sent.value, np.array([part.at[first[home]]]), p, [home])
         return _table(rows)
 
     placed = placed.withColumn("partition_id", F.col("partition_id").cast("int"))
