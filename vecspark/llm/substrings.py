@@ -9,9 +9,10 @@ Shards are made of whole anchors, ``SHARD`` words each. A shard's distinct segme
 proves a repeat) become an FM-index, its own segments stream over it, and matching statistics by backward search give the
 stretches of ``window`` words or more that occur twice. Words are compared as words, hashes only route.
 
-Hot anchors (over a thousandth of all, so there are fewer than a thousand) are split: their windows get an anchor that
-isn't hot, or one of the whole window where all are. Copies of a segment are merged by the tasks that cut them, so a
-group of copies sends a row a batch. What is left to one task is the distinct segments of one anchor.
+Hot anchors (over a thousandth of all, so there are fewer than a thousand) are split: their windows get anchors of nearly
+a whole window (``window - NEARLY`` words). Copies of a segment are merged by the tasks that cut them, so a group of copies
+sends a row a batch, and near copies meet only where they differ in the few words that such an anchor leaves. What is left
+to one task is the distinct segments of one anchor.
 
 Null texts have no words. Documents are known by doc_id and the text's hash, so null and repeated doc_ids work: rows that
 repeat are copies of each other. Other columns are ignored; an empty table gives no rows."""
@@ -29,7 +30,7 @@ from vecspark.llm.common import lean, texts
 from vecspark.llm.fmindex import FMIndex, repeated_stretches
 from vecspark.runtime import forget, release, stored
 
-WINDOW, GRAM, SHARD = 35, 8, 500_000
+WINDOW, GRAM, NEARLY, SHARD = 35, 8, 5, 500_000
 #: An anchor is hot from this many occurrences on, and from a thousandth of all.
 HOT, HOT_SHARE = 2_000, 1_000
 
@@ -75,41 +76,28 @@ class Words:
             out = out * _R + self.hash[j : j + n]
         return _mix(out)
 
-    def anchors(self, window: int, gram: int, hot: np.ndarray | None = None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """(anchor, first window, windows) of the segments, windows named by their first word.
-
-        hot: anchors that aren't taken where there is another. wanted: the windows that count (all, if None)."""
+    def anchors(self, window: int, gram: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(anchor, first window, windows) of the segments, windows named by their first word. wanted: the windows that count (all, if None)."""
         n = len(self.hash) - window + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
             return none, none, none
         g = self.grams(gram)
-        order = g >> np.uint64(1)
-        if hot is not None and len(hot):
-            order = np.where(np.isin(g, hot), g | np.uint64(1 << 63), order)
-        at, span = np.arange(len(g)), window - gram + 1
-        value, width = order, 1
+        at, value, span, width = np.arange(len(g)), g, window - gram + 1, 1
         while 2 * width <= span:  # the least of windows of doubled width, the left one of equals
             left = value[:-width] <= value[width:]
             at, value, width = np.where(left, at[:-width], at[width:]), np.where(left, value[:-width], value[width:]), 2 * width
         rest = span - width
         m = len(value) - rest
-        left = value[:m] <= value[rest:]
-        at, value = np.where(left, at[:m], at[rest:]), np.where(left, value[:m], value[rest:])
-        at, value = at[:n], value[:n]
+        at = np.where(value[:m] <= value[rest:], at[:m], at[rest:])[:n]
         ok = self.doc[:n] == self.doc[window - 1 :][:n]
         if wanted is not None:
             ok = ok & wanted[:n]
         w = np.flatnonzero(ok)
-        key = g[at[w]]
-        alone = np.zeros(len(w), bool)
-        if hot is not None and len(hot):
-            alone = value[w] >= np.uint64(1 << 63)  # every anchor is hot: the window by itself
-            key = np.where(alone, self.grams(window)[w] if alone.any() else key, key)
         new = np.ones(len(w), bool)
-        new[1:] = (at[w[1:]] != at[w[:-1]]) | (w[1:] != w[:-1] + 1) | alone[1:] | alone[:-1]
+        new[1:] = (at[w[1:]] != at[w[:-1]]) | (w[1:] != w[:-1] + 1)
         s = np.flatnonzero(new)
-        return key[s].view(np.int64), w[s], np.diff(np.concatenate([s, [len(w)]]))
+        return g[at[w]][s].view(np.int64), w[s], np.diff(np.concatenate([s, [len(w)]]))
 
 
 def _column(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +142,7 @@ _AT = pa.list_(pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.i
 
 def _cut(hit: DataFrame, hot: list[int], window: int, gram: int) -> DataFrame:
     """The words of the segments; hot anchors replaced. hit: doc_id, th, text, segs (anchor, s, n). A row for each distinct segment of a batch, with its places."""
-    hot_set = np.array(hot, np.int64).view(np.uint64)
+    hot_set = np.array(hot, np.int64)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -166,11 +154,11 @@ def _cut(hit: DataFrame, hot: list[int], window: int, gram: int) -> DataFrame:
                 flat = segs.flatten()
                 key, s, n = (flat.field(k).to_numpy() for k in range(3))
                 first = w.first[owner] + s
-                if len(hot_set) and (is_hot := np.isin(key, hot_set.view(np.int64))).any():
+                if len(hot_set) and (is_hot := np.isin(key, hot_set)).any():
                     mark = np.zeros(len(w.hash) + 1, np.int64)  # windows of hot segments
                     np.add.at(mark, first[is_hot], 1)
                     np.add.at(mark, first[is_hot] + n[is_hot], -1)
-                    key2, first2, n2 = w.anchors(window, gram, hot_set, np.cumsum(mark)[:-1] > 0)
+                    key2, first2, n2 = w.anchors(window, max(gram, window - NEARLY), np.cumsum(mark)[:-1] > 0)
                     key, first, n = np.concatenate([key[~is_hot], key2]), np.concatenate([first[~is_hot], first2]), np.concatenate([n[~is_hot], n2])
                 doc = w.doc[first] if len(first) else first
                 raw = [t.encode().split() for t in b.column(2).slice(at, end - at).to_pylist()]
