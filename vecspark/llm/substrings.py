@@ -9,10 +9,9 @@ Shards are made of whole anchors, ``SHARD`` words each. A shard's distinct segme
 proves a repeat) become an FM-index, its own segments stream over it, and matching statistics by backward search give the
 stretches of ``window`` words or more that occur twice. Words are compared as words, hashes only route.
 
-Hot anchors (over a thousandth of all, so there are fewer than a thousand) are split: their windows get anchors of nearly
-a whole window (``window - NEARLY`` words). Copies of a segment are merged by the tasks that cut them, so a group of copies
-sends a row a batch, and near copies meet only where they differ in the few words that such an anchor leaves. What is left
-to one task is the distinct segments of one anchor.
+Hot anchors (over a thousandth of all, so there are fewer than a thousand) are split: each of their windows is a segment
+and its own anchor, so only equal ones meet. Copies of a segment are merged by the tasks that cut them, so a group of
+copies sends a row a batch. One anchor thus brings a task a thousandth of all segments at most (or ``HOT``).
 
 Null texts have no words. Documents are known by doc_id and the text's hash, so null and repeated doc_ids work: rows that
 repeat are copies of each other. Other columns are ignored; an empty table gives no rows."""
@@ -30,7 +29,7 @@ from vecspark.llm.common import lean, texts
 from vecspark.llm.fmindex import FMIndex, repeated_stretches
 from vecspark.runtime import forget, release, stored
 
-WINDOW, GRAM, NEARLY, SHARD = 35, 8, 5, 500_000
+WINDOW, GRAM, SHARD = 35, 8, 500_000
 #: An anchor is hot from this many occurrences on, and from a thousandth of all.
 HOT, HOT_SHARE = 2_000, 1_000
 
@@ -140,7 +139,7 @@ CUT = "anchor long, seg_key long, seg string, cnt int, at array<struct<doc_id:lo
 _AT = pa.list_(pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32())]))
 
 
-def _cut(hit: DataFrame, hot: list[int], window: int, gram: int) -> DataFrame:
+def _cut(hit: DataFrame, hot: list[int], window: int) -> DataFrame:
     """The words of the segments; hot anchors replaced. hit: doc_id, th, text, segs (anchor, s, n). A row for each distinct segment of a batch, with its places."""
     hot_set = np.array(hot, np.int64)
 
@@ -158,7 +157,7 @@ def _cut(hit: DataFrame, hot: list[int], window: int, gram: int) -> DataFrame:
                     mark = np.zeros(len(w.hash) + 1, np.int64)  # windows of hot segments
                     np.add.at(mark, first[is_hot], 1)
                     np.add.at(mark, first[is_hot] + n[is_hot], -1)
-                    key2, first2, n2 = w.anchors(window, max(gram, window - NEARLY), np.cumsum(mark)[:-1] > 0)
+                    key2, first2, n2 = w.anchors(window, window, np.cumsum(mark)[:-1] > 0)
                     key, first, n = np.concatenate([key[~is_hot], key2]), np.concatenate([first[~is_hot], first2]), np.concatenate([n[~is_hot], n2])
                 doc = w.doc[first] if len(first) else first
                 raw = [t.encode().split() for t in b.column(2).slice(at, end - at).to_pylist()]
@@ -254,7 +253,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     theirs = stored(theirs, "repeated-segments")
     release(docs.sparkSession)
     forget(table, many)
-    cuts = stored(_cut(_of(theirs, _known(docs), "inner"), hot_anchors, window, gram), "segments")
+    cuts = stored(_cut(_of(theirs, _known(docs), "inner"), hot_anchors, window), "segments")
     release(docs.sparkSession)
     forget(theirs)
     found = _search(cuts, window, shard)
