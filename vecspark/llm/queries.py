@@ -70,4 +70,4 @@ QUERIES = {
         op10_simhash,
     )
 }
-ORACLE = {"op1_decontamination": decontaminate.sql(), "op6_quality_rules": quality.sql(), "op7_substring_dedup": substrings.sql()}
+ORACLE = {"op1_decontamination": decontaminate.sql(), "op2_secret_scan": secrets.sql(), "op6_quality_rules": quality.sql(), "op7_substring_dedup": substrings.sql()}

@@ -66,6 +66,8 @@ def _located(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+#: What sums of logarithms may lack of a threshold that is met exactly.
+ROUNDING = 1e-9
 NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -102,7 +104,7 @@ def _entropy_spans(text: Column, c: CharClass) -> Column:
         allowed = F.lit(False)
         for a in ALLOW:
             allowed = allowed | x["m"].rlike(a)
-        return ~allowed & (window_entropy(x["m"], c.window) >= c.bits)
+        return ~allowed & (window_entropy(x["m"], c.window) >= c.bits - ROUNDING)
 
     found = F.filter(_located(text, c.run), secret)
     spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), (x["start"] + F.length(x["m"])).alias("end"), F.lit("entropy").alias("kind")))
@@ -146,3 +148,37 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         ),
     )
     return let(merged, lambda m: F.concat(F.array_join(m["out"], ""), F.substring(text, m["at"] + 1, F.length(text))))
+
+
+def sql(classes=CLASSES) -> str:
+    """The contract's columns for DuckDB. Its expressions have no look-around: runs are found whole and judged after, entropies are taken window by window."""
+    run = "[0-9A-Za-z+/_=-]{20,}"
+    assign = BASE[0][1].replace("'", "''")
+
+    def found(kind: str, rank: int, pattern: str, where: str) -> str:
+        cut = f"regexp_split_to_array(text, '{pattern}')"
+        return f"""select doc_id, '{kind}' as kind, {rank} as rank, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as a, m[i] as s
+from (select doc_id, {cut} as g, regexp_extract_all(text, '{pattern}') as m, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) as i from d where regexp_matches(text, '{pattern}')) where {where}"""
+
+    allowed = " or ".join(f"regexp_matches(s, '{a}')" for a in ALLOW if "\\1" not in a)
+    repeated = " or ".join(f"(length(s) > {k} and length(s) % {k} = 0 and s = repeat(substr(s, 1, {k}), length(s) // {k}))" for k in (1, 2, 3, 4))
+    hexa, b64 = classes
+    judged = f"(length(s) >= 24 and regexp_full_match(s, '[0-9A-Fa-f]+') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Fa-f]') and h{hexa.window} >= {hexa.bits} - 1e-9)"
+    judged += f" or (length(s) >= 20 and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Z]') and regexp_matches(s, '[a-z]') and h{b64.window} >= {b64.bits} - 1e-9)"
+
+    def windows(w: int) -> str:
+        return f"""h{w} as (select doc_id, a, max(h) as h{w} from (select doc_id, a, p, -sum(n / {w}.0 * log2(n / {w}.0)) as h from (select doc_id, a, p, c, count(*) as n
+from (select doc_id, a, p, substr(s, p + unnest(range({w})), 1) as c from (select doc_id, a, s, unnest(range(1, length(s) - {w - 2})) as p from runs where length(s) >= {w})) group by all) group by all) group by all)"""
+
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+base as ({found("assign", 0, assign, f"length(regexp_extract(m[i], '{assign}', 2)) >= 8")}
+union all {found("access", 1, "AKIA[A-Z0-9]{12,}", "true")}
+union all {found("hex", 2, "[0-9a-f]{32,}", "true")}),
+runs as (select * from ({found("entropy", 3, run, "true")}) where not ({allowed} or {repeated})),
+{windows(hexa.window)}, {windows(b64.window)},
+more as (select doc_id, kind, rank, a, s from runs left join h{hexa.window} using (doc_id, a) left join h{b64.window} using (doc_id, a) where {judged}),
+b as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || a || ':' || a + length(s), ',' order by a, rank) as j from base group by doc_id),
+e as (select doc_id, string_agg(kind || ':' || a || ':' || a + length(s), ',' order by a, rank) as j from (select * from base union all select * from more) group by doc_id)
+select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(b.j, '')) as base_sha256, coalesce(e.j, '') as spans
+from d left join b using (doc_id) left join e using (doc_id)"""
