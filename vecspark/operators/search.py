@@ -266,7 +266,8 @@ def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int
             if rows:
                 yield _answer(rows, _NAMES)
 
-    return queries.select("qid", F.col("vec").cast("array<double>")).mapInArrow(search, RESULT)
+    shared = queries.select("qid", F.col("vec").cast("array<double>")).repartition(spark.sparkContext.defaultParallelism, "qid")  # a small file of queries would be one task
+    return shared.mapInArrow(search, RESULT)
 
 
 def scatter(queries: DataFrame, nodes: DataFrame, entries: DataFrame, book: Codebook, p: SearchParams, routed: DataFrame | None = None) -> DataFrame:
