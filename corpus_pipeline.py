@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import decontaminate, packing, quality, secrets, simhash
+from vecspark.llm import decontaminate, jaccard, packing, quality, secrets
 from vecspark.llm.common import table
 from vecspark.runtime import stored
 
@@ -37,8 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose doc_id is least. Rows that share a doc_id count as one document."""
-    found = stored(simhash.near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays: the one whose doc_id is least. Rows that share a doc_id count as one document."""
+    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
     kept = _without(_columns(docs), found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
     again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if again else kept
@@ -68,7 +68,7 @@ STAGES = [
     ("secrets", secret_stage),
     ("packing", packing_stage),
 ]
-#: Fingerprint components and packing can't be expressed in SQL; tests/llm compares the stages with brute force.
+#: Components of near copies and packing can't be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
