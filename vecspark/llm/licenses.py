@@ -2,8 +2,8 @@
 
 Candidate blocks are lines that speak of licensing and the few lines around them. A block is compressed by itself and
 again with each template as a raw zstandard dictionary; the template that saves the largest share explains it best. The
-best ones are confirmed by their exact wording: the template's words are aligned with the block's, and what is missing,
-and what stands in between, is counted. A winner's differences are at most what ``threshold`` leaves of the template's
+templates that save anything and whose words can be in the block are confirmed by their exact wording: the template's
+words are aligned with the block's, and what is missing, and what stands in between, is counted. A winner's differences are at most what ``threshold`` leaves of the template's
 words; the fewest differences win, then the larger reduction. Blocks are read in overlapping pieces that any template
 fits into, so long ones cost in proportion.
 
@@ -14,6 +14,7 @@ table gives no rows."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -25,8 +26,8 @@ from vecspark.llm.common import NEAR, lean, texts
 
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|creative commons|\bcc[ -]?(by|0)|permission (is|to)|redistribut|warrant(y|ies)|\bgpl|free software"
 WORD = re.compile(r"[^\W_]+(?:[-.+][^\W_]+)*")
-#: Lines around a candidate line that belong to its block; templates whose wording is read for each piece.
-GAP, FINALISTS = 3, 8
+#: Lines around a candidate line that belong to its block.
+GAP = 3
 
 # The usual wording of notices and short licenses.
 TEMPLATES = {
@@ -98,6 +99,11 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.with_.items()), key=lambda x: (-x[0], x[1]))
 
+    def possible(self, template: str, held: Counter) -> bool:
+        """Whether words that often in a piece leave few enough of the template missing for wording() to find it."""
+        missing = (Counter(self.words[template]) - held).total()
+        return missing <= (1 - self.threshold) * len(self.words[template]) + 1e-9
+
     def wording(self, template: str, piece: list[str]) -> tuple[int, int, int, int] | None:
         """(first word, last word, missing, extra) of the template in the piece, if there is enough of it."""
         want = self.words[template]
@@ -132,8 +138,8 @@ class Scanner:
             piece = [w for w, _, _ in words[x:y]]
             if not piece:
                 continue
-            ranked = self.reductions(" ".join(piece))
-            good = [(w[2] + w[3], -r, k, r, w) for r, k in ranked[:FINALISTS] if r > 0 and (w := self.wording(k, piece))]
+            ranked, held = self.reductions(" ".join(piece)), Counter(piece)
+            good = [(w[2] + w[3], -r, k, r, w) for r, k in ranked if r > 0 and self.possible(k, held) and (w := self.wording(k, piece))]
             if not good:
                 continue
             _, _, k, r, (first, end, missing, extra) = min(good)
