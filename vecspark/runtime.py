@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +25,12 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="vecspark-")) / "vecspark_pkg.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    folder = Path(tempfile.mkdtemp(prefix="vecspark-"))
+    with zipfile.ZipFile(folder / "vecspark_pkg.zip", "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext.addPyFile(str(folder / "vecspark_pkg.zip"))
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves it as long as it runs
     _SHIPPED.add(app)
 
 
@@ -47,11 +51,30 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/vecspark/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions within leave no shuffle files: their results are written, and nothing reads their shuffles again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -63,9 +86,3 @@ def forget(*tables: DataFrame) -> None:
         spark, path = df.sparkSession, df._stored_at
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected, which a quiet driver may put off for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
