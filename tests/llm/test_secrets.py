@@ -1,6 +1,9 @@
 import hashlib
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -79,3 +82,46 @@ def test_any_text(spark, some):
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("text", secrets.joined(F.col("base")).alias("b")).collect()
     for r in got:
         assert r.b == base(r.text), r.text
+
+
+def test_long_runs_and_many_matches_take_linear_time(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(300_000))
+    many = "token=abcdefgh12 x " * 100_000
+    d = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(d).select("doc_id", F.size("base").alias("n"), secrets.joined(F.col("spans")).alias("s"), secrets.redact(F.col("text"), F.col("spans")).alias("r")).collect()}
+    assert time.time() - began < 30  # some 10 s; by the square of the length it would be hours
+    assert got[1].s == "entropy:0:300000" and got[1].r == "[SECRET]"
+    assert got[2].n == 100_000 and got[2].s == base(many) and got[2].r == "[SECRET] x " * 100_000
+
+
+def test_character_classes(spark):
+    rng = random.Random(2)
+    random_ = {name: ["".join(rng.choices(letters, k=32)) for _ in range(60)] for name, letters in {"base36": string.ascii_lowercase + string.digits, "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters, "base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789abcdef"}.items()}
+    clean = ["getUserAccountInformationFromDatabase", "internationalization2024conference", "state-of-the-art-information-retrieval", "HTTPRequestHandlerFactoryBuilderImpl", "/usr/local/share/applications/defaults", "JavaScriptObjectNotationParserXMLHttp", "abcdefghijklmnopqrstuvwxyz0123456789", "aB3" * 20]
+    rows = [(name, f"see {x} there") for name, xs in random_.items() for x in xs] + [("clean", x) for x in clean]
+    d = spark.createDataFrame(rows, "kind string, text string").withColumn("doc_id", F.lit(1))
+    found = secrets.scan(d.select("doc_id", "text")).select("text", F.size("spans").alias("n")).collect()
+    n = Counter()
+    for r, (kind, _) in zip(found, rows):
+        n[kind] += r.n > 0
+    assert n["clean"] == 0 and all(n[k] >= 54 for k in random_), n
+
+
+def test_redaction_across_pieces(spark):
+    rng = random.Random(3)
+    text, spans, at = "é😀" + "ab c" * 6000, [], 0
+    while at < len(text) - 3000:
+        a = at + rng.choice([0, 1, 5, 900, 4096])
+        b = a + rng.choice([1, 8, 5000])
+        spans.append((a, 0, min(b, len(text)), "x"))
+        at = a + rng.choice([0, b - a, b - a + 7])
+    want, end = "", 0
+    for a, _, b, _ in sorted(spans):
+        if a >= end:
+            want += text[end:a] + "[SECRET]"
+        end = max(end, b)
+    want += text[end:]
+    d = spark.createDataFrame([(text, sorted(spans))], "text string, spans array<struct<start:int,rank:int,end:int,kind:string>>")
+    assert d.select(secrets.redact(F.col("text"), F.col("spans"))).first()[0] == want

@@ -1,10 +1,13 @@
 """Secret scans in DataFrame functions alone.
 
-Base patterns give the spans of assignments, access keys and long hexadecimal runs. On top, candidate strings
-(long unbroken runs) are read by a sliding window for each character class they may belong to; the window's Shannon
-entropy follows from the sum of c*log2(c) over its counts, which is updated by the one symbol that enters and the one
-that leaves. Runs whose window reaches the class's threshold are added as ``entropy`` spans, unless the allow list
-explains them. The allow list and the thresholds never touch base spans.
+Base patterns give the spans of assignments, access keys and long hexadecimal runs. On top, candidate strings (unbroken
+runs of 20 or more letters, digits and ``+/_=-``) are read by a sliding window for each character class they belong to.
+The window's state is a count for each character: the one that enters is added, the one that leaves is taken away, and
+the sum of c*log2(c) that the Shannon entropy needs follows from these two counts. Runs whose window reaches the class's
+threshold are added as ``entropy`` spans, unless the allow list explains them. The allow list and the thresholds never
+touch base spans.
+
+All work is in proportion to the text: runs are read in pieces, places of matches are summed up in two levels.
 
 A null text counts as empty: no spans. Null doc_ids stay null, repeated rows are scanned each for itself, other
 columns are ignored. Positions are code points, ends exclusive."""
@@ -29,39 +32,68 @@ BASE = (
 
 @dataclass(frozen=True)
 class CharClass:
-    """Runs over one alphabet; window symbols long stretches of them are measured, bits is the least entropy."""
+    """Runs of ``least`` or more of one alphabet that match all of needs; stretches of window symbols are measured, bits is the least entropy."""
 
     name: str
-    run: str
+    alphabet: str
+    needs: tuple[str, ...]
+    least: int
     window: int
     bits: float
 
 
-#: A run must have a digit and a letter of its class; prose words never do.
+#: Every candidate is a whole run of these.
+RUN = r"[0-9A-Za-z+/_=-]{20,}"
+#: Prose words and names never have all that a class needs at its entropy.
 CLASSES = (
-    CharClass("hex", r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{24,}(?![0-9A-Za-z+/_=-])", 24, 3.0),
-    CharClass("base64", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[0-9A-Za-z+/_=-]{20,}", 20, 3.7),
+    CharClass("hex", "[0-9A-Fa-f]", ("[0-9]", "[A-Fa-f]"), 24, 24, 3.0),
+    CharClass("base64", "[0-9A-Za-z+/_=-]", ("[0-9]", "[A-Z]", "[a-z]"), 20, 20, 3.7),
+    CharClass("base36", "[0-9a-z]", ("[0-9][a-z]+[0-9]", "[a-z][0-9]+[a-z]"), 20, 20, 3.6),
+    CharClass("base32", "[0-9A-Z]", ("[0-9][A-Z]+[0-9]", "[A-Z][0-9]+[A-Z]"), 20, 20, 3.6),
+    CharClass("letters", "[A-Za-z]", ("[a-z][A-Z]{2}", "[a-z][A-Z][a-z][A-Z]|[A-Z]{2}[a-z][A-Z]"), 24, 24, 3.9),
 )
-#: Strings that look random but are no secrets: UUIDs, digests named as such, plain numbers, data after a URL's path, runs of one repeated unit.
+#: Strings that look random but are no secrets: UUIDs, digests named as such, examples, runs of one repeated unit, alphabets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)^(sha1|sha224|sha256|sha384|sha512|md5)[-_=].*",
-    r"(?i).*(example|sample|dummy|placeholder|changeme|xxxx).*",
+    r"(?i)^(sha1|sha224|sha256|sha384|sha512|md5)[-_=]",
+    r"(?i)(example|sample|dummy|placeholder|changeme|xxxx)",
     r"^(.{1,4})\1+$",
-    r"(?i)^0?123456789abcdef.*|^abcdefghij.*",
+    r"(?i)^0?123456789abcdef|^abcdefghij",
 )
 
 
+def scan_fold(items: Column, state: Column, step, emit, kind: str) -> Column:
+    """What emit(state, item), an array, gives for each item in turn, in one array; step gives the next state. kind: the type of the result.
+
+    Blocks of some sqrt(n) items are folded by themselves, so that n items copy n * sqrt(n) references and not n * n."""
+    none = F.array().cast(kind)
+
+    def blocks(xs: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block))
+
+    def inner(start: Column, xs: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("s"), none.alias("out")), lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], emit(a["s"], x)).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        start = F.struct(state.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(blocks(xs), start, lambda a, b: let(inner(a["s"], b), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out"))))["out"])
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """(start, text) of the pattern's leftmost matches: what lies between the matches gives their places."""
+    """(start, m: text) of the pattern's leftmost matches: what lies between the matches gives their places."""
 
     def place(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        return F.aggregate(
+        return scan_fold(
             F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")),
-            lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), x["m"].alias("m")))).alias("out")),
-        )["out"]
+            F.lit(0),
+            lambda at, x: at + x["g"] + F.length(x["m"]),
+            lambda at, x: F.array(F.struct((at + x["g"]).alias("start"), x["m"].alias("m"))),
+            "array<struct<start:int,m:string>>",
+        )
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -78,42 +110,58 @@ def _base_spans(text: Column, rank: int) -> Column:
     return F.when(text.rlike(cheap), spans).otherwise(F.array().cast(NO_SPANS))
 
 
+#: Characters of a run that are taken apart at once, and the characters that a window counts: those from FIRST on.
+PIECE, FIRST, ALPHABET = 4096, ord("+"), ord("z") - ord("+") + 1
+
+
 def window_entropy(s: Column, window: int) -> Column:
-    """The largest Shannon entropy, in bits, of a window over s. One fold: s1 = sum of c*log2(c) over the window's counts."""
+    """The largest Shannon entropy, in bits, of a window over s (characters from + to z). State: the window, a count for each character, the sum of c*log2(c) over the counts and the largest entropy so far."""
+    xlog = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
+
+    def added(counts: Column, at: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(F.element_at(counts, at) + by), F.slice(counts, at + 1, ALPHABET - at))
+
+    def slot(c: Column) -> Column:
+        return F.ascii(c) - (FIRST - 1)
 
-    def xlog(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    def leave(a: Column) -> Column:
+        def without(at: Column) -> Column:
+            c = F.element_at(a["n"], at)
+            return F.struct(F.substring(a["win"], 2, window).alias("win"), added(a["n"], at, -1).alias("n"), (a["s1"] - F.get(xlog, c) + F.get(xlog, c - 1)).alias("s1"), a["best"].alias("best"))
 
-    def count(hay: Column, x: Column) -> Column:
-        return (F.length(hay) - F.length(F.replace(hay, x, F.lit("")))).cast("double")
+        return F.when(F.length(a["win"]) == window, let(slot(a["win"]), without)).otherwise(a)
 
-    def step(a: Column, i: Column) -> Column:
-        new = F.substring(s, i, F.lit(1))
-        old = F.when(i > window, F.substring(s, i - window, F.lit(1))).otherwise(F.lit(""))
-        # the window without the leaving symbol: its counts before the entering one comes
-        rest = F.substring(s, F.greatest(F.lit(1), i - (window - 1)), F.least(i - 1, F.lit(window - 1)))
-        left, entered = count(rest, old), count(rest, new)
-        s1 = a["s1"] - F.when(old != "", xlog(left + 1) - xlog(left)).otherwise(F.lit(0.0)) + xlog(entered + 1) - xlog(entered)
-        return let(s1, lambda v: F.struct(v.alias("s1"), F.when(i >= window, F.greatest(a["best"], F.lit(math.log2(window)) - v / window)).otherwise(a["best"]).alias("best")))
+    def enter(a: Column, x: Column) -> Column:
+        def within(at: Column) -> Column:
+            c = F.element_at(a["n"], at)
+            return let(a["s1"] - F.get(xlog, c) + F.get(xlog, c + 1), lambda s1: F.struct(F.concat(a["win"], x).alias("win"), added(a["n"], at, 1).alias("n"), s1.alias("s1"), F.when(F.length(a["win"]) == window - 1, F.greatest(a["best"], F.lit(math.log2(window)) - s1 / window)).otherwise(a["best"]).alias("best")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("best")), step)["best"]
+        return let(slot(x), within)
 
+    start = F.struct(F.lit("").alias("win"), F.array_repeat(F.lit(0), ALPHABET).alias("n"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("best"))
+    pieces = F.regexp_extract_all(s, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    return F.aggregate(pieces, start, lambda a, piece: F.aggregate(F.split(piece, ""), a, lambda b, x: let(leave(b), lambda c: enter(c, x))))["best"]
 
-def _entropy_spans(text: Column, c: CharClass) -> Column:
+
+def _entropy_spans(text: Column, classes) -> Column:
     def secret(x: Column) -> Column:
-        allowed = F.lit(False)
+        m, allowed, found = x["m"], F.lit(False), F.lit(False)
         for a in ALLOW:
-            allowed = allowed | x["m"].rlike(a)
-        return ~allowed & (window_entropy(x["m"], c.window) >= c.bits - ROUNDING)
+            allowed = allowed | m.rlike(a)
+        for c in classes:
+            own = m.rlike(f"^{c.alphabet}{{{c.least},}}$")
+            for need in c.needs:
+                own = own & m.rlike(need)
+            found = found | (own & (window_entropy(m, c.window) >= c.bits - ROUNDING))
+        return ~allowed & found
 
-    found = F.filter(_located(text, c.run), secret)
-    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), (x["start"] + F.length(x["m"])).alias("end"), F.lit("entropy").alias("kind")))
-    return F.when(text.rlike(c.run), spans).otherwise(F.array().cast(NO_SPANS))
+    spans = F.transform(F.filter(_located(text, RUN), secret), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), (x["start"] + F.length(x["m"])).alias("end"), F.lit("entropy").alias("kind")))
+    return F.when(text.rlike(RUN), spans).otherwise(F.array().cast(NO_SPANS))
 
 
 def _spans(text: Column, classes) -> tuple[Column, Column]:
     base = F.array_sort(F.concat(*(_base_spans(text, i) for i in range(len(BASE)))))
-    return base, F.array_distinct(F.concat(*(_entropy_spans(text, c) for c in classes)))
+    return base, _entropy_spans(text, classes)
 
 
 def _all(base: Column, more: Column) -> Column:
@@ -138,21 +186,24 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that a span covers replaced by mark; overlapping spans give one mark."""
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)))).alias("out"),
-        ),
-    )
-    return let(merged, lambda m: F.concat(F.array_join(m["out"], ""), F.substring(text, m["at"] + 1, F.length(text))))
+    """The text with every stretch that a span covers replaced by mark; overlapping spans give one mark. spans are in order."""
+    gap = "array<struct<a:int,b:int>>"
+    ends = F.struct(F.length(text).alias("start"), F.length(text).alias("end"))
+    every = F.concat(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.array(ends))
+    gaps = scan_fold(every, F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.when(x["start"] < at, F.array().cast(gap)).otherwise(F.array(F.struct(at.alias("a"), x["start"].alias("b")))), gap)
+
+    def cut(pieces: Column, g: Column) -> Column:
+        first, last = F.floor(g["a"] / PIECE).cast("int"), F.floor(g["b"] / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), g["a"] - first * PIECE + 1, g["b"] - g["a"])
+
+    # pieces of equal length: a stretch is cut from the few that hold it, wherever in the text it lies
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    marked = let(pieces, lambda p: F.array_join(F.transform(gaps, lambda g: cut(p, g)), mark))
+    return F.when(F.size(spans) > 0, marked).otherwise(text)
 
 
 def sql(classes=CLASSES) -> str:
     """The contract's columns for DuckDB. Its expressions have no look-around: runs are found whole and judged after, entropies are taken window by window."""
-    run = "[0-9A-Za-z+/_=-]{20,}"
     assign = BASE[0][1].replace("'", "''")
 
     def found(kind: str, rank: int, pattern: str, where: str) -> str:
@@ -162,9 +213,8 @@ from (select doc_id, {cut} as g, regexp_extract_all(text, '{pattern}') as m, unn
 
     allowed = " or ".join(f"regexp_matches(s, '{a}')" for a in ALLOW if "\\1" not in a)
     repeated = " or ".join(f"(length(s) > {k} and length(s) % {k} = 0 and s = repeat(substr(s, 1, {k}), length(s) // {k}))" for k in (1, 2, 3, 4))
-    hexa, b64 = classes
-    judged = f"(length(s) >= 24 and regexp_full_match(s, '[0-9A-Fa-f]+') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Fa-f]') and h{hexa.window} >= {hexa.bits} - 1e-9)"
-    judged += f" or (length(s) >= 20 and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Z]') and regexp_matches(s, '[a-z]') and h{b64.window} >= {b64.bits} - 1e-9)"
+    lengths = sorted({c.window for c in classes})
+    judged = " or ".join(" and ".join([f"regexp_full_match(s, '{c.alphabet}{{{c.least},}}')", *(f"regexp_matches(s, '{n}')" for n in c.needs), f"h{c.window} >= {c.bits} - 1e-9"]) for c in classes)
 
     def windows(w: int) -> str:
         return f"""h{w} as (select doc_id, a, max(h) as h{w} from (select doc_id, a, p, -sum(n / {w}.0 * log2(n / {w}.0)) as h from (select doc_id, a, p, c, count(*) as n
@@ -175,9 +225,9 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
 base as ({found("assign", 0, assign, f"length(regexp_extract(m[i], '{assign}', 2)) >= 8")}
 union all {found("access", 1, "AKIA[A-Z0-9]{12,}", "true")}
 union all {found("hex", 2, "[0-9a-f]{32,}", "true")}),
-runs as (select * from ({found("entropy", 3, run, "true")}) where not ({allowed} or {repeated})),
-{windows(hexa.window)}, {windows(b64.window)},
-more as (select doc_id, kind, rank, a, s from runs left join h{hexa.window} using (doc_id, a) left join h{b64.window} using (doc_id, a) where {judged}),
+runs as (select * from ({found("entropy", 3, RUN, "true")}) where not ({allowed} or {repeated})),
+{", ".join(map(windows, lengths))},
+more as (select doc_id, kind, rank, a, s from runs {" ".join(f"left join h{w} using (doc_id, a)" for w in lengths)} where {judged}),
 b as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || a || ':' || a + length(s), ',' order by a, rank) as j from base group by doc_id),
 e as (select doc_id, string_agg(kind || ':' || a || ':' || a + length(s), ',' order by a, rank) as j from (select * from base union all select * from more) group by doc_id)
 select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(b.j, '')) as base_sha256, coalesce(e.j, '') as spans
