@@ -44,8 +44,8 @@ def test_matches_brute_force(spark):
     b = spark.createDataFrame([(a, b, "x") for a, b in items], "item_id long, text string, doc_id string")
     want = brute(docs, items)
     assert len(want) > 40
-    for rows in (decontaminate.BROADCAST_ROWS, 0):  # by broadcast and by shuffles
-        got = {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in decontaminate.contained(d, b, broadcast_rows=rows).collect()}
+    for rows in (decontaminate.BROADCAST_BYTES, 0):  # by broadcast and by shuffles
+        got = {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in decontaminate.contained(d, b, broadcast_bytes=rows).collect()}
         assert got == want
 
 

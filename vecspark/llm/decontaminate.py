@@ -10,10 +10,13 @@ misses fewer shingles than the sketch has, so at least one sketch hash is among
 nothing, however long the document. Sketches are short and those of all items are looked up at once while a document's
 hashes stream by. What is found is verified by exact shingle containment.
 
-The sketch table and the candidates are broadcast only where their measured size is below ``broadcast_rows``; else they
-meet the documents by a shuffle. Null and empty texts contain nothing, items without words are in nothing. Rows that
-share a doc_id (null too) are judged each for itself and give the largest containment for that doc_id. Other columns are
-ignored; empty tables give no rows."""
+A document meets only the size partitions whose items need no more shingles than it has.
+
+What comes of the search is ids alone, in the shared folder. Items and candidates are broadcast only where their measured
+bytes are below ``broadcast_bytes``; else they meet the documents by a shuffle, on the text's hash as well as the doc_id,
+so that neither a null nor a repeated doc_id makes a hot key. Null and empty texts contain nothing, items without words
+are in nothing. Rows that share a doc_id (null too) are judged each for itself; ``contained`` gives the largest
+containment for that doc_id, ``leaking`` names the rows. Other columns are ignored; empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import NEAR, SHINGLE, let, words
 from vecspark.runtime import stored
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _runs(w: Column, k: Column | int, of) -> Column:
@@ -52,31 +55,44 @@ def item_sketches(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     )
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_found and containment of what reaches the threshold."""
+def found_in(docs: DataFrame, items: DataFrame, threshold: float = NEAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, th (the text's hash), item_id, n_shingles and n_found of the rows that reach the threshold."""
     sketches = stored(item_sketches(items, threshold), "item-sketches")
-    sizes = sketches.agg(F.sum(F.size("sketch")), F.sum(F.size("shingles")), F.collect_set("k")).first()
-    lengths = sorted(sizes[2])  # one to five
-    few = (sizes[0] or 0) <= broadcast_rows and (sizes[1] or 0) <= 20 * broadcast_rows
+    size = F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s) + 16)) + F.sum(F.size("sketch")) * 24
+    fewest = {r.k: r.least for r in sketches.groupBy("k").agg(F.min("least").alias("least")).collect()}  # five lengths
+    few = (sketches.agg(size).first()[0] or 0) <= broadcast_bytes
     maybe = F.broadcast if few else lambda x: x
-    text = docs.select(F.col("doc_id").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    w = text.select("doc_id", words(F.col("text")).alias("w"))
-    entries = maybe(sketches.select("item_id", "k", F.explode("sketch").alias("h")))
+    text = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
+    w = text.select("doc_id", "th", words(F.col("t")).alias("w"))
+    entries = maybe(sketches.select("item_id", "k", "least", F.explode("sketch").alias("h")))
     found = None
-    for k in lengths:
-        h = w.select("doc_id", F.explode(_runs(F.col("w"), k, lambda r: F.xxhash64(r))).alias("h"))
-        one = h.join(entries.where(F.col("k") == k), "h").select("doc_id", "item_id")
+    for k in sorted(fewest):
+        own = F.size("w") - k + 1
+        hashes = _runs(F.col("w"), k, lambda r: F.xxhash64(r))
+        h = w.where(own >= fewest[k]).select("doc_id", "th", own.alias("own"), F.explode(hashes if few else F.array_distinct(hashes)).alias("h"))
+        one = h.join(entries.where(F.col("k") == k), "h").where("least <= own").select("doc_id", "th", "item_id")
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
+        found = docs.select("doc_id", F.lit(0).cast("long").alias("th"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
     candidates = stored(found.distinct(), "candidates")
     n = candidates.count()
-    theirs = candidates.join(maybe(sketches), "item_id").select("doc_id", "item_id", "k", "shingles", "least")
-    theirs = F.broadcast(theirs) if n <= broadcast_rows // 50 else theirs
-    met = w.withColumnRenamed("doc_id", "d").join(theirs, F.col("d").eqNullSafe(F.col("doc_id")))
+    pairs = candidates.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "item_id")
+    pairs = F.broadcast(pairs) if n * 64 <= broadcast_bytes else pairs
+    met = w.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+    met = met.join(maybe(sketches.select("item_id", "k", "shingles", "least")), "item_id")
     of = _runs(F.col("w"), F.col("k"), _joined)
-    counted = met.select("doc_id", "item_id", "least", F.size("shingles").alias("n_shingles"), let(of, lambda s: F.size(F.array_intersect(F.col("shingles"), s))).alias("n_found"))
-    kept = counted.where("n_found >= least").groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    counted = met.select("doc_id", "th", "item_id", "least", F.size("shingles").alias("n_shingles"), let(of, lambda s: F.size(F.array_intersect(F.col("shingles"), s))).alias("n_found"))
+    return counted.where("n_found >= least").select("doc_id", "th", "item_id", "n_shingles", "n_found")
+
+
+def leaking(docs: DataFrame, items: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """doc_id and th (xxhash64 of the text, null as empty) of the rows that contain an item."""
+    return found_in(docs, items, threshold).select("doc_id", "th").distinct()
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_found and containment of what reaches the threshold."""
+    kept = found_in(docs, items, threshold, broadcast_bytes).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     return kept.select("doc_id", "item_id", F.col("n_shingles").cast("long"), F.col("n_found").cast("long"), (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
