@@ -1,14 +1,13 @@
 import random
-import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_secrets import base as base_spans
-from tests.llm.test_simhash import brute as components
-from tests.llm.test_simhash import fingerprint
+from tests.llm.test_jaccard import brute as near
 from vecspark.llm.tokens import Coder, public_path
 from vecspark.runtime import stored
 
@@ -32,6 +31,27 @@ def folder(spark, tmp_path_factory):
     return f"{f}", rows, items
 
 
+def text_hash(spark, t):
+    return spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]
+
+
+def classes(texts):
+    return [c for _, c in near(list(enumerate(texts)))]
+
+
+def test_rows_are_known_by_id_and_text(spark, tmp_path):
+    """Only copies go, whatever doc_ids are shared or null."""
+    rng = random.Random(5)
+    a, b, e, x = (" ".join(f"{p}{rng.randrange(3000)}" for _ in range(80)) for p in "abex")
+    rows = [(3, a), (5, a), (5, b), (None, e), (None, f"{x} {b}"), (7, e), (None, x), (None, x), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, l, "s", 1) for l, (i, t) in zip("abcdefghij", rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert {(r.doc_id, r.text or "", r.lang) for r in got} == {(3, a, "a"), (5, b, "c"), (7, e, "f"), (None, f"{x} {b}", "e"), (None, x, "g"), (9, "", "i")} and len(got) == 6
+    spark.createDataFrame([(1, b[: len(b) // 2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.lang) for r in clean) == sorted((str(i), l) for l, (i, t) in zip("abcdefghij", rows) if b not in (t or ""))
+
+
 def test_each_stage_does_its_part(spark, folder):
     f, rows, items = folder
     docs = spark.read.parquet(f"{f}/documents.parquet")
@@ -42,21 +62,20 @@ def test_each_stage_does_its_part(spark, folder):
         steps.append({(r.doc_id, r.text, r.n_chars) for r in docs.collect()})
         assert len(steps[-1]) == docs.count()
     quality, near, clean, masked = steps
-    assert not {400, 401, 402, 403} & {i for i, _, _ in quality}
-    assert {i for i, _, _ in quality} == {i for i, t in rows if i not in (400, 401, 402, 403)}
-    left = sorted(quality, key=lambda x: (x[0] is None, x[0] or 0))
-    root = components([fingerprint(t) for _, t, _ in left])
-    least = {}
-    for k, (i, _, _) in enumerate(left):
-        least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
-    assert sorted(map(str, (i for i, _, _ in near))) == sorted(map(str, set(least.values())))
-    bad = {i for i, _ in leaks([(i, t) for i, t, _ in near], items)}
-    assert bad and {i for i, _, _ in clean} == {i for i, _, _ in near} - bad
+    assert {(i, t) for i, t, _ in quality} == {(i, t) for i, t in rows if i not in (400, 401, 402, 403)}
+    left = sorted(((i, t) for i, t, _ in quality), key=lambda x: (x[0] is None, x[0] or 0, text_hash(spark, x[1])))
+    firsts = {}
+    for k, c in enumerate(classes([t for _, t in left])):
+        firsts.setdefault(c, left[k])
+    assert {(i, t) for i, t, _ in near} == set(firsts.values())
+    bad = {i for i, _ in leaks([(k, t) for k, (_, t, _) in enumerate(sorted(near, key=str))], items)}
+    assert bad and clean == {x for k, x in enumerate(sorted(near, key=str)) if k not in bad}
     assert {i for i, _, _ in masked} == {i for i, _, _ in clean}
-    before = {i: t for i, t, _ in clean}
+    assert len(masked) == len(clean)
     for i, t, n in masked:
         assert not base_spans(t) and n == len(t)
-        assert ("[SECRET]" in t) == bool(base_spans(before[i]))
+        assert "[SECRET]" in t or (i, t, n) in clean
+    assert sum("[SECRET]" in t for _, t, _ in masked) == sum(bool(base_spans(t)) for _, t, _ in clean) > 0
 
 
 def test_run_packs_what_is_left(spark, folder):
@@ -65,8 +84,16 @@ def test_run_packs_what_is_left(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, f), "stage")
     c = Coder(public_path())
-    want = {r.doc_id: zlib.crc32(np.array([*c.tokenizer.encode(r.text, add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs.collect()}
-    got = {}
+    ids = lambda t: np.array([*c.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+    want, got = {}, {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append(ids(r.text))
+    assert len(want[5]) == 2  # one doc_id, two texts
     for r in sorted(corpus_pipeline.run(spark, f).collect(), key=lambda r: (str(r.doc_id), r.start)):
-        got[r.doc_id] = zlib.crc32(bytes(r.ids), got.get(r.doc_id, 0))
-    assert got == want
+        got.setdefault(r.doc_id, []).append(bytes(r.ids))
+    for i in want:
+        if len(want[i]) == 1:
+            assert b"".join(got[i]) == want[i][0]
+        else:
+            assert sum(map(len, got[i])) == sum(map(len, want[i]))
+    assert got.keys() == want.keys()
