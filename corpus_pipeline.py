@@ -14,7 +14,7 @@ from vecspark.llm.common import table
 from vecspark.runtime import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents that go are broadcast up to so many; above, they meet the others by a shuffle.
+#: Rows that go are broadcast up to so many (of some 20 bytes); above, they meet the others by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -22,12 +22,17 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the doc_ids in gone (null too)."""
-    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with the text's hash: a row is known by doc_id and text, so null and repeated doc_ids lose nothing."""
+    return _columns(docs).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs (with _th) that are (left_semi) or aren't (left_anti) among keys (doc_id, th), which are stored."""
+    keys = keys.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_doc"]) & (docs["_th"] == keys["_text"]), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +42,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays: the one whose doc_id is least. Rows that share a doc_id count as one document."""
-    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
-    kept = _without(_columns(docs), found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays: the row whose doc_id, then text's hash, is least. Of rows that repeat with one doc_id and text the first by the other columns stays."""
+    found = stored(jaccard.verdicts(docs), "near-duplicates")
+    kept = _met(_named(docs), found.where(~F.col("stays")), "left_anti")
+    again = found.where("stays and copies > 1")
+    if again.count():
+        rest = [c for c in COLUMNS if c != "doc_id"]
+        one = _met(kept, again, "left_semi").groupBy("doc_id", "_th").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
+        kept = _columns(_met(kept, again, "left_anti")).unionByName(_columns(one))
+    return _columns(kept)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item go."""
-    return _without(_columns(docs), decontaminate.contained(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that contain a test item go."""
+    found = stored(decontaminate.leaking(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    return _columns(_met(_named(docs), found, "left_anti"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
