@@ -3,8 +3,9 @@
 Candidate blocks are lines that speak of licensing and the few lines around them. A block is compressed by itself and
 again with each template as a raw zstandard dictionary; the template that saves the largest share explains it best. The
 templates that save anything and whose words can be in the block are confirmed by their exact wording: the template's
-words are aligned with the block's, and what is missing, and what stands in between, is counted. A winner's differences are at most what ``threshold`` leaves of the template's
-words; the fewest differences win, then the larger reduction. Blocks are read in overlapping pieces that any template
+words are aligned with the block's, and what is missing, and what stands in between, is counted. A winner's differences are at most what ``threshold`` leaves of
+the template's words, and none of them is a version or a name that tells licenses apart; the fewest differences win, then
+the larger reduction. Blocks are read in overlapping pieces that any template
 fits into, so long ones cost in proportion.
 
 Texts without a candidate line are filtered out by a pattern in Spark; Python sees the others. Null and empty texts have
@@ -54,10 +55,38 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0-only",
+    "SPDX-GPL-2.0": "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "SPDX-ISC": "SPDX-License-Identifier: ISC",
 }
+# Words that tell one license from another, as the templates' words are cut.
+NAMES = frozenset(
+    """affero agpl apache artistic attribution attribution-noncommercial attribution-noncommercial-noderivatives attribution-noncommercial-sharealike
+    attribution-noderivatives attribution-sharealike boost bsd by by-nc by-nc-nd by-nc-sa by-nd by-sa cc cc0 eclipse epl eupl european gnu gpl isc
+    lesser lgpl library mit mozilla mpl noncommercial noderivatives sharealike unlicense zlib""".split()
+)
+VERSION = re.compile(r"v?\d+(?:\.\d+)*")
 FOUND = "doc_id long, block_start int, start int, end int, license string, reduction double, n_words int, n_missing int, n_extra int, exact boolean"
 
 
@@ -92,6 +121,8 @@ class Scanner:
         norm = {k: " ".join(w) for k, w in self.words.items()}
         self.with_ = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in norm.items()}
         self.longest = max(map(len, self.words.values()))
+        # an SPDX line's second word is a name as a whole
+        self.keys = {k: frozenset(i for i, x in enumerate(w) if x in NAMES or VERSION.fullmatch(x) or "spdx-license-identifier" in w[:i] or re.fullmatch(r"\d-clause", x)) for k, w in self.words.items()}
 
     def reductions(self, block: str) -> list[tuple[float, str]]:
         """The share of the block's compressed size that each template saves, largest first."""
@@ -110,14 +141,16 @@ class Scanner:
         runs = [m for m in SequenceMatcher(None, want, piece, autojunk=False).get_matching_blocks() if m.size]
         best = None
         for i in range(len(runs)):  # matched runs in a row that lie together
-            held = 0
+            held, keys = 0, set(self.keys[template])
             for j in range(i, len(runs)):
-                held += runs[j].size
-                first, last = runs[i].b, runs[j].b + runs[j].size
+                a, b, size = runs[j]
+                held += size
+                keys.difference_update(range(a, a + size))
+                first, last = runs[i].b, b + size
                 missing, extra = len(want) - held, last - first - held
-                if last - first > 2 * len(want):
+                if last - first > 2 * len(want) or (j > i and not NAMES.isdisjoint(piece[runs[j - 1].b + runs[j - 1].size : b])):
                     break
-                if best is None or missing + extra < best[2] + best[3]:
+                if not keys and (best is None or missing + extra < best[2] + best[3]):
                     best = (first, last - 1, missing, extra)
         if best and best[2] + best[3] <= (1 - self.threshold) * len(want) + 1e-9:
             return best
