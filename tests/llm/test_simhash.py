@@ -101,3 +101,36 @@ def test_chains_nulls_and_empty(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()), key=str)
     assert got == sorted([(None, 3), (None, 3), (3, 3), (3, 3), (None, None)], key=str)
     assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = " \n".join(rng.choice(["Alpha", "beta", "\u00c9t\u00e9", "g"]) + str(rng.randrange(99)) for _ in range(3000))
+    for words in (1, 3, 5):
+        whole = simhash.shingle_hashes(text, words)
+        monkeypatch.setattr(simhash, "PIECE", 100)
+        monkeypatch.setattr(simhash, "LAID", 64)
+        assert (simhash.shingle_hashes(text, words) == whole).all()
+        assert simhash.long_fingerprint(simhash.shingle_runs(text.encode(), words))[0] == simhash.fingerprints_of([whole])[0]
+        monkeypatch.undo()
+    assert int(simhash.long_fingerprint(simhash.shingle_runs(text.encode(), 3))[0]) == fingerprint(text)
+    for t in ("", " ", "a", "a b", "a b c"):
+        assert int(simhash.long_fingerprint(simhash.shingle_runs(t.encode(), 3))[0]) == fingerprint(t)
+
+
+def test_hot_buckets_are_split_by_their_open_bits(spark):
+    """Many fingerprints that share half their bits: links are the same however small the parts."""
+    rng = random.Random(10)
+    fps = {(0xABCD1234 << 32) | sum(1 << b for b in rng.sample(range(12), rng.randrange(7))) << rng.choice([0, 3, 16]) for _ in range(600)}
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    d = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = sorted(signed[i] for i, r in enumerate(brute(fps)) if r != i)
+    for block in (16, 100, 4096):
+        roots = {r.a: r.b for r in simhash.components(simhash.links(d, 2, block)).collect()}
+        classes = {}
+        for i, r in enumerate(brute(fps)):
+            classes.setdefault(r, set()).add(roots.get(signed[i], signed[i]))
+        assert all(len(c) == 1 for c in classes.values()) and len(classes) == len({min(c) for c in classes.values()})
+    assert want

@@ -4,10 +4,12 @@ Fingerprints follow from the hashes of all word shingles of a whole text. Two fi
 differing bits; documents linked through any chain form one component.
 
 Candidates: of four 16-bit blocks, linked fingerprints share two at least, so each distinct fingerprint goes to six
-buckets, one for each pair of blocks, and no link is lost. Within a bucket the 64 bit planes of all fingerprints are
-stored vertically, 64 lanes a word; carry-save counters update the distances of all lanes plane by plane, and a block
-of lanes is abandoned once every lane is past the radius. Buckets of more than ``BLOCK`` fingerprints are dealt out as
-pairs of sub-blocks to several tasks. A bucket gives a star for each of its components, not pairs.
+buckets, one for each pair of blocks, and no link is lost. A bucket of more than ``BLOCK`` fingerprints is split again in
+the same way by the four bytes that it leaves open: its parts have 16 open bits, so 65536 fingerprints at most, whatever
+the corpus; parts above ``BLOCK`` are dealt out as pairs of sub-blocks to several tasks. Within a bucket the 64 bit planes
+of all fingerprints are stored vertically, 64 lanes a word; carry-save counters update the distances of all lanes plane by
+plane, and a block of lanes is abandoned once every lane is past the radius. A bucket gives a star for each of its
+components, not pairs.
 
 Components come from alternating large and small stars over links between distinct fingerprints, each round written to
 the shared folder. Exact copies never meet: they share a fingerprint and are joined to it at the end.
@@ -18,33 +20,63 @@ columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import lean, texts
-from vecspark.runtime import stored
+from vecspark.runtime import forget, stored
 
 RADIUS, WORDS, SEED, BLOCK, SMALL = 2, 3, 42, 4096, 64
 PAIRS = tuple(combinations(range(4), 2))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+#: Bytes of a text that are cut into words at once, and shingles whose bits are laid out at once.
+PIECE, LAID = 1 << 20, 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_runs(raw: bytes | memoryview, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, a piece of the text at a time."""
     from xxhash import xxh64_intdigest
 
-    w = text.encode().lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    if len(w) < words:
-        s = [b" ".join(w)]
-    else:
-        s = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    return np.fromiter((xxh64_intdigest(x, SEED) for x in s), np.uint64)
+    hashes = lambda s: np.fromiter((xxh64_intdigest(x, SEED) for x in s), np.uint64)
+    at, held, found = 0, [], False
+    while at < len(raw):
+        end = min(at + PIECE, len(raw))
+        if end < len(raw):
+            cut = _SPACE.search(raw, end)
+            end = cut.start() if cut else len(raw)
+        w = held + bytes(raw[at:end]).lower().split()
+        at = end
+        if len(w) >= words:
+            found = True
+            yield hashes(map(b" ".join, zip(*(w[i:] for i in range(words)))))
+            held = w[len(w) - words + 1 :]
+        else:
+            held = w
+    if held and not found:
+        yield hashes([b" ".join(held)])
+
+
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_runs(text.encode(), words)])
+
+
+def long_fingerprint(runs: Iterator[np.ndarray]) -> np.ndarray:
+    """One text's fingerprint, its bits counted a run at a time."""
+    set_, n = np.zeros(64, np.int64), 0
+    for h in runs:
+        n += len(h)
+        for at in range(0, len(h), LAID):
+            set_ += np.unpackbits(h[at : at + LAID].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * set_ > n, bitorder="little").view(np.uint64) if n else np.zeros(1, np.uint64)
 
 
 def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
@@ -66,7 +98,12 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for b in it:
             fps, held, n = [], [], 0
             for text in b.column(1):
-                held.append(shingle_hashes(text.as_py(), words))
+                raw = memoryview(text.as_buffer())
+                if len(raw) > PIECE:
+                    fps += [fingerprints_of(held), long_fingerprint(shingle_runs(raw, words))] if held else [long_fingerprint(shingle_runs(raw, words))]
+                    held, n = [], 0
+                    continue
+                held.append(np.concatenate([np.zeros(0, np.uint64), *shingle_runs(raw, words)]))
                 n += len(held[-1])
                 if n > 100_000:
                     fps.append(fingerprints_of(held))
@@ -210,13 +247,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     """Links (a, b) between distinct fingerprints (column fp) that join what is within the radius."""
     if radius > 2:
         raise ValueError("two shared blocks of four are certain only up to a radius of 2")
-    keys = F.array(*(F.struct(F.lit(n).alias("n"), (F.shiftleft(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF), 16) + F.shiftrightunsigned("fp", 16 * j).bitwiseAND(0xFFFF)).alias("v")) for n, (i, j) in enumerate(PAIRS)))
-    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", (F.shiftleft(F.col("k.n").cast("long"), 32) + F.col("k.v")).alias("key"))
-    count = keyed.groupBy("key").count().where("count > 1")
+    part = lambda x, i, bits: F.shiftrightunsigned(x, bits * i).bitwiseAND((1 << bits) - 1)
+    both = lambda x, i, j, bits: F.shiftleft(part(x, i, bits), bits) + part(x, j, bits)
+
+    def keys(x: Column, name: Column, bits: int) -> Column:
+        """For each pair of four blocks: a key of the pair, and the bits of the other two."""
+        others = [tuple(sorted({0, 1, 2, 3} - set(pair))) for pair in PAIRS]
+        return F.explode(F.array(*(F.struct(F.xxhash64(name, F.lit(n), both(x, *pair, bits)).alias("key"), both(x, *rest, bits).alias("open")) for n, (pair, rest) in enumerate(zip(PAIRS, others)))))
+
+    keyed = distinct.select("fp", keys(F.col("fp"), F.lit(0), 16).alias("k")).select("fp", "k.*")
+    count = stored(keyed.groupBy("key").count().where("count > 1"), "bucket-sizes")
+    inner = keyed.join(count.where(F.col("count") > block), "key", "left_semi").select("fp", keys(F.col("open"), F.col("key"), 8).alias("k")).select("fp", "k.key")
+    sizes = inner.groupBy("key").count().where("count > 1")
+    keyed = keyed.select("fp", "key").join(count.where(F.col("count") <= block), "key").unionByName(inner.join(sizes, "key"))
     parts = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     # a row for each pair of sub-blocks that this fingerprint's own belongs to: one where the bucket isn't split
-    placed = keyed.join(count, "key").select("key", "fp", own.alias("s"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("t"))
+    placed = keyed.select("key", "fp", own.alias("s"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("t"))
     bucket = F.struct("key", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"))
     sorted_ = placed.select(F.xxhash64(bucket).alias("bucket"), "key", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"), "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -267,7 +314,8 @@ def components(edges: DataFrame, what: str = "stars") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(small, what)
+        before, e = e, stored(small, what)
+        forget(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return e
