@@ -7,11 +7,12 @@ only segments of the others go on (counts first, as pairs of numbers, then the w
 
 Shards are made of whole anchors, ``SHARD`` words each. A shard's distinct segments (equal ones at most twice: that
 proves a repeat) become an FM-index, its own segments stream over it, and matching statistics by backward search give the
-stretches of ``window`` words or more that occur twice. Words are compared as words, hashes only route.
+stretches of ``window`` words or more that occur twice. Words are compared as words, hashes only route; what a batch cuts
+has numbers of its own, by which it gets its stretches back.
 
-Hot anchors (over a thousandth of all, so there are fewer than a thousand) are split: each of their windows is a segment
-and its own anchor, so only equal ones meet. Copies of a segment are merged by the tasks that cut them, so a group of
-copies sends a row a batch. One anchor thus brings a task a thousandth of all segments at most (or ``HOT``).
+Hot anchors (whose segments hold more than ``HOT`` words) are split: each of their windows is a segment and its own
+anchor, so only equal ones meet; no other anchor brings a task more words than that, whatever the corpus. Copies of a segment are merged by the
+tasks that cut them, so a group of copies sends a row a batch.
 
 Null texts have no words. Documents are known by doc_id and the text's hash, so null and repeated doc_ids work: rows that
 repeat are copies of each other. Other columns are ignored; an empty table gives no rows."""
@@ -22,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import lean, texts
 from vecspark.llm.fmindex import FMIndex, repeated_stretches
-from vecspark.runtime import forget, release, stored
+from vecspark.runtime import forget, stored
 
-WINDOW, GRAM, SHARD = 35, 8, 500_000
-#: An anchor is hot from this many occurrences on, and from a thousandth of all.
-HOT, HOT_SHARE = 2_000, 1_000
+WINDOW, GRAM, SHARD, HOT = 35, 8, 500_000, 100_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -135,25 +135,22 @@ def anchor_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return _known(docs).mapInArrow(lean(find), "anchor long, doc_id long, th long, s int, n int")
 
 
-CUT = "anchor long, seg_key long, seg string, cnt int, at array<struct<doc_id:long,th:long,s:int>>"
+CUT = "anchor long, row long, seg string, cnt int, at array<struct<doc_id:long,th:long,s:int>>"
 _AT = pa.list_(pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32())]))
 
 
-def _cut(hit: DataFrame, hot: list[int], window: int) -> DataFrame:
-    """The words of the segments; hot anchors replaced. hit: doc_id, th, text, segs (anchor, s, n). A row for each distinct segment of a batch, with its places."""
-    hot_set = np.array(hot, np.int64)
-
+def _cut(hit: DataFrame, window: int) -> DataFrame:
+    """The words of the segments; hot anchors replaced. hit: doc_id, th, text, segs (anchor, s, n, hot). A row for each distinct segment of a batch, with its places."""
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
+        row = TaskContext.get().partitionId() << 40
         for b in it:
             for at, end, w in _chunks(b.column(2)):
                 segs = b.column(3).slice(at, end - at)
                 owner = np.repeat(np.arange(end - at), np.diff(segs.offsets.to_numpy()))
                 flat = segs.flatten()
-                key, s, n = (flat.field(k).to_numpy() for k in range(3))
+                key, s, n, is_hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 first = w.first[owner] + s
-                if len(hot_set) and (is_hot := np.isin(key, hot_set)).any():
+                if is_hot.any():
                     mark = np.zeros(len(w.hash) + 1, np.int64)  # windows of hot segments
                     np.add.at(mark, first[is_hot], 1)
                     np.add.at(mark, first[is_hot] + n[is_hot], -1)
@@ -171,13 +168,14 @@ def _cut(hit: DataFrame, hot: list[int], window: int) -> DataFrame:
                     yield pa.record_batch(
                         [
                             pa.array([k for (k, _), _ in part], pa.int64()),
-                            pa.array(np.array([xxh3_64_intdigest(x) for (_, x), _ in part], np.uint64).view(np.int64)),
+                            pa.array(np.arange(row, row + len(part))),
                             pa.array([x.decode() for (_, x), _ in part], pa.string()),
                             pa.array([len(p) for _, p in part], pa.int32()),
                             pa.array([[{"doc_id": x, "th": y, "s": z} for x, y, z in p] for _, p in part], _AT),
                         ],
-                        names=["anchor", "seg_key", "seg", "cnt", "at"],
+                        names=["anchor", "row", "seg", "cnt", "at"],
                     )
+                    row += len(part)
 
     return hit.select("doc_id", "th", "text", "segs").mapInArrow(lean(cut), CUT)
 
@@ -204,36 +202,37 @@ def search_shard(segments: list[str], counts: list[int], window: int) -> list[li
 
 
 def _search(cuts: DataFrame, window: int, shard: int) -> DataFrame:
-    """anchor, seg_key and spans of the segments that have repeated stretches."""
+    """row and spans of the segments that have repeated stretches."""
     n = int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cuts.select("anchor", "seg_key", "seg", "cnt").repartition(n, "anchor").sortWithinPartitions("anchor", "seg_key")
+    rows = cuts.select("anchor", "row", "seg", "cnt").repartition(n, "anchor").sortWithinPartitions("anchor")
 
     def answer(held: dict) -> Iterator[pa.RecordBatch]:
-        keys = list(held)
-        if len(keys) == 1 and held[keys[0]] == 1:
+        counts = [c for c, _ in held.values()]
+        if counts == [1]:
             return
-        spans = search_shard([k[2] for k in keys], [held[k] for k in keys], window)
-        hit = [(a, s, x) for (a, s, _), x in zip(keys, spans) if x]
+        spans = search_shard([s for _, s in held], counts, window)
+        hit = [(row, x) for (_, theirs), x in zip(held.values(), spans) if x for row in theirs]
         if hit:
-            yield pa.record_batch([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()), pa.array([h[2] for h in hit], pa.list_(pa.int32()))], names=["anchor", "seg_key", "spans"])
+            yield pa.record_batch([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.list_(pa.int32()))], names=["row", "spans"])
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
+        held: dict[tuple[int, str], tuple[int, list[int]]] = {}  # how often a segment is there, and in which rows
         size, last = 0, None
         for b in it:
-            for a, k, s, c in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for a, row, s, c in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if a != last and size >= shard:
                     yield from answer(held)
                     held, size = {}, 0
                 last = a
-                before = held.get((a, k, s))
-                if before is None:
+                if (a, s) not in held:
                     size += s.count(" ") + 2
-                held[a, k, s] = (before or 0) + c
+                before, theirs = held.get((a, s), (0, []))
+                theirs.append(row)
+                held[a, s] = (before + c, theirs)
         if held:
             yield from answer(held)
 
-    return rows.mapInArrow(lean(search), "anchor long, seg_key long, spans array<int>")
+    return rows.mapInArrow(lean(search), "row long, spans array<int>")
 
 
 def _of(small: DataFrame, docs: DataFrame, how: str) -> DataFrame:
@@ -245,23 +244,18 @@ def _of(small: DataFrame, docs: DataFrame, how: str) -> DataFrame:
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """s_doc, s_th (the document) and spans: its words' stretches of repeated windows, as from, to, from, to, ..."""
     table = stored(anchor_table(docs, window, gram), "anchors")
-    counts = table.groupBy("anchor").count().where("count > 1")
-    most = max(hot, table.count() // HOT_SHARE)
-    many = stored(counts, "repeated-anchors")
-    hot_anchors = [r.anchor for r in many.where(F.col("count") > most).select("anchor").collect()]  # fewer than HOT_SHARE
-    theirs = table.join(many.select("anchor"), "anchor").groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("anchor", "s", "n")).alias("segs"))
+    counts = table.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + (window - 1)).alias("words"))
+    many = counts.where("k > 1").select("anchor", (F.col("words") > hot).alias("hot"))
+    theirs = table.join(many, "anchor").groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("anchor", "s", "n", "hot")).alias("segs"))
     theirs = stored(theirs, "repeated-segments")
-    release(docs.sparkSession)
-    forget(table, many)
-    cuts = stored(_cut(_of(theirs, _known(docs), "inner"), hot_anchors, window), "segments")
-    release(docs.sparkSession)
+    forget(table)
+    cuts = stored(_cut(_of(theirs, _known(docs), "inner"), window), "segments")
     forget(theirs)
-    found = _search(cuts, window, shard)
-    placed = cuts.select("anchor", "seg_key", "at").join(found, ["anchor", "seg_key"]).select(F.explode("at").alias("p"), "spans")
+    found = stored(_search(cuts, window, shard), "stretches")
+    placed = cuts.select("row", "at").join(found, "row").select(F.explode("at").alias("p"), "spans")
     moved = placed.select(F.col("p.doc_id").alias("s_doc"), F.col("p.th").alias("s_th"), F.transform("spans", lambda x: x + F.col("p.s")).alias("spans"))
     spans = stored(moved.groupBy("s_doc", "s_th").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeated-words")
-    release(docs.sparkSession)
-    forget(cuts)
+    forget(cuts, found)
     return spans
 
 
