@@ -41,3 +41,17 @@ def test_equal_texts_are_neighbours(spark):
     for r in got:
         homes[r.text].add(r.shard)
     assert sum(len(h) > 1 for h in homes.values()) <= 3
+
+
+def test_places_follow_from_the_rows_alone(spark):
+    """Ties in doc_id and text are ordered by the other columns, however the rows come in; small bins change no shard."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, i]), rng.choice([None, "same", "same", f"t{i}" * rng.randrange(90)]), i) for i in range(800)]
+    got = []
+    for n, task in ((1, 8 << 20), (7, 8 << 20), (3, 64), (3, 1000)):
+        rng.shuffle(rows)
+        d = spark.createDataFrame(rows, "doc_id long, text string, x long").repartition(n)
+        r = sharding.shard(d, 5, task_bytes=task).collect()
+        held(rows, r, 5)
+        got.append({(x.x, x.shard, x.slot if task > 1000 else None) for x in r})
+    assert got[0] == got[1] and {(a, b) for a, b, _ in got[0]} == {(a, b) for a, b, _ in got[2]} == {(a, b) for a, b, _ in got[3]}

@@ -6,12 +6,14 @@ counts the exact bytes and rows below candidate boundaries within every open bra
 brackets, over a table of keys and sizes in the shared folder) and narrows the bracket to the bin that holds the target,
 until a boundary lies within the tolerance or one key remains. Then the rows are exchanged once.
 
-Shards are cut into sub-ranges of some ``task_bytes`` by the same probes, so that the exchange has more tasks than
-shards and no task sorts a whole shard; slots follow from the exact counts. What comes to the driver is a few thousand
-counts a round, whatever the input.
+Within a shard rows are dealt out by bins of some ``task_bytes``: leading digits of the key, as many as the bytes ask for,
+and where one text alone holds more than that, digits of the doc_id's hash as well. So no task sorts a whole shard or a hot
+text, at any size; bins are counted exactly, and a running count over them gives each its first slot. What comes to the
+driver is a few thousand counts a round, whatever the input. Bins' counts and hot texts are broadcast only below
+``broadcast_bytes`` as counted.
 
 A null text has no bytes, a null doc_id is a key like any other, rows that repeat wholly have one key and stay together,
-other columns go along, an empty table gives no rows. Law: ``bytes``; shard sizes differ by the tolerance and a row."""
+rows that differ in other columns alone are ordered by these, other columns go along, an empty table gives no rows. Law: ``bytes``; shard sizes differ by the tolerance and a row."""
 
 from __future__ import annotations
 
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecspark.llm.common import let
 from vecspark.runtime import stored
 
 EXTRA = 8
+#: Digits of the text's hash; as many of the doc_id's follow.
+HASH = 16
 #: Digits of the key that each round probes in a bracket: 16 ** DIGITS bins.
 FIRST, DIGITS = 3, 2
 
@@ -118,38 +121,48 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]], first: list[t
                 brackets[i] = within(bins[p], targets[i][0], b.high, b.bytes_below, b.rows_below)
 
 
-def _search(k: Column, cuts: list[str], low: int = 0) -> Column:
-    """How many cuts are at or below k, as a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(low)
-    mid = len(cuts) // 2
-    return F.when(k < cuts[mid], _search(k, cuts[:mid], low)).otherwise(_search(k, cuts[mid + 1 :], low + mid + 1))
+def _digits(total: Column | int, task_bytes: int) -> Column:
+    """Hexadecimal digits that cut so many bytes into parts of task_bytes."""
+    return F.greatest(F.lit(0), F.ceil(F.log(16.0, F.lit(total).cast("double") / task_bytes if isinstance(total, int) else total / task_bytes))).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, task_bytes: int = 8 << 20, most_ranges: int = 1536) -> DataFrame:
-    """docs with size, shard and slot added (columns of these names are replaced). most_ranges bounds the sub-ranges, and so the plan; above it they grow."""
+def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, task_bytes: int = 8 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """docs with size, shard and slot added (columns of these names are replaced)."""
     docs = docs.drop("size", "shard", "slot")
     keyed = docs.withColumns({"_key": key(F.col("doc_id"), F.col("text")), "size": size(F.col("text"))})
     keys = stored(keyed.select(F.col("_key").alias("key"), "size"), "shard-keys")
     first = _bins(keys, None).get("", [])
     total = sum(b[1] for b in first)
-    m = max(1, min(-(-total // (shards * task_bytes)), most_ranges // shards))
-    n = shards * m
-    part = total / n
     cuts: list[Splitter] = []
-    if first:
-        cuts, _ = splitters(keys, [(part * i, tolerance * part * m / 2 if i % m == 0 else 0.25 * part) for i in range(1, n)], first)
+    if first and shards > 1:
+        part = total / shards
+        cuts, _ = splitters(keys, [(part * i, tolerance * part / 2) for i in range(1, shards)], first)
         for i in range(1, len(cuts)):  # boundaries within their tolerances can't cross, but keep them in order where parts are tiny
             cuts[i] = max(cuts[i - 1], cuts[i], key=lambda s: s.bytes_below)
     past = "g"  # above every hexadecimal digit
-    rows = [0, *(c.rows_below for c in cuts)] or [0]
-    rows += [0] * (n - len(rows))
-    base = [rows[i] - rows[i - i % m] for i in range(n)]
-    ranged = keyed.withColumn("_range", _search(F.col("_key"), [c.key or past for c in cuts]))
-    order = Window.partitionBy("_range").orderBy("_key", F.col("doc_id").asc_nulls_first())
-    offset = let(F.array(*(F.lit(b).cast("long") for b in base)), lambda a: F.get(a, F.col("_range")))
+    ends = [c.key or past for c in cuts]
+    hot = keys.groupBy(F.substring("key", 1, HASH).alias("_text")).agg(F.sum("size").alias("b")).where(F.col("b") > task_bytes)
+    hot = stored(hot.select("_text", _digits(F.col("b"), task_bytes).alias("_more")), "hot-texts")
+    small = F.broadcast if hot.count() * 64 <= broadcast_bytes else lambda x: x
+    own = _digits(max(total, 1), task_bytes)
+
+    def binned(rows: DataFrame, name: str) -> DataFrame:
+        k = F.col(name)
+        place = F.lit(0)
+        for end in ends:
+            place = place + F.when(k >= end, 1).otherwise(0)
+        met = rows.withColumn("_text", F.substring(k, 1, HASH)).join(small(hot), "_text", "left")
+        cut = F.substring(k, F.lit(1), F.least(F.lit(2 * HASH), F.when(F.col("_more").isNull(), own).otherwise(F.col("_more") + HASH)))
+        return met.withColumns({"shard": place.cast("int"), "_bin": cut}).drop("_text", "_more")
+
+    counts = binned(keys, "key").groupBy("shard", "_bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starts = stored(counts.select("shard", "_bin", (before - F.col("n")).alias("_start")), "bin-starts")
+    starts = F.broadcast(starts) if starts.count() * 64 <= broadcast_bytes else starts
+    order = Window.partitionBy("shard", "_bin").orderBy("_key", F.col("doc_id").asc_nulls_first(), F.xxhash64(*(F.col(c).cast("string") for c in docs.columns)))
     return (
-        ranged.withColumn("_row", F.row_number().over(order).cast("long"))
-        .withColumns({"shard": F.floor(F.col("_range") / m).cast("int"), "slot": F.col("_row") - 1 + offset})
-        .drop("_key", "_range", "_row")
+        binned(keyed, "_key")
+        .join(starts, ["shard", "_bin"])
+        .withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.col("_start"))
+        .select(*docs.columns, "size", "shard", "slot")
     )
