@@ -6,7 +6,9 @@ i % BATCH of batch i // BATCH) and ``docs-NNNNNN.arrow`` (doc_id, start in the s
 documents follow each other without gaps; only a shard's last sequence is padded, under mask false. ``manifest.arrow``
 has, for each shard in order, the ids and sequences before it.
 
-Documents are range-partitioned by doc_id, so shards ascend. A task writes under a name of its own and renames the
+Where the file system is a local or mounted one, files are mapped and sequences are views of them; from other stores a
+batch is read at a time. Documents are range-partitioned by doc_id, so shards ascend; there are more of them where there
+are more bytes. A task writes under a name of its own and renames the
 finished files: an attempt that is repeated on another executor replaces the same files by the same content. The folder
 has to be one that driver and executors share. Null texts are empty documents, null doc_ids come first, rows with one
 doc_id are ordered by their text, other columns are ignored, an empty table gives a manifest without shards."""
@@ -26,6 +28,8 @@ from vecspark.llm.common import lean, texts
 from vecspark.llm.tokens import coder, public_path
 
 LENGTH, BATCH = 2048, 256
+#: Bytes of text for each shard, where the input is larger than the session's shuffle partitions times that.
+SHARD_BYTES = 256 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard long, n_docs long, n_tokens long"
 
@@ -94,7 +98,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
     """Encode docs and write the files; the manifest as a DataFrame (one row a shard, with what lies before it)."""
     spark = docs.sparkSession
     path = path or public_path()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     place, plain = _place(folder)
     place.create_dir(plain, recursive=True)
@@ -148,11 +153,12 @@ class Shard:
             self._last = (k, self.file.get_batch(k))
         return self._last[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence; neither is copied (the mask has a bit for each id)."""
         b = self._batch(i // BATCH)
         at = (i % BATCH) * self.length
         ids = b.column(0).values.to_numpy(zero_copy_only=True)[at : at + self.length]
-        return ids, b.column(1).values.slice(at, self.length).to_numpy(zero_copy_only=False)
+        return ids, b.column(1).values.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> bytes:
         """The ids from start on, across sequences and batches."""
