@@ -103,11 +103,11 @@ class Coder:
         return self.line.join(lines)
 
 
-def coder(path: str) -> Coder:
-    """The worker's coder: one for each file, kept between tasks."""
-    import tokenizers
+#: The worker's coders, one for each file, kept between tasks.
+_CODERS: dict[str, Coder] = {}
+
 
-    kept = tokenizers.__dict__.setdefault("_coders_by_path", {})
-    if path not in kept:
-        kept[path] = Coder(path)
-    return kept[path]
+def coder(path: str) -> Coder:
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
