@@ -245,10 +245,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     """s_doc, s_th (the document) and spans: its words' stretches of repeated windows, as from, to, from, to, ..."""
     table = stored(anchor_table(docs, window, gram), "anchors")
     counts = table.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + (window - 1)).alias("words"))
-    many = counts.where("k > 1").select("anchor", (F.col("words") > hot).alias("hot"))
+    # stored, so that the join below is one of two shuffles, whose hot parts Spark can split
+    many = stored(counts.where("k > 1").select("anchor", (F.col("words") > hot).alias("hot")), "repeated-anchors")
     theirs = table.join(many, "anchor").groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("anchor", "s", "n", "hot")).alias("segs"))
     theirs = stored(theirs, "repeated-segments")
-    forget(table)
+    forget(table, many)
     cuts = stored(_cut(_of(theirs, _known(docs), "inner"), window), "segments")
     forget(theirs)
     found = stored(_search(cuts, window, shard), "stretches")
