@@ -137,11 +137,11 @@ def test_searches_in_step_find_what_one_by_one_does(size):
     codes, ids = book.encode(x), np.arange(250) * 3 + 1
     order = rng.permutation(250)  # rows in any order
     t = pa.table({"id": ids[order], "vec": list(x[order]), "codes": list(codes[order]), "nbrs": pa.array([ids[nbrs[i]].tolist() for i in order], pa.list_(pa.int64())), "nbr_codes": pa.array([codes[nbrs[i]].ravel().tolist() for i in order], pa.list_(pa.int16())), "nbr_homes": pa.array([[0] * len(nbrs[i]) for i in order], pa.list_(pa.int32()))})
-    part, p = Part(t), SearchParams(5, size, 3)
+    part, p = Part.of(t), SearchParams(5, size, 3)
     q = rng.normal(size=(40, 8))
     tables = book.table(q)
-    at = np.array([part.at[int(ids[entry])]])
-    many = part.run_many(q, tables, at, p)
+    at = part.rows(np.array([ids[entry]]))
+    many = part.run_many(q, tables, np.broadcast_to(at, (40, 1)), p)
     for i in range(40):
         s = State.start(q[i], part.ids[at], pq.adc(tables[i], part.codes[at]), np.zeros(1, np.int64), size)
         part.run(s, tables[i], p)

@@ -24,32 +24,30 @@ def register(spark: SparkSession) -> None:
 
 
 def register_search(spark: SparkSession, name: str, index) -> None:
-    """A table function name(query array<double>, k int, size int) over an index that fits one worker: a row for each neighbour. For many queries use Index.search."""
+    """A table function name(query array<double>, k int, size int): a row for each neighbour. Workers read the nodes they need from the index's files; only the codebook and the seeds are sent. For many queries use Index.search."""
     from pyspark.sql.functions import udtf
 
     from vecspark.functions.distance import Metric
     from vecspark.operators.pq import adc
-    from vecspark.operators.search import Part, SearchParams, State
+    from vecspark.operators.search import SearchParams, State, opened
 
     if index.metric is not Metric.L2:
         raise ValueError("the table function takes queries as they are: an l2 index")
-    sent = spark.sparkContext.broadcast((index.nodes.orderBy("id").toArrow(), index.book, index.seeds()))
+    sent, files = spark.sparkContext.broadcast((index.book, index.seeds())), index.files()
 
     @udtf(returnType="rank: bigint, id: bigint, dist: double")
     class VectorSearch:
-        def __init__(self):
-            self.part = None
-
         def eval(self, query, k: int, size: int):
             import numpy as np
 
-            table, book, seeds = sent.value
-            self.part = self.part or Part(table)
-            q = np.array(query, float)
+            book, seeds = sent.value
+            q, p = np.array(query, float), SearchParams(k, size, 4)
             lut = book.table(q[None, :])[0]
-            at = [self.part.at[i] for i in seeds]
-            s = State.start(q, self.part.ids[at], adc(lut, self.part.codes[at]), np.zeros(len(at), np.int64), size)
-            self.part.run(s, lut, SearchParams(k, size, 4))
+            at = seeds.of(q[None, :], p.seeds)[0]
+            s = State.start(q, seeds.ids[at], adc(lut, seeds.codes[at]), seeds.homes[at], size)
+            home = int(s.homes[0])
+            while home is not None:
+                home = opened(files, home).run(s, lut, p)
             for rank, (i, d) in enumerate(zip(*s.best(k)), 1):
                 yield rank, int(i), float(d)
 

@@ -179,16 +179,19 @@ def plus_plus(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 # --- partitions ----------------------------------------------------------------------------------------------------
 
 
-def shards_within(df: DataFrame, ram_bytes: float, degree: int, replicas: int = 2, first: int = 3, most: int = 1024, share: float = 1.0) -> DataFrame:
-    """Centres such that the largest cluster's index is estimated to fit the memory; more centres until it does."""
-    dim = len(df.select("vec").first()[0])
-    parts = first
+def shards_within(df: DataFrame, ram_bytes: float, degree: int, replicas: int = 2, first: int = 3, share: float = 1.0) -> DataFrame:
+    """Centres such that the largest cluster's index is estimated to fit the memory; more centres until it does. It is an error if it can't: a single row, or copies of one, need more."""
+    dim, n = len(df.select("vec").first()[0]), df.count()
+    # as many as equal clusters would take, at least
+    parts, before = max(first, int(np.ceil(replicas * n * ram_estimate(1, dim, degree) / ram_bytes))), None
     while True:
         centers, _ = kmeans(df, random_rows(df, parts).withColumn("id", F.row_number().over(Window.orderBy("id")).cast("long") - 1), 10)
         largest = cluster_sizes(df, centers, share, replicas).agg(F.max("n")).first()[0] or 0
-        if ram_estimate(largest, dim, degree) <= ram_bytes or parts >= most:
+        if ram_estimate(largest, dim, degree) <= ram_bytes:
             return centers
-        parts += 2
+        if parts >= n or (before == largest and parts > n // 2):
+            raise ValueError(f"{parts} centres leave a cluster of {largest} rows: over {ram_bytes:.0f} bytes")
+        parts, before = max(parts + 2, parts * 5 // 4), largest
 
 
 def balanced(df: DataFrame, parts: int, slack: float = 0.01, iterations: int = 10, rounds: int = 40) -> DataFrame:
@@ -270,5 +273,10 @@ def id_lists(parts: DataFrame) -> DataFrame:
     return piece.groupBy("partition_id", "piece").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def vectors_of(df: DataFrame, parts: DataFrame, partition: int) -> DataFrame:
+    """The rows (id, vec) that parts (id, partition_id) have in one partition."""
+    return df.join(parts.where(F.col("partition_id") == partition).select("id"), "id", "left_semi")
+
+
 def assignment(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode("ids").alias("id"), "partition_id")

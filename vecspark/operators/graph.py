@@ -34,39 +34,69 @@ class BuildParams:
 # --- kernels -------------------------------------------------------------------------------------------------------
 
 
-def prune(ids: np.ndarray, dist: np.ndarray, vectors: np.ndarray, p: BuildParams, degree: int | None = None) -> np.ndarray:
-    """Neighbours chosen from a pool: nearest first, leaving out what a chosen one covers.
-
-    A candidate is covered at slack a if some chosen one is closer to it than 1 / a of its own distance. The slack grows
-    from 1 by fifths up to alpha while there is room. vectors are the candidates' own; ids are places in them or any
-    names. With saturate what room is left goes to the nearest that were left out."""
-    degree = degree or p.degree
-    order = np.lexsort((ids, dist))[: p.pool]
-    ids, dist, x = ids[order], dist[order], vectors[order]
-    first = np.zeros(len(ids), bool)
-    first[np.unique(ids, return_index=True)[1]] = True
-    between = pairwise("l2", x, x)
-    cover = np.where(first, 0.0, np.inf)
-    chosen: list[int] = []
+def _spread(dist: np.ndarray, between: np.ndarray, p: BuildParams, degree: int) -> np.ndarray:
+    """Which candidates of each row are chosen. dist (rows, candidates) ascends, infinite where there is none; between (rows, candidates, candidates).
+
+    cover[b, i, j] is how much nearer candidate j of row b is to the earlier candidate i than to the node; what is chosen
+    covers the later ones, and a slack admits candidates that nothing chosen covers by more than it."""
+    rows, n = dist.shape
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cover = np.where(between > 0, dist[:, None, :] / between, np.inf)
+    cover[:, np.tri(n, dtype=bool)] = 0.0
+    chosen, most = np.zeros((rows, n), bool), np.where(np.isfinite(dist), 0.0, np.inf)
     slack = 1.0
-    while slack <= p.alpha and len(chosen) < degree:
-        i = -1
-        while len(chosen) < degree:
-            ahead = np.flatnonzero(cover[i + 1 :] <= slack)
-            if not len(ahead):
+    while slack <= p.alpha:
+        while True:
+            free = (most <= slack) & ~chosen & (chosen.sum(axis=1) < degree)[:, None]
+            at = np.flatnonzero(free.any(axis=1))
+            if not len(at):
                 break
-            i += 1 + int(ahead[0])
-            chosen.append(i)
-            cover[i] = np.inf
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(between[i, i + 1 :] > 0, dist[i + 1 :] / between[i, i + 1 :], np.inf)
-            open_ = cover[i + 1 :] <= p.alpha
-            cover[i + 1 :][open_] = np.maximum(cover[i + 1 :], ratio)[open_]
+            first = free[at].argmax(axis=1)
+            chosen[at, first] = True
+            most[at] = np.maximum(most[at], cover[at, first])
         slack *= 1.2
-    if p.saturate and p.alpha > 1 and len(chosen) < degree:
-        left = [i for i in range(len(ids)) if first[i] and i not in set(chosen)]
-        chosen += left[: degree - len(chosen)]
-    return ids[sorted(chosen)]
+    if p.saturate and p.alpha > 1:
+        rest = np.isfinite(dist) & ~chosen
+        chosen |= rest & (np.cumsum(rest, axis=1) <= (degree - chosen.sum(axis=1))[:, None])
+    return chosen
+
+
+#: Bytes of distances between candidates that are taken at once.
+PRUNE_BYTES = 64 << 20
+
+
+def prune_many(x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, p: BuildParams, degree: int | None = None) -> np.ndarray:
+    """Neighbours of several nodes from their pools (nodes, candidates), places in x: nearest first, leaving out what a chosen one covers. -1 and infinite where there is none; so is the result, with degree columns."""
+    degree = degree or p.degree
+    out = np.full((len(nodes), degree), -1)
+    order = np.lexsort((ids, dist), axis=1)
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+    again = np.zeros(ids.shape, bool)  # copies of an id have one distance, so they lie side by side
+    again[:, 1:] = ids[:, 1:] == ids[:, :-1]
+    dist = np.where(again | (ids < 0) | (ids == nodes[:, None]), np.inf, dist)
+    order = np.argsort(dist, axis=1, kind="stable")[:, : p.pool]
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+    width = max(1, int(np.isfinite(dist).sum(axis=1).max(initial=0)))
+    ids, dist = ids[:, :width], dist[:, :width]
+    step = max(1, PRUNE_BYTES // (8 * width * width))
+    for at in range(0, len(nodes), step):
+        y = x[np.maximum(ids[at : at + step], 0)]
+        norm = (y * y).sum(axis=2)
+        between = np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * y @ y.transpose(0, 2, 1), 0)
+        between[between < 1e-12 * (norm[:, :, None] + norm[:, None, :])] = 0  # copies, but for rounding
+        chosen = _spread(dist[at : at + step], between, p, degree)
+        r, c = np.nonzero(chosen)
+        out[at + r, (np.cumsum(chosen, axis=1) - 1)[r, c]] = ids[at + r, c]
+    return out
+
+
+def prune(ids: np.ndarray, dist: np.ndarray, vectors: np.ndarray, p: BuildParams, degree: int | None = None) -> np.ndarray:
+    """Neighbours of one node from a pool with vectors of its own; ids are any names."""
+    if not len(ids):
+        return ids
+    names, at = np.unique(ids, return_index=True)
+    kept = prune_many(vectors[at], np.array([-2]), np.arange(len(names))[None], dist[at][None], p, degree)[0]
+    return names[kept[kept >= 0]]
 
 
 def evict(node: np.ndarray, ids: np.ndarray, vectors: np.ndarray, p: BuildParams) -> np.ndarray:
@@ -76,6 +106,45 @@ def evict(node: np.ndarray, ids: np.ndarray, vectors: np.ndarray, p: BuildParams
     return kept
 
 
+def greedy_many(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first searches with exact distances, all in step: the expanded nodes of each query and their distances (-1 and infinite where there are fewer). links (nodes, degree): places, -1 where there are fewer."""
+    many = len(q)
+    seen = np.zeros((many, len(x)), bool)
+    seen[:, entry] = True
+    pool, dist, done = np.full((many, size), -1), np.full((many, size), np.inf), np.ones((many, size), bool)
+    pool[:, 0], dist[:, 0], done[:, 0] = entry, to_rows("l2", q, x[entry]), False
+    out_r, out_id, out_d = [], [], []
+    while True:
+        rows = np.flatnonzero(~done.all(axis=1))
+        if not len(rows):
+            break
+        at = done[rows].argmin(axis=1)
+        node = pool[rows, at]
+        done[rows, at] = True
+        out_r.append(rows)
+        out_id.append(node)
+        out_d.append(dist[rows, at])
+        far = links[node]
+        new = (far >= 0) & ~seen[rows[:, None], far]
+        r, c = np.nonzero(new)
+        if not len(r):
+            continue
+        seen[rows[r], far[r, c]] = True
+        d = np.full(far.shape, np.inf)
+        d[r, c] = to_rows("l2", q[rows[r]], x[far[r, c]])
+        all_id, all_d = np.concatenate([pool[rows], far], axis=1), np.concatenate([dist[rows], d], axis=1)
+        all_done = np.concatenate([done[rows], ~new], axis=1)
+        order = np.argsort(all_d, axis=1, kind="stable")[:, :size]
+        pool[rows], dist[rows], done[rows] = (np.take_along_axis(v, order, 1) for v in (all_id, all_d, all_done))
+    r, i, d = (np.concatenate(v) for v in (out_r, out_id, out_d))
+    order = np.argsort(r, kind="stable")
+    count = np.bincount(r, minlength=many)
+    place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+    ids, best = np.full((many, int(count.max())), -1), np.full((many, int(count.max())), np.inf)
+    ids[r[order], place], best[r[order], place] = i[order], d[order]
+    return ids, best
+
+
 def greedy(x: np.ndarray, nbrs: list[np.ndarray], q: np.ndarray, entry: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search with exact distances; the expanded nodes and their distances, in the order of expansion."""
     pool_id = np.array([entry])
@@ -133,19 +202,65 @@ def back(x: np.ndarray, nbrs: list[np.ndarray], node: int, other: int, p: BuildP
     nbrs[node] = both
 
 
+#: Nodes that are linked at once, and the bytes of marks of their searches.
+BATCH, MARK_BYTES = 256, 64 << 20
+
+
+def _back(x: np.ndarray, links: np.ndarray, to: np.ndarray, who: np.ndarray, p: BuildParams) -> None:
+    """Links from to back to who; nodes whose links overflow their room are pruned again."""
+    order = np.lexsort((who, to))
+    to, who = to[order], who[order]
+    nodes, start, count = np.unique(to, return_index=True, return_counts=True)
+    more = np.full((len(nodes), int(count.max(initial=0))), -1)
+    row = np.repeat(np.arange(len(nodes)), count)
+    more[row, np.arange(len(to)) - start[row]] = who
+    both = np.concatenate([links[nodes], more], axis=1)
+    both[:, links.shape[1] :][(both[:, links.shape[1] :, None] == links[nodes][:, None, :]).any(axis=2)] = -1
+    held = (both >= 0).sum(axis=1)
+    fits = held <= links.shape[1]
+    packed = np.take_along_axis(both[fits], np.argsort(both[fits] < 0, axis=1, kind="stable")[:, : links.shape[1]], 1)
+    links[nodes[fits]] = packed
+    if not fits.all():
+        full = nodes[~fits]
+        pool = both[~fits]
+        d = np.where(pool >= 0, to_rows("l2", x[full][:, None, :], x[np.maximum(pool, 0)]), np.inf)
+        links[full] = -1
+        links[full, : p.degree] = prune_many(x, full, pool, d, p)
+
+
 def build(x: np.ndarray, p: BuildParams = BuildParams(), entry: int | None = None) -> tuple[list[np.ndarray], int]:
-    """A graph over the rows of x, and its entry point: one pass in order, then every node down to the degree. A node that nothing links to any more gets a link from its nearest neighbour."""
+    """A graph over the rows of x, and its entry point. Nodes are linked in order, in batches that double as the graph grows: a batch searches the graph as it is, all in step, prunes what it has seen and is linked back. Then every node comes down to the degree, and what nothing leads to gets a link from its nearest neighbour."""
     entry = center(x) if entry is None else entry
-    nbrs: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(len(x))]
-    for node in range(len(x)):
-        link(x, nbrs, node, entry, p)
-    for node in range(len(x)):
-        if len(nbrs[node]) > p.degree:
-            nbrs[node] = prune(nbrs[node], to_rows("l2", x[node], x[nbrs[node]]), x[nbrs[node]], p)
+    links = np.full((len(x), max(p.degree + 1, int(SLACK * p.degree))), -1)
+    todo = np.delete(np.arange(len(x)), entry)
+    most, at, size = max(1, min(BATCH, MARK_BYTES // len(x))), 0, 1
+    while at < len(todo):
+        some = todo[at : at + size]
+        ids, d = greedy_many(x, links, x[some], entry, p.search)
+        kept = prune_many(x, some, ids, d, p)
+        links[some, : p.degree] = kept
+        r, c = np.nonzero(kept >= 0)
+        _back(x, links, kept[r, c], some[r], p)
+        at, size = at + len(some), min(most, 2 * size)
+    full = np.flatnonzero((links >= 0).sum(axis=1) > p.degree)
+    if len(full):
+        pool = links[full]
+        d = np.where(pool >= 0, to_rows("l2", x[full][:, None, :], x[np.maximum(pool, 0)]), np.inf)
+        links[full] = -1
+        links[full, : p.degree] = prune_many(x, full, pool, d, p)
+    nbrs = [np.sort(a[a >= 0]) for a in links]
     connect(x, nbrs, entry, p.degree)
     return nbrs, entry
 
 
+def padded(nbrs: list[np.ndarray]) -> np.ndarray:
+    """Lists of places as a matrix, -1 where there are fewer."""
+    out = np.full((len(nbrs), max([1, *map(len, nbrs)])), -1)
+    for i, a in enumerate(nbrs):
+        out[i, : len(a)] = a
+    return out
+
+
 def reachable(nbrs: list[np.ndarray], entry: int) -> np.ndarray:
     seen = np.zeros(len(nbrs), bool)
     seen[entry] = True
@@ -231,19 +346,18 @@ def with_reverse(graph: DataFrame) -> DataFrame:
     return adjacency(e.unionByName(e.select(F.col("n").alias("id"), F.col("id").alias("n"))))
 
 
-def bfs_levels(graph: DataFrame, entry: DataFrame, most: int = 64) -> DataFrame:
-    """id and level of what can be reached from entry (id). One small join a level; levels are stored as they grow."""
+def bfs_levels(graph: DataFrame, entry: DataFrame) -> DataFrame:
+    """id and level of all that can be reached from entry (id). A level is one join; it is stored by itself and the earlier ones aren't written again."""
     edges = stored(graph.select("id", F.explode("nbrs").alias("n")), "edges")
-    seen = stored(entry.select("id", F.lit(0).alias("level")), "levels")
-    level = 0
-    while level < most:
-        front = seen.where(F.col("level") == level).select("id")
-        new = edges.join(front, "id").select(F.col("n").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        level += 1
-        grown = stored(seen.unionByName(new.select("id", F.lit(level).alias("level"))), "levels")
-        if not grown.where(F.col("level") == level).limit(1).count():
-            return seen
-        seen = grown
+    front = stored(entry.select("id", F.lit(0).alias("level")).distinct(), "level")
+    seen = front
+    while front.limit(1).count():
+        level = F.lit(front.first().level + 1)
+        new = edges.join(front.select("id"), "id").select(F.col("n").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = stored(new.select("id", level.alias("level")), "level")
+        seen = seen.unionByName(front)
+        if len(seen.inputFiles()) > 256:  # many levels make many files: one table of them now and then
+            seen = stored(seen.coalesce(16), "levels")
     return seen
 
 

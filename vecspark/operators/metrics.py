@@ -24,7 +24,9 @@ def floor_percentile(df: DataFrame, column: str, shares: dict[str, float], by: l
     cuts = F.percentile_approx("_v", F.array(*(F.lit(i / 256) for i in range(1, 256))), F.lit(10_000)).alias("_cuts")
     bounds = d.groupBy(*by).agg(cuts, F.count("*").alias("_n"))
     rows = d.join(bounds, by) if by else d.join(F.broadcast(bounds))
-    rows = rows.select(*by, "_v", "_n", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col("_v")))
+    sixteenth = below(F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), lambda i: F.element_at("_cuts", i)))  # of the 255 cuts first every sixteenth
+    rows = rows.withColumn("_s", sixteenth).select(*by, "_v", "_n", (F.col("_s") * 16 + below(F.slice("_cuts", F.col("_s") * 16 + 1, F.lit(15)))).alias("_b"))
     count = rows.groupBy(*by, "_b", "_n").agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # some hundred rows a group
     before = F.sum("_c").over(w.orderBy("_b")) - F.col("_c")
@@ -68,15 +70,26 @@ def iqr_outliers(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.join(q, by).where((c < F.col("q1") - spread) | (c > F.col("q3") + spread))
 
 
+#: How far a point may lie from a target and still be at it.
+AT = 1e-6
+
+
 def interpolate_at(df: DataFrame, x: str, y: str, target: float, by: list[str]) -> DataFrame:
-    """y where x reaches the target, linear between neighbouring points; null outside their range. A point at the target counts as it is."""
+    """y where x reaches the target, linear between neighbouring points; null outside their range (out_of_range says why). A point at the target (to AT) counts as it is."""
     s = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     w = Window.partitionBy(*by).orderBy("x", "y")
     p = s.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
-    at = F.when(F.col("x") == target, F.col("y")).when((F.col("x") < target) & (F.col("x2") > target), F.col("y") + (target - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))
+    at = F.when(F.abs(F.col("x") - target) <= AT, F.col("y")).when((F.col("x") < target) & (F.col("x2") > target), F.col("y") + (target - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))
     return p.groupBy(*by).agg(F.min(at).alias(y))
 
 
+def out_of_range(df: DataFrame, x: str, target: float, by: list[str]) -> DataFrame:
+    """Groups that don't reach the target, or begin above it: low, high and a message."""
+    r = df.groupBy(*by).agg(F.min(x).cast("double").alias("low"), F.max(x).cast("double").alias("high"))
+    out = r.where((F.col("low") - AT > target) | (F.col("high") + AT < target))
+    return out.withColumn("message", F.format_string("%.4f is outside %.4f to %.4f", F.lit(float(target)), "low", "high"))
+
+
 def closest_at(df: DataFrame, x: str, y: str, target: float, by: list[str], within: float = 0.05) -> DataFrame:
     """y of the point whose x is closest to the target, null if that is further than `within`."""
     off = F.abs(F.col(x) - target)

@@ -167,25 +167,27 @@ def encode(df: DataFrame, book: Codebook) -> DataFrame:
     return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(codes, "id long, codes array<smallint>")
 
 
-def lookup(queries: DataFrame, book: Codebook) -> DataFrame:
-    """qid, chunk, code and dist: the queries' tables in long form."""
+def lookup(queries: DataFrame, book: Codebook, inner: bool = False) -> DataFrame:
+    """qid, chunk, code and dist: the queries' tables in long form, of squared distances or of negated inner products."""
     sent = queries.sparkSession.sparkContext.broadcast(book)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                t = sent.value.table(matrix(part.column(1)))
+                q = matrix(part.column(1))
+                t = sent.value.inner_table(q) if inner else sent.value.table(q)
                 q, c, k = np.nonzero(np.isfinite(t))
                 yield pa.record_batch([pa.array(part.column(0).to_numpy()[q]), pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(t[q, c, k])], names=["qid", "chunk", "code", "dist"])
 
     return queries.select("qid", F.col("vec").cast("array<double>")).mapInArrow(tables, "qid long, chunk int, code int, dist double")
 
 
-def nearest_by_codes(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, block_bytes: int = knn.QUERY_BLOCK_BYTES) -> DataFrame:
-    """The k nearest rows by asymmetric distance (exact query, coded rows): qid, id, dist, rank. codes isn't shuffled."""
+def nearest_by_codes(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, block_bytes: int = knn.QUERY_BLOCK_BYTES, symmetric: bool = False) -> DataFrame:
+    """The k nearest rows by asymmetric distance (exact query, coded rows), or by symmetric distance (the query coded too): qid, id, dist, rank. codes isn't shuffled."""
     spark, out = queries.sparkSession, None
     for ids, vectors in knn._blocks(queries, block_bytes // 32):
+        vectors = book.decode(book.encode(vectors)) if symmetric else vectors
         sent = spark.sparkContext.broadcast((ids, book.table(vectors)))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -213,15 +215,5 @@ def rerank(queries: DataFrame, base: DataFrame, found: DataFrame, k: int) -> Dat
     """Candidates (qid, id) by their exact squared distance."""
     from vecspark.functions.distance import l2sq
 
-    pairs = found.select("qid", "id").join(base.select("id", "vec"), "id").join(F.broadcast(queries.select("qid", F.col("vec").alias("qvec"))), "qid")
+    pairs = found.select("qid", "id").join(base.select("id", "vec"), "id").join(queries.select("qid", F.col("vec").alias("qvec")), "qid")
     return knn.ranked(pairs.select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist")), k)
-
-
-def code_distances(a: DataFrame, b: DataFrame, book: Codebook) -> DataFrame:
-    """Symmetric distances of the rows of a (aid, codes) and of b (bid, codes), by the table between pivots; b is broadcast after a look at its size by the caller."""
-    t = book.between()
-    frame = a.sparkSession.createDataFrame([(c, i, [float(x) if np.isfinite(x) else 0.0 for x in row]) for c, m in enumerate(t) for i, row in enumerate(m)], "chunk int, code int, row array<double>")
-    rows = F.posexplode("codes").alias("chunk", "code")
-    left = a.select("aid", rows).join(F.broadcast(frame), ["chunk", "code"]).select("aid", "chunk", "row")
-    right = b.select("bid", rows).select("bid", "chunk", F.col("code").alias("other"))
-    return left.join(F.broadcast(right), "chunk").groupBy("aid", "bid").agg(F.sum(F.element_at("row", F.col("other") + 1)).alias("dist"))

@@ -5,23 +5,29 @@ everywhere. A search holds a pool of the ``size`` best candidates; each step exp
 and it ends when all of the pool are. With size at least the number of nodes everything reachable is expanded.
 
 The node table carries, next to each node's links, the codes and homes of the nodes they lead to, so a partition can
-rank foreign candidates without a copy of all codes."""
+rank foreign candidates without a copy of all codes. For searches that move between partitions it is laid out once as
+files, a partition's columns side by side, ascending by id: workers map them and read the nodes that a search touches, so
+between rounds only states move."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecspark.functions.distance import matrix, to_rows
 from vecspark.operators import knn
+from vecspark.operators.graph import greedy_many
 from vecspark.operators.pq import Codebook, adc
-from vecspark.runtime import stored
+from vecspark.runtime import settings, shared_dir, stored
 
 NODES = "partition_id int, id long, vec array<double>, codes array<smallint>, nbrs array<long>, nbr_codes array<smallint>, nbr_homes array<int>"
 RESULT = "qid long, id long, dist double, hops long, ios long, cmps long, inter_hops long, history array<int>"
@@ -32,6 +38,7 @@ class SearchParams:
     k: int = 10
     size: int = 64
     beam: int = 4
+    seeds: int = 10
 
 
 def node_table(vectors: DataFrame, graph: DataFrame, codes: DataFrame, homes: DataFrame) -> DataFrame:
@@ -105,19 +112,45 @@ class State:
         return ids[o], d[o]
 
 
+@dataclass
+class Seeds:
+    """Where searches start: some nodes with their codes and homes. With vectors and links (a head, places among them) each query starts at the nodes nearest to it, else at all of them."""
+
+    ids: np.ndarray
+    codes: np.ndarray
+    homes: np.ndarray
+    x: np.ndarray | None = None
+    links: np.ndarray | None = None
+    entry: int = 0
+
+    def of(self, q: np.ndarray, n: int) -> np.ndarray:
+        """(queries, seeds): places."""
+        if self.x is None or not len(q):
+            return np.broadcast_to(np.arange(len(self.ids)), (len(q), len(self.ids)))
+        n = min(n, len(self.ids))
+        found, d = greedy_many(self.x, self.links, q, self.entry, max(2 * n, 16))
+        order = np.lexsort((found, d), axis=1)[:, :n]
+        best = np.take_along_axis(found, order, 1)
+        return np.where(best >= 0, best, best[:, :1])  # a head that is hardly connected may show fewer
+
+
 class Part:
-    """The nodes that a worker has: a partition, or all."""
-
-    def __init__(self, t: pa.Table, home: int | None = None):
-        self.home, self.ids = home, t["id"].to_numpy()
-        self.at = {i: k for k, i in enumerate(self.ids.tolist())}
-        self.x, self.codes = matrix(t["vec"]), matrix(t["codes"], np.int64)
-        links = t["nbrs"].combine_chunks()
-        self.offsets = links.offsets.to_numpy()
-        self.nbrs = links.values.to_numpy()
-        chunks = self.codes.shape[1] if len(self.ids) else 1
-        self.nbr_codes = t["nbr_codes"].combine_chunks().values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, chunks)
-        self.nbr_homes = t["nbr_homes"].combine_chunks().values.to_numpy()
+    """The nodes that a worker has, ascending by id: a partition, or all."""
+
+    def __init__(self, home: int | None, ids, x, codes, offsets, nbrs, nbr_codes, nbr_homes):
+        self.home, self.ids, self.x, self.codes = home, ids, x, codes
+        self.offsets, self.nbrs, self.nbr_codes, self.nbr_homes = offsets, nbrs, nbr_codes, nbr_homes
+
+    @classmethod
+    def of(cls, t: pa.Table, home: int | None = None) -> Part:
+        t = t.sort_by("id").combine_chunks()
+        codes, links = matrix(t["codes"], np.int16), t["nbrs"].combine_chunks()
+        values = lambda k, kind: t[k].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        sizes = links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return cls(home, t["id"].to_numpy(), matrix(t["vec"]), codes, np.concatenate([[0], np.cumsum(sizes)]), values("nbrs", np.int64), values("nbr_codes", np.int16).reshape(-1, codes.shape[1] or 1), values("nbr_homes", np.int32))
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids)
 
     def run(self, s: State, table: np.ndarray, p: SearchParams) -> int | None:
         """Search on until nothing is left to expand (None) or everything ahead lies elsewhere (where)."""
@@ -129,7 +162,7 @@ class Part:
                 return away
             s.hops += 1
             s.done[here] = True
-            rows = [self.at[i] for i in s.ids[here].tolist()]
+            rows = self.rows(s.ids[here])
             s.ios += len(rows)
             s.exact_id += self.ids[rows].tolist()
             s.exact_d += to_rows("l2", s.q, self.x[rows]).tolist()
@@ -141,9 +174,8 @@ class Part:
     def links(self) -> np.ndarray:
         """(nodes, largest degree): the places of each node's neighbours here, -1 where there are fewer."""
         if not hasattr(self, "_links"):
-            order = np.argsort(self.ids)
-            at = np.minimum(np.searchsorted(self.ids[order], self.nbrs), max(0, len(order) - 1))
-            place = np.where(self.ids[order][at] == self.nbrs, order[at], -1) if len(self.nbrs) else self.nbrs
+            at = np.minimum(self.rows(self.nbrs), max(0, len(self.ids) - 1))
+            place = np.where(self.ids[at] == self.nbrs, at, -1) if len(self.nbrs) else self.nbrs
             degree = np.diff(self.offsets)
             self._links = np.full((len(self.ids), max(1, int(degree.max(initial=0)))), -1)
             row = np.repeat(np.arange(len(degree)), degree)
@@ -151,9 +183,8 @@ class Part:
         return self._links
 
     def run_many(self, q: np.ndarray, tables: np.ndarray, seeds: np.ndarray, p: SearchParams) -> list[tuple]:
-        """Search for several queries at once, all in step; links that lead elsewhere aren't followed. For each query ids, distances, hops, I/Os and comparisons."""
+        """Search for several queries at once, all in step, each from its own seeds (queries, places); links that lead elsewhere aren't followed. For each query ids, distances, hops, I/Os and comparisons."""
         n, many, links, chunk = len(self.ids), len(q), self.links(), np.arange(tables.shape[1])
-        seeds = np.unique(seeds)
         place, dist, done = np.zeros((many, p.size), np.int64), np.full((many, p.size), np.inf), np.ones((many, p.size), bool)
         seen = np.zeros((many, n), bool)
         hops, ios, cmps = (np.zeros(many, np.int64) for _ in range(3))
@@ -175,7 +206,7 @@ class Part:
             place[rows], dist[rows], done[rows] = (np.take_along_axis(x, order, 1) for x in (all_c, all_d, all_done))
 
         rows = np.arange(many)
-        r, c = np.repeat(rows, len(seeds)), np.tile(seeds, many)
+        r, c = np.divmod(np.unique(np.repeat(rows, seeds.shape[1]) * n + seeds.ravel()), n)
         seen[r, c] = True
         merge(rows, r, c, tables[r[:, None], chunk, self.codes[c]].sum(axis=1))
         while len(rows):
@@ -219,11 +250,23 @@ def _many(part: Part, qids: list, q: np.ndarray, book: Codebook, seeds: np.ndarr
     step, rows = max(1, min(STEP_QUERIES, STEP_BYTES // max(1, len(part.ids)))), []
     for at in range(0, len(qids), step):
         some = q[at : at + step]
-        for qid, (ids, d, hops, ios, cmps) in zip(qids[at : at + step], part.run_many(some, book.table(some), seeds, p)):
+        for qid, (ids, d, hops, ios, cmps) in zip(qids[at : at + step], part.run_many(some, book.table(some), seeds[at : at + step], p)):
             rows += [(qid, int(i), float(x), hops, ios, cmps, 0, history) for i, x in zip(ids, d)]
     return rows
 
 
+def _exactly(part: Part, qids: list, q: np.ndarray, seeds: np.ndarray, p: SearchParams) -> list[tuple]:
+    """The same with exact distances throughout; every node that is seen is a comparison."""
+    step, rows = max(1, min(STEP_QUERIES, STEP_BYTES // max(1, len(part.ids)))), []
+    for at in range(0, len(qids), step):
+        found, d = greedy_many(part.x, part.links(), q[at : at + step], int(seeds[at, 0]), p.size)
+        order = np.lexsort((part.ids[np.maximum(found, 0)], d), axis=1)[:, : p.k]
+        n = (found >= 0).sum(axis=1)
+        for i, o in enumerate(order):
+            rows += [(qids[at + i], int(part.ids[found[i, j]]), float(d[i, j]), int(n[i]), int(n[i]), int(n[i]), 0, []) for j in o if found[i, j] >= 0]
+    return rows
+
+
 def _answer(rows: list[tuple], schema_names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema_names)
@@ -232,11 +275,6 @@ def _answer(rows: list[tuple], schema_names: list[str]) -> pa.RecordBatch:
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def _finish(qid: int, s: State, k: int) -> list[tuple]:
-    ids, d = s.best(k)
-    return [(qid, int(i), float(x), s.hops, s.ios, s.cmps, max(0, len(s.history) - 1), s.history) for i, x in zip(ids, d)]
-
-
 def _table(rows: list[tuple]) -> pa.Table:
     if not rows:
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
@@ -247,8 +285,8 @@ def _table(rows: list[tuple]) -> pa.Table:
 # --- modes ---------------------------------------------------------------------------------------------------------
 
 
-def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int], p: SearchParams, most_bytes: int = 512 << 20) -> DataFrame:
-    """One place has the whole graph: the node table goes to every task, after a look at its size; queries are shared out."""
+def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, most_bytes: int = 512 << 20, exact: bool = False) -> DataFrame:
+    """One place has the whole graph: the node table goes to every task, after a look at its size; queries are shared out. exact: distances of vectors instead of codes (from one seed)."""
     spark = nodes.sparkSession
     n, dim, degree = nodes.agg(F.count("*"), F.max(F.size("vec")), F.avg(F.size("nbrs"))).first()
     if n * (8 * (dim or 0) + (degree or 0) * (12 + 2 * book.chunks)) > most_bytes:
@@ -257,12 +295,14 @@ def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, book, seeds = sent.value
-        part = Part(t)
-        at = np.array([part.at[i] for i in seeds])
+        part = Part.of(t)
+        at = part.rows(seeds.ids)
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = _many(part, b.column(0).to_pylist(), matrix(b.column(1)), book, at, p, [])
+            qids, q = b.column(0).to_pylist(), matrix(b.column(1))
+            start = at[seeds.of(q, p.seeds)]
+            rows = _exactly(part, qids, q, start, p) if exact else _many(part, qids, q, book, start, p, [])
             if rows:
                 yield _answer(rows, _NAMES)
 
@@ -285,9 +325,9 @@ def scatter(queries: DataFrame, nodes: DataFrame, entries: DataFrame, book: Code
         if not left.num_rows or not right.num_rows:
             return _table([])
         home = key[0].as_py()
-        part = Part(right, home)
-        rows = _many(part, left["qid"].to_pylist(), matrix(left["vec"]), sent.value, np.array([part.at[first[home]]]), p, [home])
-        return _table(rows)
+        part, q = Part.of(right, home), matrix(left["vec"])
+        start = np.broadcast_to(part.rows(np.array([first[home]])), (len(q), 1))
+        return _table(_many(part, left["qid"].to_pylist(), q, sent.value, start, p, [home]))
 
     placed = placed.withColumn("partition_id", F.col("partition_id").cast("int"))
     found = placed.groupBy("partition_id").cogroup(nodes.groupBy("partition_id")).applyInArrow(search, RESULT)
@@ -301,82 +341,196 @@ def gathered(found: DataFrame, k: int) -> DataFrame:
     return knn.merge(found.select("qid", "id", "dist"), k).join(cost, "qid").select(*_NAMES)
 
 
-_STATE = "qid long, home int, vec array<double>, ids array<long>, dist array<double>, done array<boolean>, homes array<int>, exact_id array<long>, exact_d array<double>, hops long, ios long, cmps long, history array<int>, live boolean"
+# --- states that move -----------------------------------------------------------------------------------------------
 
+#: A column of a partition's files and its numbers.
+COLUMNS = {"ids": np.int64, "x": np.float64, "codes": np.int16, "offsets": np.int64, "nbrs": np.int64, "nbr_codes": np.int16, "nbr_homes": np.int32}
 
-def _to_state(r: dict) -> State:
-    return State(
-        np.array(r["vec"]), np.array(r["ids"], np.int64), np.array(r["dist"]), np.array(r["done"], bool), np.array(r["homes"], np.int64), list(r["exact_id"]), list(r["exact_d"]), r["hops"], r["ios"], r["cmps"], list(r["history"])
-    )
 
-
-def _from_states(rows: list[tuple[int, int, State, bool]], keep: int) -> pa.Table:
-    """Exact answers are cut to the best `keep`; they are what the result can need."""
-    out: dict[str, list] = {n.split()[0]: [] for n in _STATE.split(", ")}
-    for qid, home, s, live in rows:
-        ids, d = s.best(keep)
-        for n, v in zip(out, (qid, home, s.q.tolist(), s.ids.tolist(), s.dist.tolist(), s.done.tolist(), s.homes.tolist(), ids.tolist(), d.tolist(), s.hops, s.ios, s.cmps, s.history, live)):
-            out[n].append(v)
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]
-    return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
-
-
-def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int], p: SearchParams, gather: bool = False, most_rounds: int = 1000) -> DataFrame:
+@dataclass(frozen=True)
+class Files:
+    """A node table as files: {folder}/{partition}.{column}. of: each partition's (nodes, dimensions, chunks)."""
+
+    folder: str
+    of: dict[int, tuple[int, int, int]]
+
+
+def laid_out(nodes: DataFrame) -> Files:
+    """Write the files, each partition by one task that streams through its rows. Finished files are renamed, so a repeated attempt replaces them by the same."""
+    folder = shared_dir(nodes.sparkSession, "partitions")
+    place, plain = fs.FileSystem.from_uri(folder)
+    place.create_dir(plain, recursive=True)
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, home, out, n, dim, chunks, links = TaskContext.get().taskAttemptId(), None, {}, 0, 0, 0, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if home is not None:
+                for k, f in out.items():
+                    f.close()
+                    place.move(f"{plain}/_{home}.{k}.{attempt}", f"{plain}/{home}.{k}")
+                yield pa.record_batch([pa.array([v], pa.int64()) for v in (home, n, dim, chunks)], names=["home", "n", "dim", "chunks"])
+
+        for b in it:
+            homes = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(homes[1:] != homes[:-1]) + 1).tolist(), len(homes)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                t = pa.Table.from_batches([b.slice(x, y - x)])
+                if int(homes[x]) != home:
+                    yield from close()
+                    home, n, links = int(homes[x]), 0, 0
+                    out = {k: place.open_output_stream(f"{plain}/_{home}.{k}.{attempt}") for k in COLUMNS}
+                    out["offsets"].write(np.zeros(1, np.int64).tobytes())
+                part = Part.of(t)
+                dim, chunks = part.x.shape[1], part.codes.shape[1]
+                for k, kind in COLUMNS.items():
+                    values = part.offsets[1:] + links if k == "offsets" else getattr(part, k)
+                    out[k].write(np.ascontiguousarray(values, kind).tobytes())
+                n, links = n + len(part.ids), links + len(part.nbrs)
+        yield from close()
+
+    ordered = nodes.select(*(x.split()[0] for x in NODES.split(", "))).repartition("partition_id").sortWithinPartitions("partition_id", "id")
+    rows = ordered.mapInArrow(write, "home long, n long, dim long, chunks long").collect()  # one for each partition
+    return Files(folder, {r.home: (r.n, r.dim, r.chunks) for r in rows})
+
+
+#: A worker's open partitions. Mapped ones cost nothing; those that had to be read whole count against READ_BYTES.
+_OPEN: OrderedDict[tuple[str, int], Part] = OrderedDict()
+READ_BYTES, OPEN_PARTS = 512 << 20, 4096
+
+
+def opened(files: Files, home: int) -> Part:
+    key = (files.folder, home)
+    if key in _OPEN:
+        _OPEN.move_to_end(key)
+        return _OPEN[key]
+    place, plain = fs.FileSystem.from_uri(files.folder)
+    _, dim, chunks = files.of[home]
+    held, read = {}, not isinstance(place, fs.LocalFileSystem)
+    for k, kind in COLUMNS.items():
+        path = f"{plain}/{home}.{k}"
+        if read:
+            with place.open_input_file(path) as f:
+                held[k] = np.frombuffer(f.read(), kind)
+        else:
+            held[k] = np.memmap(path, kind, "r") if place.get_file_info(path).size else np.zeros(0, kind)
+    part = Part(home, held["ids"], held["x"].reshape(-1, dim), held["codes"].reshape(-1, chunks), held["offsets"], held["nbrs"], held["nbr_codes"].reshape(-1, chunks), held["nbr_homes"])
+    _OPEN[key] = part
+    while len(_OPEN) > OPEN_PARTS or (read and len(_OPEN) > 1 and sum(x.x.nbytes + x.nbr_codes.nbytes + x.nbrs.nbytes for x in _OPEN.values()) > READ_BYTES):
+        _OPEN.popitem(last=False)
+    return part
+
+
+_STATE = "qid long, home int, live boolean, part int, data binary"
+_LAYOUT = (("q", np.float64), ("ids", np.int64), ("dist", np.float64), ("done", np.uint8), ("homes", np.int32), ("exact_id", np.int64), ("exact_d", np.float64), ("history", np.int32))
+
+
+def _pack(s: State, keep: int) -> bytes:
+    """A state as bytes. Exact answers are cut to the best `keep`; they are what the result can need."""
+    ids, d = s.best(keep)
+    values = (s.q, s.ids, s.dist, s.done, s.homes, ids, d, s.history)
+    arrays = [np.ascontiguousarray(v, kind) for v, (_, kind) in zip(values, _LAYOUT)]
+    return np.array([s.hops, s.ios, s.cmps, *map(len, arrays)], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(data: bytes) -> State:
+    head = np.frombuffer(data, np.int64, 3 + len(_LAYOUT))
+    at, v = head.nbytes, {}
+    for (k, kind), n in zip(_LAYOUT, head[3:].tolist()):
+        v[k] = np.frombuffer(data, kind, n, at)
+        at += v[k].nbytes
+    return State(v["q"], v["ids"], v["dist"], v["done"].astype(bool), v["homes"].astype(np.int64), v["exact_id"].tolist(), v["exact_d"].tolist(), *head[:3].tolist(), v["history"].tolist())
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=[x.split()[0] for x in _STATE.split(", ")])
+
+
+#: Rounds of one job; after each job the states are stored and counted.
+ROUNDS = 8
+
+
+def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, gather: bool = False, files: Files | None = None, round_robin: bool = False) -> DataFrame:
     """One graph over all partitions; a query's whole state moves to the home of its next candidate whenever nothing ahead is local.
 
-    A round is one shuffle of the live states: each partition runs its states until they end or have to leave. States are
-    stored after each round, so a lost executor costs that round at most. With gather the exact answers found in a
-    partition are put aside at every move and merged in the end, instead of travelling with the state."""
+    A round is one shuffle of states, and of nothing else: a task opens the partitions of the states that it gets and runs
+    these until they end or have to leave. Several rounds are a job; its states are stored, so a lost executor costs these
+    rounds at most, and jobs follow until no state is live. With gather the exact answers found in a partition are put
+    aside at every move and merged in the end, instead of travelling with the state. With round_robin a query begins in
+    the partition of its turn (by qid), not in that of its best seed; it moves on from there if nothing is local."""
     spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast(book)
-    start = nodes.where(F.col("id").isin(seeds)).select("id", "codes", "partition_id").collect()
-    s_ids, s_homes = np.array([r.id for r in start], np.int64), np.array([r.partition_id for r in start], np.int64)
-    s_codes = np.array([r.codes for r in start], np.int64)
+    files = files or laid_out(nodes)
+    sent = spark.sparkContext.broadcast((book, seeds))
+    homes = sorted(files.of)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, seeds = sent.value
         for b in batches:
             if b.num_rows:
                 rows, q = [], matrix(b.column(1))
-                for qid, x, table in zip(b.column(0).to_pylist(), q, sent.value.table(q)):
-                    s = State.start(x, s_ids, adc(table, s_codes), s_homes, p.size)
-                    rows.append((qid, int(s.homes[0]), s, True))
-                yield from _from_states(rows, p.k).to_batches()
-
-    def step(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _from_states([], 0)
-        if not right.num_rows:
-            raise ValueError(f"no nodes in partition {key[0]}")
-        part, rows = Part(right, key[0].as_py()), []
-        tables = sent.value.table(matrix(left["vec"]))
-        for r, table in zip(left.to_pylist(), tables):
-            s = _to_state(r)
-            away = part.run(s, table, p)
-            rows.append((r["qid"], part.home if away is None else away, s, away is not None))
-        return _from_states(rows, p.k)
-
-    states = stored(queries.select("qid", F.col("vec").cast("array<double>")).mapInArrow(begin, _STATE), "states")
-    finished, parts = None, None
-    for _ in range(most_rounds):
-        moved = states.groupBy("home").cogroup(nodes.groupBy("partition_id")).applyInArrow(step, _STATE)
-        after = stored(moved, "states")
-        ended = after.where("not live")
-        finished = ended if finished is None else finished.unionByName(ended)
-        states = after.where("live")
-        if gather:
-            some = after.select("qid", F.explode(F.arrays_zip(F.col("exact_id").alias("id"), F.col("exact_d").alias("dist"))).alias("e")).select("qid", "e.id", "e.dist")
-            parts = some if parts is None else parts.unionByName(some)
-            empty = F.array().cast("array<long>"), F.array().cast("array<double>")
-            states = states.withColumns({"exact_id": empty[0], "exact_d": empty[1]})
-        if not states.limit(1).count():
-            break
-    cost = finished.select("qid", "hops", "ios", "cmps", F.greatest(F.lit(0), F.size("history") - 1).cast("long").alias("inter_hops"), "history")
-    if parts is None:
-        parts = finished.select("qid", F.explode(F.arrays_zip(F.col("exact_id").alias("id"), F.col("exact_d").alias("dist"))).alias("e")).select("qid", "e.id", "e.dist")
-    return knn.merge(parts, p.k).join(cost, "qid").select(*_NAMES)
+                for qid, x, table, at in zip(b.column(0).to_pylist(), q, book.table(q), seeds.of(q, p.seeds)):
+                    s = State.start(x, seeds.ids[at], adc(table, seeds.codes[at]), seeds.homes[at], p.size)
+                    rows.append((qid, homes[qid % len(homes)] if round_robin else int(s.homes[0]), True, None, _pack(s, p.k)))
+                yield _states(rows)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, _ = sent.value
+        for b in batches:
+            rows, moved = [], []
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                (moved if row[2] else rows).append(row)
+            moved.sort(key=lambda r: (r[1], r[0]))
+            for at in range(0, len(moved), STEP_QUERIES):
+                some = [(*r[:2], _unpack(r[4])) for r in moved[at : at + STEP_QUERIES]]
+                for (qid, home, s), table in zip(some, book.table(np.stack([s.q for _, _, s in some]))):
+                    away = opened(files, home).run(s, table, p)
+                    if gather:
+                        ids, d = s.best(p.k)
+                        rows.append((qid, home, False, len(s.history), _pack(State(s.q[:0], s.ids[:0], s.dist[:0], s.done[:0], s.homes[:0], ids.tolist(), d.tolist()), p.k)))
+                        s.exact_id, s.exact_d = [], []
+                    if away is None:  # what is left of it is the answer
+                        s = State(s.q[:0], s.ids[:0], s.dist[:0], s.done[:0], s.homes[:0], s.exact_id, s.exact_d, s.hops, s.ios, s.cmps, s.history)
+                    rows.append((qid, home if away is None else away, away is not None, None, _pack(s, p.k)))
+            if rows:
+                yield _states(rows)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = -(-n // len(homes))  # the states of one partition are shared out too
+    states = queries.select("qid", F.col("vec").cast("array<double>")).mapInArrow(begin, _STATE)
+    ended, live = None, None
+    # the stages of a job are known beforehand: nothing to plan anew between them
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        while live is None or live.limit(1).count():
+            states = states if live is None else live
+            for _ in range(ROUNDS):
+                states = states.repartition(n, "home", F.pmod("qid", F.lit(spread))).mapInArrow(step, _STATE)
+            after = stored(states, "states")
+            done, live = after.where("not live"), after.where("live")
+            ended = done if ended is None else ended.unionByName(done)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for qid, _, _, part, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                s = _unpack(data)
+                # a part has answers alone; a state without answers of its own has a row for its costs
+                costs = (None,) * 5 if part is not None else (s.hops, s.ios, s.cmps, max(0, len(s.history) - 1), s.history)
+                found = list(zip(s.exact_id, s.exact_d)) or ([] if part is not None else [(None, None)])
+                rows += [(qid, i, d, *costs) for i, d in found]
+            if rows:
+                yield _answer(rows, _NAMES)
+
+    found = ended.mapInArrow(answers, RESULT)
+    if not gather:
+        return found.where("id is not null")
+    cost = found.where("hops is not null").select("qid", "hops", "ios", "cmps", "inter_hops", "history")
+    return knn.merge(found.where("id is not null").select("qid", "id", "dist"), p.k).join(cost, "qid").select(*_NAMES)
 
 
-def coordinator(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: list[int], p: SearchParams, most_rounds: int = 1000) -> DataFrame:
+def coordinator(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams) -> DataFrame:
     """The pool is a table; each round joins its frontier to the nodes and scores their links: relational operators alone.
 
     Only candidates below the query's cut-off (the last of a full pool) come back from the join. Pools are stored after
@@ -399,18 +553,27 @@ def coordinator(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: lis
         get = lambda c, i: F.element_at(c, F.element_at(codes, i + 1 if at is None else at * chunks + i + 1) + 1)
         return F.aggregate(F.transform(lut, get), F.lit(0.0), lambda a, x: a + x)
 
-    start = F.broadcast(nodes.where(F.col("id").isin(seeds)).select("id", "codes"))
-    pool = knn.ranked(q.join(start).select("qid", "id", by_codes(F.col("lut"), F.col("codes")).alias("dist"), F.lit(False).alias("expanded")), p.size)
+    sent = spark.sparkContext.broadcast(seeds)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = sent.value
+        for b in batches:
+            if b.num_rows:
+                at = seeds.of(matrix(b.column(1)), p.seeds)
+                yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), at.shape[1])), pa.array(seeds.ids[at.ravel()]), pa.array(list(seeds.codes[at.ravel()]), pa.list_(pa.int16()))], names=["qid", "id", "codes"])
+
+    start = q.select("qid", "qvec").mapInArrow(starts, "qid long, id long, codes array<smallint>").dropDuplicates(["qid", "id"])
+    pool = knn.ranked(q.join(start, "qid").select("qid", "id", by_codes(F.col("lut"), F.col("codes")).alias("dist"), F.lit(False).alias("expanded")), p.size)
     pool = stored(pool.drop("rank"), "pool")
     exact, rounds = None, 0
-    while rounds < most_rounds:
+    while True:
         w = Window.partitionBy("qid").orderBy("dist", "id")
         ahead = pool.where("not expanded").withColumn("r", F.row_number().over(w)).where(F.col("r") <= p.beam).select("qid", "id")
         ahead = stored(ahead, "frontier")
         if not ahead.limit(1).count():
             break
         rounds += 1
-        met = nodes.join(F.broadcast(ahead), "id").join(q, "qid")
+        met = nodes.join(ahead, "id").join(q, "qid")
         diff = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
         read = stored(met.select("qid", "id", diff.alias("dist"), F.lit(rounds).alias("round"), "nbrs", F.transform("nbrs", lambda n, i: by_codes(F.col("lut"), F.col("nbr_codes"), i)).alias("nd")), "scored")
         cut = pool.groupBy("qid").agg(F.when(F.count("*") >= p.size, F.max("dist")).alias("cut"))

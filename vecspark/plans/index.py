@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,11 @@ from vecspark.operators.graph import BuildParams
 from vecspark.operators.search import SearchParams
 from vecspark.runtime import stored
 
-MODES = ("single", "scatter", "scatter_top_n", "state_send", "client_gather", "coordinator")
+MODES = ("single", "full_precision", "scatter", "scatter_top_n", "state_send", "client_gather", "coordinator")
+#: The head goes to every task that starts queries, and a graph of up to so many rows is built by one task.
+HEAD_BYTES, SHARD_ROWS = 256 << 20, 50_000
+#: Tables that an index may have.
+OPTIONAL = ("head", "deleted", "tags")
 
 
 @dataclass
@@ -30,14 +34,19 @@ class Index:
     book: pq.Codebook
     entry: int
     max_norm: float
-    head: tuple[np.ndarray, np.ndarray, list[np.ndarray], int] | None = None  # ids, vectors, links, entry of a sample
+    head: DataFrame | None = None  # id, vec, nbrs, entry: a graph over a sample, where queries find their seeds
+    deleted: DataFrame | None = None  # id: answers leave them out, paths still lead through them
+    tags: DataFrame | None = None  # id, tag: names that answers get
+    _files: search.Files | None = None
+    _seeds: search.Seeds | None = None
 
     @classmethod
-    def build(cls, df: DataFrame, partitions: int | DataFrame, name: str | Metric = "l2", chunks: int = 16, p: BuildParams = BuildParams(), shards: int = 1, head_share: float = 0.0, slack: float = 0.05) -> Index:
+    def build(cls, df: DataFrame, partitions: int | DataFrame, name: str | Metric = "l2", chunks: int = 32, p: BuildParams = BuildParams(), shards: int | None = None, head_share: float = 0.05, slack: float = 0.05) -> Index:
         """From vectors (id, vec): prepare for the metric, train and encode, assign homes (or take them: id, partition_id), build the graphs.
 
-        The global graph is built in overlapping shards and merged, or at once if shards is 1; local graphs are built
-        partition by partition. A graph over a sample (head) gives seeds if head_share is above 0."""
+        The global graph is built in overlapping shards of at most some SHARD_ROWS and merged, or at once if one shard
+        holds all; local graphs are built partition by partition. A graph over a sample (head) gives each query its seeds
+        if head_share is above 0."""
         m, spark, norm = metric(name), df.sparkSession, 1.0
         base = df.select("id", F.col("vec").cast("array<double>").alias("vec"))
         if m is Metric.MIPS:
@@ -45,10 +54,12 @@ class Index:
         elif m is Metric.COSINE:
             base = base.withColumn("vec", prep.normalize(F.col("vec")))
         base = stored(base, "vectors")
-        book = pq.train(base, chunks)
+        book = pq.train(base, min(chunks, len(base.select("vec").first()[0])))
         codes = stored(pq.encode(base, book), "codes")
         homes = cluster.balanced(base, partitions, slack) if isinstance(partitions, int) else partitions
         homes = stored(homes.select("id", F.col("partition_id").cast("int").alias("partition_id")), "homes")
+        if shards is None:
+            shards = -(-2 * base.count() // SHARD_ROWS) if base.count() > SHARD_ROWS else 1  # each row has two shards
         if shards > 1:
             links = graph.merged_build(base, shards, p).select("id", "nbrs")
         else:
@@ -61,11 +72,9 @@ class Index:
         entry = cluster.entry_point(base).first().id
         head = None
         if head_share:
-            t = cluster.sample(base, head_share, 7).orderBy("id").toArrow()  # a stated share, meant to be small
-            if t.num_rows:
-                x = matrix(t["vec"])
-                nbrs, at = graph.build(x, BuildParams(32, 64))
-                head = (t["id"].to_numpy(), x, nbrs, at)
+            some = cluster.sample(base, head_share, 7)
+            if some.limit(1).count():
+                head = stored(graph.build_shards(some.withColumn("shard", F.lit(0)), "shard", BuildParams(min(32, p.degree), 64)).drop("shard"), "head")
         return cls(spark, m, nodes, local, entries, medoids, book, entry, norm, head)
 
     def save(self, folder: str) -> None:
@@ -74,18 +83,21 @@ class Index:
         self.entries.coalesce(1).write.parquet(f"{folder}/entries")
         self.medoids.coalesce(1).write.parquet(f"{folder}/medoids")
         self.book.frame(self.spark).coalesce(1).write.parquet(f"{folder}/codebook")
-        meta = {"metric": self.metric.value, "entry": int(self.entry), "max_norm": float(self.max_norm), "centroid": [float(x) for x in self.book.centroid], "format": 1}
+        for name in OPTIONAL:
+            if (t := getattr(self, name)) is not None:
+                t.write.parquet(f"{folder}/{name}")
+        meta = {"metric": self.metric.value, "entry": int(self.entry), "max_norm": float(self.max_norm), "centroid": [float(x) for x in self.book.centroid], "format": 2, "tables": [n for n in OPTIONAL if getattr(self, n) is not None]}
         self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{folder}/meta")
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Index:
         meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
-        if meta.get("format") != 1:
+        if meta.get("format") != 2:
             raise ValueError(f"{folder} is no index of this version")
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
         nodes = read("nodes").withColumn("partition_id", F.col("partition_id").cast("int"))
         local = read("local").withColumn("partition_id", F.col("partition_id").cast("int"))
-        return cls(spark, metric(meta["metric"]), nodes, local, read("entries"), read("medoids"), pq.Codebook.of(meta["centroid"], read("codebook")), meta["entry"], meta["max_norm"])
+        return cls(spark, metric(meta["metric"]), nodes, local, read("entries"), read("medoids"), pq.Codebook.of(meta["centroid"], read("codebook")), meta["entry"], meta["max_norm"], **{n: read(n) for n in meta["tables"]})
 
     def check(self) -> None:
         """Every node has a home and codes, every link leads to a node, the entry is there."""
@@ -98,34 +110,94 @@ class Index:
         """Queries (qid, vec) as the index holds its vectors."""
         return queries.select("qid", prep.prepare_query(F.col("vec").cast("array<double>"), self.metric).alias("vec"))
 
-    def seeds(self, query: np.ndarray | None = None, n: int = 1) -> list[int]:
-        """Where global searches start: the entry, or the head's nodes nearest to its own centre."""
-        if self.head is None:
-            return [self.entry]
-        ids, x, nbrs, at = self.head
-        found, d = graph.greedy(x, nbrs, x.mean(axis=0) if query is None else query, at, 64)
-        order = np.lexsort((found, d))[:n]
-        return [int(i) for i in ids[found[order]]]
-
-    def search(self, queries: DataFrame, k: int = 10, size: int = 64, beam: int = 4, mode: str = "state_send", top_n: int = 2, seeds: int = 1) -> DataFrame:
-        """qid, id, dist (exact squared L2 as the index holds vectors), hops, ios, cmps, inter_hops, history; for mips also inner (the inner product of the original vectors, for a query of unit norm)."""
+    def files(self) -> search.Files:
+        """The global graph as partitions' files, laid out once."""
+        self._files = self._files or search.laid_out(self.nodes)
+        return self._files
+
+    def seeds(self) -> search.Seeds:
+        """Where global searches start: the head's nodes nearest to each query, or the entry if there is no head."""
+        if self._seeds is None:
+            codes = self.nodes.select("id", "codes", "partition_id")
+            if self.head is None:
+                t = codes.where(F.col("id") == self.entry).toArrow()
+                self._seeds = search.Seeds(t["id"].to_numpy(), matrix(t["codes"], np.int64), t["partition_id"].to_numpy().astype(np.int64))
+            else:
+                n, dim, degree = self.head.agg(F.count("*"), F.max(F.size("vec")), F.max(F.size("nbrs"))).first()
+                if n * 8 * (dim + degree + self.book.chunks) > HEAD_BYTES:
+                    raise ValueError("the head doesn't fit a worker: build the index with a smaller share")
+                t = self.head.join(codes, "id").orderBy("id").toArrow()
+                ids = t["id"].to_numpy()
+                links = graph.padded([np.searchsorted(ids, n) for n in t["nbrs"].to_pylist()])
+                self._seeds = search.Seeds(ids, matrix(t["codes"], np.int64), t["partition_id"].to_numpy().astype(np.int64), matrix(t["vec"]), links, int(t["entry"].to_numpy(zero_copy_only=False).argmax()))
+        return self._seeds
+
+    # --- changes ---------------------------------------------------------------------------------------------------
+
+    def delete(self, ids: DataFrame) -> Index:
+        """Lazy: answers leave these ids out; unknown ones don't matter."""
+        none = self.spark.createDataFrame([], "id long")
+        return replace(self, deleted=stored(graph.delete(self.deleted or none, ids, self.nodes), "deleted"))
+
+    def consolidated(self, p: BuildParams = BuildParams(), compact: bool = False) -> Index:
+        """An index without the deleted ids, its links repaired; the entry anew if it was one of them, a head of what is left. compact: ids from 0 on without gaps, in the old ones' order; tags keep the names."""
+        gone = self.deleted if self.deleted is not None else self.spark.createDataFrame([], "id long")
+        kept = lambda t: t.join(gone.select("id"), "id", "left_anti")
+        vectors, codes, homes = (stored(kept(self.nodes).select("id", c), f"kept-{c}") for c in ("vec", "codes", "partition_id"))
+        graphs = {n: stored(graph.consolidate(getattr(self, n).select("id", "vec", "nbrs"), gone, p).select("id", "nbrs"), f"{n}-links") for n in ("nodes", "local")}
+        head = None if self.head is None else kept(self.head).select("id")
+        entries = kept(self.entries)
+        lost = self.entries.join(entries, "partition_id", "left_anti").select("partition_id")
+        centre = cluster.medoids(vectors.join(homes, "id").join(lost, "partition_id"), "partition_id").select("partition_id", "id")
+        entries = stored(entries.select("partition_id", "id").unionByName(centre), "entries")
+        tags = kept(self.tags) if self.tags is not None else None
+        if compact:
+            named = stored(_dense(vectors.select("id")), "names")
+            name = lambda t, c="id": t.join(named.select(F.col("id").alias(c), "new"), c).drop(c).withColumnRenamed("new", c)
+            tags = stored(name(tags if tags is not None else vectors.select("id", F.col("id").alias("tag"))), "tags")
+            vectors, codes, homes, entries = (stored(name(t), "renamed") for t in (vectors, codes, homes, entries))
+            for k, g in graphs.items():
+                edges = name(name(g.select("id", F.posexplode("nbrs").alias("p", "n"))), "n").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("e"))
+                graphs[k] = stored(vectors.select("id").join(edges, "id", "left").select("id", F.coalesce(F.transform("e", lambda x: x["n"]), F.array().cast("array<long>")).alias("nbrs")), f"{k}-links")
+            head = name(head) if head is not None else None
+        nodes = stored(search.node_table(vectors, graphs["nodes"], codes, homes), "nodes")
+        local = stored(search.node_table(vectors, graphs["local"], codes, homes), "local-nodes")
+        if head is not None:
+            head = stored(graph.build_shards(head.join(vectors, "id").withColumn("shard", F.lit(0)), "shard", BuildParams(min(32, p.degree), 64)).drop("shard"), "head")
+        entry = cluster.entry_point(vectors).first().id
+        return Index(self.spark, self.metric, nodes, local, entries, self.medoids, self.book, entry, self.max_norm, head, None, tags)
+
+    # --- search ----------------------------------------------------------------------------------------------------
+
+    def search(self, queries: DataFrame, k: int = 10, size: int = 64, beam: int = 4, mode: str = "state_send", top_n: int = 2, seeds: int = 10, round_robin: bool = False) -> DataFrame:
+        """qid, id, dist (exact squared L2 as the index holds vectors), hops, ios, cmps, inter_hops, history; for mips also inner (the inner product of the original vectors, for a query of unit norm); with tags also tag.
+
+        Deleted ids are searched through and left out of the answers: all that a search has expanded is looked at for k others."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
-        q, p = self.prepare(queries), SearchParams(k, size, beam)
-        if mode == "single":
-            found = search.single(q, self.nodes, self.book, self.seeds(n=seeds), p)
+        q, p = self.prepare(queries), SearchParams(k if self.deleted is None else max(k, size), size, beam, seeds)
+        if mode in ("single", "full_precision"):
+            found = search.single(q, self.nodes, self.book, self.seeds(), p, exact=mode == "full_precision")
         elif mode == "scatter":
             found = search.scatter(q, self.local, self.entries, self.book, p)
         elif mode == "scatter_top_n":
             found = search.scatter(q, self.local, self.entries, self.book, p, knn.route(q, self.medoids, top_n))
         elif mode == "coordinator":
-            found = search.coordinator(q, self.nodes, self.book, self.seeds(n=seeds), p)
+            found = search.coordinator(q, self.nodes, self.book, self.seeds(), p)
         else:
-            found = search.state_send(q, self.nodes, self.book, self.seeds(n=seeds), p, mode == "client_gather")
+            found = search.state_send(q, self.nodes, self.book, self.seeds(), p, mode == "client_gather", self.files(), round_robin)
+        if self.deleted is not None:
+            found = knn.ranked(found.join(self.deleted.select("id"), "id", "left_anti"), k).select(*found.columns)
         if self.metric is Metric.MIPS:
             # |a - b|^2 = 2 - 2 a.b for unit vectors; b is the original divided by the largest norm
             found = found.withColumn("inner", (1 - F.col("dist") / 2) * F.lit(self.max_norm))
+        if self.tags is not None:
+            found = found.join(self.tags.select("id", "tag"), "id", "left")
         return found
 
 
+def _dense(ids: DataFrame) -> DataFrame:
+    """(id, new): new counts from 0 in the order of id. Ranks come from counts of ranges, so no task orders all rows."""
+    from vecspark.operators.metrics import prefix_weights
 
+    return prefix_weights(ids.withColumn("w", F.lit(1).cast("long")), "w", exclusive=True).select("id", F.col("prefix").cast("long").alias("new"))

@@ -56,17 +56,24 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Executions within leave no shuffle files: their results are written, and nothing reads their shuffles again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for what runs within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession):
+    """Executions within leave no shuffle files: their results are written, and nothing reads their shuffles again."""
+    return settings(spark, {CLEANUP: "true"})
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
