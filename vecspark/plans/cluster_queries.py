@@ -110,9 +110,13 @@ def cluster_size_estimate(spark, sf):
     return cluster.cluster_sizes(base_of(v), _centers(v), 0.5)
 
 
-@query("select least(greatest(least(100000 // 1000, 64, 128), 1), 128)::bigint as chunks, round(1.1 * (1000 * 32 * 4 * 1.3 + 1000 * 64 * 4), 6)::double as ram, (1000 + floor(100 * log2(17)))::bigint as sample")
+_SIZES = "i as (select unnest([1, 999, 1000, 17500, 250000, 10000000]) as n), j as (select unnest([0, 10000, 100000, 64000000]) as budget), d as (select unnest([3, 64, 500]) as dim)"
+
+
+@query(f"with {_SIZES} select n::bigint as n, budget::bigint as budget, dim::bigint as dim, greatest(1, least(budget // n, dim, 128))::bigint as chunks, round(1.1 * (n::double * 32 * 4 * 1.3 + n::double * dim * 4), 3)::double as ram, (case when n < 1000 then 1000 else 1000 + floor(100 * log2(n // 1000)) end)::bigint as sample from i, j, d")
 def sizing_rules(spark, sf):
-    return spark.createDataFrame([(prep.pq_chunks(100_000, 1000, 64), round(prep.ram_estimate(1000, 64, 32), 6), prep.medoid_sample_size(1000, 17_500))], "chunks long, ram double, sample long")
+    rows = [(n, m, d, prep.pq_chunks(m, n, d), round(prep.ram_estimate(n, d, 32), 3), prep.medoid_sample_size(1000, n)) for n in (1, 999, 1000, 17_500, 250_000, 10_000_000) for m in (0, 10_000, 100_000, 64_000_000) for d in (3, 64, 500)]
+    return spark.createDataFrame(rows, "n long, budget long, dim long, chunks long, ram double, sample long")
 
 
 @query()
@@ -121,6 +125,15 @@ def balanced_partitions(spark, sf):
     return cluster.balanced(vectors(spark, sf), 5, 0.05).groupBy("partition_id").agg(F.count("*").alias("n"))
 
 
+@query("select true as fits, count(*)::bigint as n from embeddings")
+def shards_within_memory(spark, sf):
+    """Centres for clusters whose index fits a sixth of what all rows take: every one does, and no row is left out."""
+    v = base_of(vectors(spark, sf))
+    ram = prep.ram_estimate(v.count(), 64, 16) / 6
+    sizes = cluster.assign(v, cluster.shards_within(v, ram, 16, 1)).groupBy("partition_id").agg(F.count("*").alias("n"))
+    return sizes.agg((F.max("n") * F.lit(prep.ram_estimate(1, 64, 16)) <= ram).alias("fits"), F.sum("n").alias("n"))
+
+
 @query()
 def kmeans_trained(spark, sf):
     """Residual of k-means from k-means++ pivots."""

@@ -12,6 +12,7 @@ from vecspark.operators import graph, knn, metrics
 from vecspark.operators.graph import BuildParams
 from vecspark.plans.index import Index
 from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_l2, vectors
+from vecspark.runtime import stored
 
 _PAIRS = f"with {SQL_VECTORS}, d as (select x.id, y.id as n, {sql_l2('x.vec', 'y.vec')} as dist from b x, b y where x.id <> y.id), k as (select * from (select *, row_number() over (partition by id order by dist, n) as rank from d) where rank <= 8)"
 _BOTH = _PAIRS + ", e as (select id, n from k union select n, id from k)"
@@ -44,12 +45,12 @@ def degree_stats(spark, sf):
     return rounded(metrics.degree_stats(_graph(spark, sf)), "avg_degree")
 
 
-_LEVELS = _BOTH.replace("with ", "with recursive ", 1) + ", l(id, level) as (select 50::bigint, 0 union select e.n, l.level + 1 from l join e using (id) where l.level < 12) select id, min(level)::int as level from l group by id"
+_LEVELS = _BOTH.replace("with ", "with recursive ", 1) + ", l(id, level) as (select 0::bigint, 0 union select e.n, l.level + 1 from l join e using (id) where l.level < 12) select id, min(level)::int as level from l group by id"
 
 
 @query(_LEVELS)
 def graph_bfs_levels(spark, sf):
-    return graph.bfs_levels(_graph(spark, sf), spark.createDataFrame([(50,)], "id long"))
+    return graph.bfs_levels(_graph(spark, sf), spark.createDataFrame([(0,)], "id long"))
 
 
 @query(_BOTH + " select e.id, n from e join b using (id) where label = 3")
@@ -94,7 +95,7 @@ def index(spark, sf) -> Index:
     if key not in _INDEXES:
         v = base_of(vectors(spark, sf))
         homes = v.select("id", F.pmod("label", F.lit(4)).alias("partition_id"))
-        _INDEXES[key] = Index.build(v, homes, "l2", 16, BuildParams(16, 40, 80))
+        _INDEXES[key] = Index.build(v, homes, "l2", 32, BuildParams(32, 64, 160))
     return _INDEXES[key]
 
 
@@ -105,24 +106,53 @@ def _exhaustive(mode):
     def run(spark, sf):
         v = vectors(spark, sf)
         n = base_of(v).count()
-        found = index(spark, sf).search(queries_of(v), 10, n, 64, mode, top_n=4)
+        found = index(spark, sf).search(queries_of(v), 10, n, 64, mode)
         return rounded(found.select("qid", "id", "dist"), "dist")
 
     run.__doc__ = f"Mode {mode} with a pool of all nodes."
     return run
 
 
-for _mode in ("single", "scatter", "scatter_top_n", "state_send", "client_gather", "coordinator"):
+for _mode in ("single", "full_precision", "scatter", "state_send", "client_gather", "coordinator"):
     query(_EXACT, f"ann_exhaustive_{_mode}")(_exhaustive(_mode))
 
 
+_ROUTED = f"with {SQL_VECTORS}, h as (select *, label % 4 as p from b), s as (select x.p, x.id, sum({sql_l2('x.vec', 'y.vec')}) as cost from h x join h y on x.p = y.p group by all), m as (select p, vec from (select *, row_number() over (partition by p order by round(cost, 9), id) as r from s) join b using (id) where r = 1), r as (select qid, p from (select qid, p, row_number() over (partition by qid order by {sql_l2('q.vec', 'm.vec')}, p) as r from q, m) where r <= 2), d as (select qid, id, {sql_l2('q.vec', 'h.vec')} as dist from r join q using (qid) join h using (p))"
+
+
+@query(_ROUTED + " select qid, id, round(dist, 6) as dist from (select *, row_number() over (partition by qid order by dist, id) as rank from d) where rank <= 10")
+def ann_exhaustive_scatter_top_n(spark, sf):
+    """Routed to the two partitions of four whose medoids are nearest: what lies in the others isn't found."""
+    v = vectors(spark, sf)
+    found = index(spark, sf).search(queries_of(v), 10, base_of(v).count(), 64, "scatter_top_n", top_n=2)
+    return rounded(found.select("qid", "id", "dist"), "dist")
+
+
+@query(_EXACT.replace("from q, b)", "from q, b where b.id % 3 <> 0)"))
+def ann_deleted(spark, sf):
+    """A third of the ids deleted: paths lead through them, answers leave them out."""
+    v = vectors(spark, sf)
+    ix = index(spark, sf).delete(base_of(v).where("id % 3 = 0").select("id"))
+    return rounded(ix.search(queries_of(v), 10, base_of(v).count(), 64, "state_send").select("qid", "id", "dist"), "dist")
+
+
+@query(f"with {SQL_VECTORS}, k as (select *, row_number() over (order by id) - 1 as new from b where id % 3 <> 0), d as (select qid, new, k.id as tag, {sql_l2('q.vec', 'k.vec')} as dist from q, k) select qid, new as id, tag, round(dist, 6) as dist from (select *, row_number() over (partition by qid order by dist, new) as rank from d) where rank <= 10")
+def ann_consolidated(spark, sf):
+    """The same consolidated: links repaired, ids renumbered, tags the old ones."""
+    v = vectors(spark, sf)
+    ix = index(spark, sf).delete(base_of(v).where("id % 3 = 0").select("id")).consolidated(BuildParams(32, 64, 160), compact=True)
+    ix.check()
+    return rounded(ix.search(queries_of(v), 10, base_of(v).count(), 64, "single").select("qid", "id", "tag", "dist"), "dist")
+
+
 @query()
 def ann_beam_stats(spark, sf):
-    """Mean costs and recall of each mode with a pool of 40."""
+    """Mean costs and recall of each mode with a pool of 80."""
     v = vectors(spark, sf)
-    q, truth, out = queries_of(v), knn.nearest(queries_of(v), base_of(v), 10), None
-    for mode in ("single", "scatter", "scatter_top_n", "state_send", "client_gather"):
-        found = index(spark, sf).search(q, 10, 40, 4, mode)
+    q, out = queries_of(v), None
+    truth = stored(knn.nearest(q, base_of(v), 10), "truth")
+    for mode in ("single", "full_precision", "scatter", "scatter_top_n", "state_send", "client_gather", "coordinator"):
+        found = stored(index(spark, sf).search(q, 10, 80, 4, mode), "found")
         cost = found.select("qid", "hops", "ios", "cmps", "inter_hops").distinct().agg(*(F.round(F.avg(c), 3).alias(f"mean_{c}") for c in ("hops", "ios", "cmps", "inter_hops")))
         one = cost.withColumn("recall", F.lit(knn.recall(found, truth, 10).first()[0])).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
@@ -131,33 +161,35 @@ def ann_beam_stats(spark, sf):
 
 @query()
 def ann_recall_curve(spark, sf):
-    """Recall at 10 by the size of the pool, in one place."""
+    """Recall at 10 by the size of the pool, in one place and by moving states, one candidate a hop."""
     v = vectors(spark, sf)
-    q, truth, out = queries_of(v), knn.nearest(queries_of(v), base_of(v), 10), None
-    for size in (10, 20, 40, 80):
-        found = index(spark, sf).search(q, 10, size, 4, "single")
-        one = knn.recall(found, truth, 10).select(F.lit(size).alias("size"), "recall")
-        out = one if out is None else out.unionByName(one)
+    q, out = queries_of(v), None
+    truth = stored(knn.nearest(q, base_of(v), 10), "truth")
+    for mode in ("single", "state_send"):
+        for size in (10, 20, 40, 80):
+            found = index(spark, sf).search(q, 10, size, 1, mode)
+            one = knn.recall(found, truth, 10).select(F.lit(mode).alias("mode"), F.lit(size).alias("size"), "recall")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
 @query()
 def graph_maintenance(spark, sf):
-    """Recall after a seventh of the nodes is deleted and consolidated, and as many others are inserted."""
-    from vecspark.operators import pq, search
+    """Recall of local graphs after a seventh of their nodes is deleted and consolidated and a fifth of all rows is inserted, a partition by itself each."""
+    from vecspark.operators import cluster, pq, search
     from vecspark.operators.search import SearchParams
 
-    v = base_of(vectors(spark, sf)).where("id < 450").select("id", "vec", F.lit(0).alias("partition_id"))
-    old, new = v.where("id % 5 <> 0"), v.where("id % 5 = 0")
-    p = BuildParams(16, 40, 80)
-    nodes = graph.build_shards(old, "partition_id", p).select("id", "vec", "nbrs")
-    gone = old.where("id % 7 = 0").select("id")
-    left = graph.consolidate(nodes, gone, p).withColumn("partition_id", F.lit(0))
-    grown = graph.insert(left.select("partition_id", "id", "vec", "nbrs"), new.select("partition_id", "id", "vec"), p)
+    v = base_of(vectors(spark, sf)).select("id", "vec", F.pmod("label", F.lit(4)).cast("int").alias("partition_id"))
+    old, new = v.where("id % 5 <> 3"), v.where("id % 5 = 3")
+    p = BuildParams(24, 64, 120)
+    nodes = stored(graph.build_shards(old, "partition_id", p).select("id", "vec", "nbrs"), "nodes")
+    gone = old.where("id % 7 = 1").select("id")
+    left = graph.consolidate(nodes, gone, p).join(v.select("id", "partition_id"), "id")
+    grown = stored(graph.insert(left.select("partition_id", "id", "vec", "nbrs"), new.select("partition_id", "id", "vec"), p), "grown")
     base = grown.select("id", "vec")
-    book = pq.train(base, 16)
+    book = pq.train(base, 32)
     table = search.node_table(base, grown.select("id", "nbrs"), pq.encode(base, book), grown.select("id", "partition_id"))
     q = queries_of(vectors(spark, sf))
-    entry = grown.orderBy("id").first().id
-    found = search.single(q, table, book, [entry], SearchParams(10, 80, 4))
+    entries = cluster.medoids(grown.select("id", "vec", "partition_id"), "partition_id").select("partition_id", "id")
+    found = search.scatter(q, table, entries, book, SearchParams(10, 80, 4))
     return knn.recall(found, knn.nearest(q, base, 10), 10)

@@ -9,7 +9,7 @@ from vecspark.functions import prep as P
 from vecspark.operators import knn as K
 from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_dot, sql_l2, vectors
 
-_TOP = "select qid, id, round(dist, 6) as dist, rank from (select *, row_number() over (partition by qid order by dist, id) as rank from d) where rank <= 10"
+_TOP = "select qid, id, round(dist, 6) + 0.0 as dist, rank from (select *, row_number() over (partition by qid order by dist, id) as rank from d) where rank <= 10"
 _L2 = f"with {SQL_VECTORS}, d as (select qid, id, {sql_l2('q.vec', 'b.vec')} as dist from q, b) "
 
 
@@ -32,8 +32,8 @@ def knn_ip_top10(spark, sf):
 
 
 _SCALED = f"""with v as (select vec_id as id, list_transform(embedding::double[], lambda x: x * (1 + vec_id % 7)) as vec, label from embeddings),
-n as (select *, {sql_dot('vec', 'vec')} as n2 from v), q as (select id as qid, list_transform(vec, lambda x: x / sqrt(n2)) || [0.0::double] as vec from n where id < 50),
-b0 as (select * from n where id >= 50), m as (select sqrt(max(n2)) as m from b0),
+n as (select *, {sql_dot('vec', 'vec')} as n2 from v), q as (select id as qid, list_transform(vec, lambda x: x / sqrt(n2)) || [0.0::double] as vec from n where id % 100 = 0),
+b0 as (select * from n), m as (select sqrt(max(n2)) as m from b0),
 b as (select id, list_transform(vec, lambda x: x / m) || [sqrt(greatest(0.0, 1 - n2 / (m * m)))] as vec, n2, m from b0, m)"""
 
 
@@ -102,13 +102,13 @@ def normalize_file(spark, sf):
 _BYTES = "list_transform(embedding::double[], lambda x: round(abs(x) * 255)::smallint)"
 
 
-@query(f"with v as (select vec_id as id, {_BYTES}::double[] as vec from embeddings), q as (select id as qid, vec from v where id < 50), b as (select * from v where id >= 50), d as (select qid, id, {sql_l2('q.vec', 'b.vec')} as dist from q, b) " + _TOP)
+@query(f"with v as (select vec_id as id, {_BYTES}::double[] as vec from embeddings), q as (select id as qid, vec from v where id % 100 = 0), b as (select * from v), d as (select qid, id, {sql_l2('q.vec', 'b.vec')} as dist from q, b) " + _TOP)
 def knn_uint8_top10(spark, sf):
     v = vectors(spark, sf).withColumn("vec", P.convert(F.transform("vec", lambda x: F.round(F.abs(x) * 255)), "uint8"))
     return rounded(K.nearest(queries_of(v), base_of(v), 10, "l2", "uint8"), "dist")
 
 
-@query(f"with v as (select vec_id as id, {_BYTES}::double[] as vec from embeddings), q as (select id as qid, vec from v where id < 50), b as (select * from v where id >= 50), d as (select qid, id, 65025 - {sql_dot('q.vec', 'b.vec')} as dist from q, b) " + _TOP)
+@query(f"with v as (select vec_id as id, {_BYTES}::double[] as vec from embeddings), q as (select id as qid, vec from v where id % 100 = 0), b as (select * from v), d as (select qid, id, 65025 - {sql_dot('q.vec', 'b.vec')} as dist from q, b) " + _TOP)
 def knn_cosine_uint8_top10(spark, sf):
     v = vectors(spark, sf).withColumn("vec", P.convert(F.transform("vec", lambda x: F.round(F.abs(x) * 255)), "uint8"))
     return rounded(K.nearest(queries_of(v), base_of(v), 10, "cosine", "uint8"), "dist")
@@ -153,14 +153,9 @@ def route_top_n_partitions(spark, sf):
 
 @query(_L2 + _TOP)
 def scatter_gather_exact(spark, sf):
-    """Exact top 10 of every partition (by label), merged."""
+    """Exact top 10 of every partition (by label), merged: one scan."""
     v = vectors(spark, sf)
-    q, b = queries_of(v), base_of(v)
-    parts = None
-    for p in range(10):
-        one = K.nearest(q, b.where(F.col("label") == p), 10).drop("rank")
-        parts = one if parts is None else parts.unionByName(one)
-    return rounded(K.merge(parts, 10), "dist")
+    return rounded(K.merge(K.nearest_by(queries_of(v), base_of(v), "label", 10), 10), "dist")
 
 
 @query(_L2 + ", p as (select qid, id, dist, rank % 2 = 0 as expanded from (select *, row_number() over (partition by qid order by dist, id) as rank from d) where rank <= 20) select qid, id, round(dist, 6) as dist, expanded, rank from (select *, row_number() over (partition by qid order by dist, id) as rank from p) where rank <= 15")

@@ -56,11 +56,27 @@ def _curve(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("l")).agg((F.avg("l_quantity") / 50).alias("recall"), F.avg("l_extendedprice").alias("qps"))
 
 
-@query(f"with {_CURVE}, p as (select run, recall, qps, lead(recall) over w as r2, lead(qps) over w as q2 from c window w as (partition by run order by recall, qps)) select run, round(min(case when recall = 0.52 then qps when recall < 0.52 and r2 > 0.52 then qps + (0.52 - recall) / (r2 - recall) * (q2 - qps) end), 4) as qps from p group by run")
+@query(f"with {_CURVE}, p as (select run, recall, qps, lead(recall) over w as r2, lead(qps) over w as q2 from c window w as (partition by run order by recall, qps)) select run, round(min(case when abs(recall - 0.52) <= 1e-6 then qps when recall < 0.52 and r2 > 0.52 then qps + (0.52 - recall) / (r2 - recall) * (q2 - qps) end), 4) as qps from p group by run")
 def interp_at_recall(spark, sf):
     return rounded(M.interpolate_at(_curve(spark, sf), "recall", "qps", 0.52, ["run"]), "qps", digits=4)
 
 
+@query(f"with {_CURVE}, r as (select run, min(recall) as low, max(recall) as high from c group by run) select run, round(low, 6) as low, round(high, 6) as high, true as said from r where low - 1e-6 > 0.55 or high + 1e-6 < 0.55")
+def interp_out_of_range(spark, sf):
+    out = M.out_of_range(_curve(spark, sf), "recall", 0.55, ["run"])
+    return rounded(out.select("run", "low", "high", F.col("message").startswith("0.5500 is outside").alias("said")), "low", "high")
+
+
+#: Exact hits of a target, but for rounding: recalls that are multiples of a tenth.
+_STEPS = "c as (select l_suppkey as run, l_linenumber * 0.1 + (l_suppkey % 3) * 4e-7 as recall, avg(l_extendedprice) as qps from lineitem group by all)"
+
+
+@query(f"with {_STEPS}, p as (select run, recall, qps, lead(recall) over w as r2, lead(qps) over w as q2 from c window w as (partition by run order by recall, qps)) select run, round(min(case when abs(recall - 0.3) <= 1e-6 then qps when recall < 0.3 and r2 > 0.3 then qps + (0.3 - recall) / (r2 - recall) * (q2 - qps) end), 3) as qps from p group by run")
+def interp_exact_hit(spark, sf):
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run"), (F.col("l_linenumber") * 0.1 + (F.col("l_suppkey") % 3) * 4e-7).alias("recall")).agg(F.avg("l_extendedprice").alias("qps"))
+    return rounded(M.interpolate_at(c, "recall", "qps", 0.3, ["run"]), "qps", digits=3)
+
+
 @query(f"with {_CURVE}, p as (select run, min(struct_pack(o := abs(recall - 0.6), y := qps)) as m from c group by run) select run, case when m.o <= 0.05 then round(m.y, 4) end as qps from p")
 def qps_closest(spark, sf):
     return rounded(M.closest_at(_curve(spark, sf), "recall", "qps", 0.6, ["run"]), "qps", digits=4)

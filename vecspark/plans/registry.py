@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The query vectors are the first ids, the base is the rest: the split of the tests and the benchmark.
-N_QUERIES = 50
+#: Every id divisible by it is a query; the base is all rows.
+EVERY = 100
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,16 +33,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_of(v: DataFrame) -> DataFrame:
-    return v.where(F.col("id") < N_QUERIES).select(F.col("id").alias("qid"), "vec")
+    return v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "vec")
 
 
 def base_of(v: DataFrame) -> DataFrame:
-    return v.where(F.col("id") >= N_QUERIES)
+    return v
 
 
 #: The same three tables for SQL.
 SQL_VECTORS = f"""v as (select vec_id as id, embedding::double[] as vec, label from embeddings),
-q as (select id as qid, vec from v where id < {N_QUERIES}), b as (select * from v where id >= {N_QUERIES})"""
+q as (select id as qid, vec from v where id % {EVERY} = 0), b as (select * from v)"""
 
 
 def sql_l2(a: str, b: str) -> str:
@@ -54,4 +54,4 @@ def sql_dot(a: str, b: str) -> str:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})  # no negative zeros

@@ -8,20 +8,23 @@ import uuid
 from pyspark.sql import functions as F
 
 from vecspark.functions import prep, sqlfuncs
-from vecspark.functions.distance import norm_sq
-from vecspark.operators import knn
-from vecspark.plans.graph_queries import _BOTH, _graph, index
+from vecspark.functions.distance import inner_product
+from vecspark.operators import cluster, graph, knn
+from vecspark.plans.graph_queries import _BOTH, _PAIRS, _graph, index
 from vecspark.plans.knn_queries import _L2, _TOP
 from vecspark.plans.metric_queries import _HISTORY, _MICROS, _history
-from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_l2, table, vectors
-from vecspark.runtime import shared_root
+from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_dot, sql_l2, table, vectors
+from vecspark.runtime import settings, shared_root, stored
 from vecspark.sources import binary, logs
 from vecspark.streaming import queries as streams
 
 
 def _file(spark, name: str) -> str:
-    """A new path below the shared folder, as a plain path: some formats are written in place."""
-    folder = f"{shared_root(spark).removeprefix('file://')}/vecspark/files-{uuid.uuid4().hex}"
+    """A new path below the shared folder, as a plain path: some formats are written in place, which takes a mounted file system."""
+    root = shared_root(spark).removeprefix("file://")
+    if "://" in root:
+        raise ValueError(f"{root} isn't mounted: files of these formats are written in place")
+    folder = f"{root}/vecspark/files-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     return f"{folder}/{name}"
 
@@ -54,13 +57,14 @@ def bin_metadata(spark, sf):
 def truth_set_scan(spark, sf):
     v = vectors(spark, sf)
     path = _file(spark, "truth.bin")
-    binary.write_truth(knn.nearest(queries_of(v), base_of(v), 20), path)
-    return rounded(binary.read_truth(spark, path).drop("tag"), "dist", digits=4)
+    # a truth set knows queries by their places
+    binary.write_truth(knn.nearest(queries_of(v), base_of(v), 20).withColumn("qid", (F.col("qid") / 100).cast("long")), path)
+    return rounded(binary.read_truth(spark, path).drop("tag").withColumn("qid", F.col("qid") * 100), "dist", digits=4)
 
 
 def _graph_scan(dialect):
     def run(spark, sf):
-        g = _graph(spark, sf).select((F.col("id") - 50).alias("id"), F.transform("nbrs", lambda n: n - 50).alias("nbrs"))
+        g = _graph(spark, sf)
         path = _file(spark, "graph.bin")
         binary.write_graph(g, path, dialect)
         return binary.read_graph(spark, path, dialect).select("id", F.explode("nbrs").alias("n"))
@@ -70,7 +74,7 @@ def _graph_scan(dialect):
 
 
 for _dialect in ("degrees", "lists"):
-    query(_BOTH + " select id - 50 as id, n - 50 as n from e", f"graph_file_{_dialect}")(_graph_scan(_dialect))
+    query(_BOTH + " select id, n from e", f"graph_file_{_dialect}")(_graph_scan(_dialect))
 
 
 @query("select vec_id as id, label::int as partition_id from embeddings")
@@ -80,12 +84,14 @@ def partition_text_scan(spark, sf):
     return binary.read_partition_lists(spark, path)
 
 
-@query(f"with {SQL_VECTORS} select id, round(x, 6) as first from (select id, vec[1] as x from b where label = 3)")
+@query(f"with {SQL_VECTORS} select id, round(vec[1], 6) as first from b where label = 3")
 def partition_vectors(spark, sf):
-    """The vectors of one partition's id list."""
+    """The vectors of one partition's id list, read from the text form."""
+    path = _file(spark, "parts")
     v = base_of(vectors(spark, sf))
-    ids = v.where("label = 3").select("id")
-    return v.join(ids, "id", "left_semi").select("id", F.round(F.col("vec")[0], 6).alias("first"))
+    binary.write_partition_lists(v.select("id", F.col("label").alias("partition_id")), path)
+    own = cluster.vectors_of(v.select("id", "vec"), binary.read_partition_lists(spark, path), 3)
+    return own.select("id", F.round(F.col("vec")[0], 6).alias("first"))
 
 
 @query(f"with {_HISTORY} select qid as query_id, qid * 1000.0::double as send_timestamp_ns, (qid % 9)::double as n_hops, unnest(range(len(history)))::bigint as p, unnest(history) as partition_id from h")
@@ -138,21 +144,37 @@ def run_name_parts(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), r["method"].alias("method"), r["servers"].alias("servers"), r["beam"].alias("beam"))
 
 
-@query(f"with {SQL_VECTORS}, n as (select qid, id, {sql_l2('q.vec', 'b.vec')} as dist from q, b where qid < 5 and id < 150) select qid, id, round(dist, 6) as l2, round(dist / 2, 4) as cosine from n")
+@query(f"with {SQL_VECTORS}, n as (select qid, id, {sql_l2('q.vec', 'b.vec')} as dist, {sql_dot('q.vec', 'b.vec')} as d, {sql_dot('b.vec', 'b.vec')} as n2, b.vec[1] as x from q, b), r as (select *, row_number() over (partition by qid order by dist, id) as rank from n) select qid, id, round(dist, 6) + 0.0 as l2, round(1 - d, 6) + 0.0 as cosine, round(-d, 6) + 0.0 as ip, round(n2, 6) as n2, round(x / sqrt(n2), 6) as first from r where rank <= 10")
 def sql_functions(spark, sf):
-    """The SQL functions on unit vectors, where cosine is half of L2."""
+    """The nearest of all rows by the SQL functions alone."""
     sqlfuncs.register(spark)
     v = vectors(spark, sf)
-    queries_of(v).where("qid < 5").createOrReplaceTempView("vs_q")
-    base_of(v).where("id < 150").createOrReplaceTempView("vs_b")
-    return spark.sql("select /*+ BROADCAST(q) */ qid, id, round(l2sq(q.vec, b.vec), 6) as l2, round(cosine_dist(q.vec, b.vec), 4) as cosine from vs_q q join vs_b b on true")
+    queries_of(v).createOrReplaceTempView("vs_q")
+    base_of(v).createOrReplaceTempView("vs_b")
+    return spark.sql("""
+with n as (select /*+ BROADCAST(q) */ qid, id, l2sq(q.vec, b.vec) as l2, cosine_dist(q.vec, b.vec) as cosine, neg_ip(q.vec, b.vec) as ip, b.vec as vec from vs_q q join vs_b b on true),
+r as (select *, row_number() over (partition by qid order by l2, id) as rank from n)
+select qid, id, round(l2, 6) + 0D as l2, round(cosine, 6) + 0D as cosine, round(ip, 6) + 0D as ip, round(vec_norm_sq(vec), 6) as n2, round(vec_normalize(vec)[0], 6) as first from r where rank <= 10""")
+
 
+@query(_L2 + _TOP)
+def sql_table_function(spark, sf):
+    """The table function over an index, with a pool of all nodes, for every query."""
+    v = vectors(spark, sf)
+    sqlfuncs.register_search(spark, "vector_search", index(spark, sf))
+    queries_of(v).createOrReplaceTempView("vs_t")
+    return rounded(spark.sql(f"select qid, s.id, s.dist, s.rank from vs_t t, lateral vector_search(t.vec, 10, {base_of(v).count()}) s"), "dist")
 
-@query("select vec_id as id, 1.0::double as norm_sq from embeddings")
+
+@query("select id, pos, round(x, 6) + 0.0 as x, true as moved from (select vec_id as id, unnest(range(64)) as pos, unnest(embedding::double[]) as x from embeddings)")
 def random_rotation(spark, sf):
-    """A random rotation keeps norms."""
+    """A random rotation moves every vector and is undone by its transpose."""
     v = vectors(spark, sf).select("id", "vec")
-    return prep.rotate(v, "vec", prep.rotation(64, 3)).select("id", F.round(norm_sq(F.col("vec")), 4).alias("norm_sq"))
+    r = prep.rotation(64, 3)
+    turned = prep.rotate(v.withColumn("was", F.col("vec")), "vec", r)
+    moved = turned.withColumn("moved", F.aggregate(F.zip_with("vec", "was", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) > 0.1)
+    back = prep.rotate(moved, "vec", r, transpose=True)
+    return back.select("id", "moved", F.posexplode("vec").alias("pos", "x")).select("id", F.col("pos").cast("long"), (F.round("x", 6) + F.lit(0.0)).alias("x"), "moved")
 
 
 @query(_L2 + "select qid, id, round(dist, 6) as dist from (select *, row_number() over (partition by qid order by dist, id) as rank from d) where rank <= 10")
@@ -169,13 +191,29 @@ def stream_search(spark, sf):
 
 @query(_L2 + _TOP)
 def stream_gather(spark, sf):
-    """Partial results of four partitions, arriving one file a batch, merged when all are there."""
+    """Partial results of four partitions, arriving one file a batch, gathered by the stateful processor; every part comes twice."""
+    v = vectors(spark, sf)
+    folder, name = _file(spark, "gather"), f"g_{uuid.uuid4().hex}"
+    one = knn.nearest_by(queries_of(v), base_of(v).withColumn("part", F.pmod("label", F.lit(4)).cast("int")), "part", 10)
+    lists = one.groupBy("qid", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("dist").alias("dists"))
+    rows = stored(lists.select("qid", "part", F.lit(4).alias("parts"), "ids", "dists", F.current_timestamp().alias("at")), "parts")
+    for p in (2, 0, 3, 1, 0, 3):
+        rows.where(F.col("part") == p).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(streams.PARTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        done = streams.gather_stream(stream, 10).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        done.awaitTermination(600)
+    return rounded(spark.table(name).select("qid", "id", "dist", "rank"), "dist")
+
+
+@query(_L2 + _TOP)
+def stream_gather_batches(spark, sf):
+    """The same for state stores without such state: parts are kept in a folder."""
     v = vectors(spark, sf)
     folder = _file(spark, "gather")
-    for p in range(4):
-        one = knn.nearest(queries_of(v), base_of(v).where(F.pmod("label", F.lit(4)) == p), 10)
-        lists = one.groupBy("qid").agg(F.collect_list("id").alias("ids"), F.collect_list("dist").alias("dists"))
-        lists.select("qid", F.lit(p).alias("part"), F.lit(4).alias("parts"), "ids", "dists", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    one = knn.nearest_by(queries_of(v), base_of(v).withColumn("part", F.pmod("label", F.lit(4)).cast("int")), "part", 10)
+    lists = one.groupBy("qid", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("dist").alias("dists"))
+    lists.select("qid", "part", F.lit(4).alias("parts"), "ids", "dists", F.current_timestamp().alias("at")).repartition(3, "part").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(streams.PARTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     streams.gather_batches(stream, 10, f"{folder}/out", f"{folder}/checkpoint").awaitTermination(600)
     return rounded(spark.read.parquet(f"{folder}/out/done").select("qid", "id", "dist", "rank"), "dist")
@@ -196,23 +234,31 @@ def stream_counter_windows(spark, sf):
     return spark.table(name).where(us < last).select(day.alias("day"), "counter", "n", F.round("total", 4).alias("total"))
 
 
-@query("select count(*) as n from (select distinct vec_id from embeddings)")
+@query("select vec_id as id, (label % 4)::int as partition_id, round(embedding[1]::double, 6) as first, true as linked from embeddings")
 def index_round_trip(spark, sf):
-    """An index saved, opened and checked: nodes and queries both are there."""
+    """An index saved, opened and checked: every node has its home, vector and links."""
     from vecspark.plans.index import Index
 
     folder = f"file://{_file(spark, 'index')}"
     index(spark, sf).save(folder)
     again = Index.open(spark, folder)
     again.check()
-    return again.nodes.select("id").unionByName(queries_of(vectors(spark, sf)).select(F.col("qid").alias("id"))).agg(F.countDistinct("id").alias("n"))
+    return again.nodes.select("id", "partition_id", F.round(F.col("vec")[0], 6).alias("first"), (F.size("nbrs") > 0).alias("linked"))
 
 
-@query(f"with {SQL_VECTORS}, k as (select x.id, y.id as n, {sql_l2('x.vec', 'y.vec')} as dist from b x, b y where x.id <> y.id and x.id < 80 and y.id < 80) select id, n, round(case when dist = 0 then 'inf'::double else 1 / dist end, 6) as factor from k")
+@query(_PAIRS + " select id, n, round(case when dist = 0 then 'inf'::double else 1 / dist end, 6) as factor from k")
 def occlusion_factors(spark, sf):
-    v = base_of(vectors(spark, sf)).where("id < 80")
-    d = knn.nearest(v.select(F.col("id").alias("qid"), "vec"), v, 80).where("qid <> id")
-    return d.select(F.col("qid").alias("id"), F.col("id").alias("n"), F.round(prep.occlusion(F.lit(1.0), F.col("dist")), 6).alias("factor"))
+    """Of each row's eight nearest others, at a distance of 1 from a node."""
+    d = graph.knn_graph(base_of(vectors(spark, sf)), 8)
+    return d.select("id", "n", F.round(prep.occlusion(F.lit(1.0), F.col("dist")), 6).alias("factor"))
+
+
+@query(_PAIRS + f", s as (select id, n, -{sql_dot('x.vec', 'y.vec')} as ip, -0.5 as own from k join b x using (id) join b y on y.id = k.n) select id, n, round(case when own < 0 and ip < 0 then ip / own else 0 end, 6) as factor from s")
+def occlusion_factors_inner(spark, sf):
+    """The same for inner products, where both have to be negative."""
+    v = base_of(vectors(spark, sf))
+    d = graph.knn_graph(v, 8).select("id", "n").join(v.select("id", F.col("vec").alias("x")), "id").join(v.select(F.col("id").alias("n"), F.col("vec").alias("y")), "n")
+    return d.select("id", "n", F.round(prep.occlusion(F.lit(-0.5), inner_product(F.col("x"), F.col("y")), "mips"), 6).alias("factor"))
 
 
 
@@ -235,10 +281,12 @@ def event_duration_stats(spark, sf):
 def distinct_overlap_points(spark, sf):
     """Points over overlapping partitions, each once."""
     v = vectors(spark, sf)
-    both = v.select("id", "label").unionByName(v.where("id % 3 = 0").select("id", ((F.col("label") + 1) % 10).alias("label")))
-    return both.agg(F.countDistinct("id").alias("n"))
+    both = v.select("id", F.when(F.col("id") % 3 == 0, F.array("label", (F.col("label") + 1) % 10)).otherwise(F.array("label")).alias("homes"))
+    return cluster.homes(cluster.flatten_homes(both)).agg(F.count("*").alias("n"))
 
 
-@query(f"with {SQL_VECTORS} select qid, (qid % 7)::int as partition_id from q")
-def round_robin_routing(spark, sf):
-    return queries_of(vectors(spark, sf)).select("qid", F.pmod("qid", F.lit(7)).cast("int").alias("partition_id"))
+@query(f"with {SQL_VECTORS} select qid, (qid % 4)::int as partition_id from q")
+def round_robin_start(spark, sf):
+    """Where searches that begin by turns did begin."""
+    found = index(spark, sf).search(queries_of(vectors(spark, sf)), 5, 20, 4, "state_send", round_robin=True)
+    return found.select("qid", F.col("history")[0].alias("partition_id")).distinct()
