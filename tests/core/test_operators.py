@@ -129,6 +129,11 @@ def test_index_round_trip_and_modes(spark, points, built, tmp_path):
         assert got == want, mode
     some = again.search(q, 4, 20, 4, "scatter_top_n", top_n=2)
     assert some.groupBy("qid").count().agg(F.min("count")).first()[0] == 4
+    # states that are sent find what states that are followed do, at the same cost
+    for mode in ("state_send", "client_gather"):
+        for robin in (False, True):
+            sent, kept = ({(r.qid, r.id): (r.hops, r.ios, r.cmps, r.inter_hops, tuple(r.history)) for r in again.search(q, 4, 12, 2, mode, round_robin=robin, moves=m).collect()} for m in (True, False))
+            assert sent == kept and max(v[3] for v in sent.values()) > 8  # more moves than a job has rounds
     with pytest.raises(ValueError):
         built.search(q, mode="none")
 
@@ -268,3 +273,76 @@ def test_prefix_sums_over_a_whole_table(spark):
         want = np.cumsum([i % 5 for i in range(500)])
         assert got == list(want - [i % 5 for i in range(500)] if exclusive else want)
     assert metrics.prefix_weights(d.limit(0), "w").count() == 0
+
+
+def test_portable_hash_of_any_integer(spark):
+    rng = np.random.default_rng(1)
+    ids = [0, 1, 2**31, 2**32 - 1, 2**33 + 7, 3_400_000_001, 2**62, -5, *rng.integers(0, 2**62, 50).tolist()]
+    for salt in (0, 3, 2**40):
+        got = {r.id: r.h for r in spark.createDataFrame([(int(i),) for i in ids], "id long").select("id", prep.portable_hash(F.col("id"), salt).alias("h")).collect()}
+        assert all(h == (i + salt) * 2654435761 % 2**32 for i, h in got.items())
+
+
+def test_levels_have_no_cap_and_bounds_are_met_or_refused(spark, points):
+    chain = spark.createDataFrame([(i, [i + 1]) for i in range(40)] + [(40, [])], "id long, nbrs array<long>")
+    got = {r.id: r.level for r in graph.bfs_levels(chain, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert got == {i: i for i in range(41)}
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "id long, vec array<double>")
+    with pytest.raises(ValueError, match="centres leave"):
+        cluster.shards_within(same, prep.ram_estimate(2, 2, 4), 4, 1)
+
+
+def naive_search(x, nbrs, codes, table, q, entry, size, beam, k):
+    """The rule, word by word: the pool's best that aren't expanded are, until none is left."""
+    d = lambda i: float(table[np.arange(len(table)), codes[i]].sum())
+    pool, done, seen, hops = {entry: d(entry)}, {}, {entry}, 0
+    while ahead := [i for i in sorted(pool, key=lambda i: (pool[i], i)) if i not in done][:beam]:
+        hops += 1
+        fresh = []
+        for i in ahead:
+            done[i] = float(((x[i] - q) ** 2).sum())
+            fresh += [n for n in nbrs[i] if n not in seen]
+            seen.update(nbrs[i])
+        pool |= {n: d(n) for n in fresh}
+        pool = {i: pool[i] for i in sorted(pool, key=lambda i: (pool[i], i))[:size]}
+    return sorted(done, key=lambda i: (done[i], i))[:k], hops, len(done)
+
+
+def test_small_pools_follow_the_rule(spark, points):
+    """Every global mode with a pool that cuts most nodes off, against the rule."""
+    ix = Index.build(points, 3, "l2", 3, BuildParams(6, 30, 60), head_share=0.0)
+    rows = sorted(ix.nodes.collect(), key=lambda r: r.id)
+    x, codes, nbrs = np.array([r.vec for r in rows]), np.array([r.codes for r in rows]), [r.nbrs for r in rows]
+    q = vec(points.where("id % 50 = 3"))
+    for size, beam in ((5, 1), (12, 3)):
+        want = {r.qid: naive_search(x, nbrs, codes, ix.book.table(np.array([r.vec]))[0], np.array(r.vec), ix.entry, size, beam, 4) for r in q.collect()}
+        got = {}
+        for r in ix.search(q, 4, size, beam, "single").orderBy("qid", "dist", "id").collect():
+            got.setdefault(r.qid, ([], r.hops, r.ios))[0].append(r.id)
+        assert {k: tuple(v) for k, v in got.items()} == want
+        for mode in ("state_send", "client_gather"):
+            found = ix.search(q, 4, size, 1, mode)  # one candidate a hop: the order doesn't depend on homes
+            one = {r.qid: naive_search(x, nbrs, codes, ix.book.table(np.array([r.vec]))[0], np.array(r.vec), ix.entry, size, 1, 4) for r in q.collect()}
+            mine = {}
+            for r in found.orderBy("qid", "dist", "id").collect():
+                mine.setdefault(r.qid, ([], r.hops, r.ios))[0].append(r.id)
+            assert {k: tuple(v) for k, v in mine.items()} == one, mode
+
+
+def test_deletes_tags_and_compaction(spark, points, built, tmp_path):
+    gone = points.where("id % 4 = 1").select("id")
+    ix = built.delete(gone)
+    q = vec(points.where("id % 30 = 7"))
+    rows = {r.id: np.array(r.vec) for r in points.collect() if r.id % 4 != 1}
+    want = {r.qid: [i for _, i in sorted((((rows_v - np.array(r.vec)) ** 2).sum(), i) for i, rows_v in rows.items())[:4]] for r in q.collect()}
+    ix.save(f"{tmp_path}/d")
+    ix = Index.open(spark, f"{tmp_path}/d")
+    assert ix.head is not None and ix.deleted.count() == 60
+    left = ix.consolidated(BuildParams(10, 30, 60), compact=True)
+    left.check()
+    assert sorted(r.id for r in left.nodes.select("id").collect()) == list(range(180))
+    for i, mode in ((ix, "single"), (ix, "state_send"), (left, "single"), (left, "state_send"), (left, "scatter")):
+        got = {}
+        for r in i.search(q, 4, 240, 8, mode).orderBy("qid", "dist", "id").collect():
+            got.setdefault(r.qid, []).append(r.id if i is ix else r.tag)
+        assert got == want, mode

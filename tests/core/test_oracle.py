@@ -43,8 +43,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_small_pools_find_most(spark):
-    curve = {r["size"]: r["recall"] for r in QUERIES["ann_recall_curve"](spark, SF).collect()}
-    assert curve[80] >= 95 and curve[40] >= 85 and curve[10] <= curve[80]
-    assert all(r.recall >= 70 for r in QUERIES["ann_beam_stats"](spark, SF).collect() if r["mode"] != "scatter_top_n")
-    assert QUERIES["graph_maintenance"](spark, SF).first()[0] >= 90
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_small_pools_find_most(spark, sf):
+    """At least what the pools of these sizes are known to find, for every mode that looks everywhere."""
+    least = {10: 58.8, 20: 76.6, 40: 88.2, 80: 94.7}
+    for r in QUERIES["ann_recall_curve"](spark, sf).collect():
+        assert r.recall >= least[r["size"]], r
+    stats = {r["mode"]: r for r in QUERIES["ann_beam_stats"](spark, sf).collect()}
+    assert all(r.recall >= 90 for m, r in stats.items() if m != "scatter_top_n") and stats["scatter_top_n"].recall >= 50
+    assert stats["state_send"].mean_hops == stats["client_gather"].mean_hops
+    assert QUERIES["graph_maintenance"](spark, sf).first()[0] >= 90

@@ -17,8 +17,10 @@ MULTIPLIER, MODULUS = 2654435761, 4294967296
 
 
 def portable_hash(i: Column, salt: int = 0) -> Column:
-    """An integer in 0 .. 2 ** 32 - 1 by arithmetic on ids below 2 ** 31."""
-    return F.pmod((i + salt).cast("long") * F.lit(MULTIPLIER), F.lit(MODULUS))
+    """(i + salt) * MULTIPLIER modulo MODULUS, for any integer: in two halves, so that no product leaves 64 bits."""
+    a = F.pmod(i.cast("long") + F.lit(salt).cast("long"), F.lit(MODULUS))
+    high, low = divmod(MULTIPLIER, 1 << 16)
+    return F.pmod(F.pmod(a * F.lit(high), F.lit(1 << 16)) * F.lit(1 << 16) + a * F.lit(low), F.lit(MODULUS))
 
 
 def _let(value: Column, body) -> Column:

@@ -194,29 +194,38 @@ def shards_within(df: DataFrame, ram_bytes: float, degree: int, replicas: int =
         parts, before = max(parts + 2, parts * 5 // 4), largest
 
 
-def balanced(df: DataFrame, parts: int, slack: float = 0.01, iterations: int = 10, rounds: int = 40) -> DataFrame:
+#: Rows on which centres and prices of balanced partitions are fitted, at most; every row is placed.
+FIT_ROWS = 50_000
+
+
+def balanced(df: DataFrame, parts: int, slack: float = 0.01, iterations: int = 10, rounds: int = 40, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Disjoint partitions of near-equal size around k-means centres: id, partition_id.
 
     Every centre has a price, raised while its cluster is over capacity and lowered while it is under; rows go to the
-    centre with the least distance plus price. Prices and counts are all that the driver sees. What is still over
-    capacity in the end moves, least regret first, to the next centre with room."""
+    centre with the least distance plus price. Centres and prices are fitted on a hash sample of bounded size. What is
+    still over capacity in the end moves, the rows nearest to the centre last, to partitions with room."""
     n = df.count()
     room = int(np.ceil(n / parts * (1 + slack)))
-    centers, _ = kmeans(df, random_rows(df, parts).withColumn("id", F.row_number().over(Window.orderBy("id")).cast("long") - 1), iterations)
-    c = np.array([r.vec for r in centers.orderBy("id").collect()])
+    t = (df if n <= fit_rows else sample(df, fit_rows / n, 11)).select("id", F.col("vec").cast("array<double>")).toArrow().sort_by("id")
+    x, ids = matrix(t["vec"]), t["id"].to_numpy()
+    order = np.lexsort((ids, (ids * np.int64(2654435761)) % MODULUS))
+    c = x[np.sort(order[:parts])]
+    for _ in range(iterations):
+        near = pairwise("l2", x, c).argmin(axis=1)
+        count = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
+    d = pairwise("l2", x, c)
     spread = float(np.median(pairwise("l2", c, c)[~np.eye(len(c), dtype=bool)])) if len(c) > 1 else 1.0
-    price = np.zeros(len(c))
-    step = 0.25 * spread
+    price, step = np.zeros(len(c)), 0.25 * spread
     for _ in range(rounds):
-        counts = np.zeros(len(c))
-        for r in _priced(df, c, price, 1).groupBy("partition_id").count().collect():
-            counts[r[0]] = r[1]
-        if counts.max() <= room:
+        share = np.bincount((d + price).argmin(axis=1), minlength=len(c)) / max(1, len(x)) * len(c)
+        if share.max() <= 1 + slack:
             break
-        price += step * (counts / n * len(c) - 1)
+        price += step * (share - 1)
         step *= 0.9
-    choices = _priced(df, c, price, min(len(c), 3))
-    return _settle(df, choices, len(c), room)
+    return _settle(_priced(df, c, price, 1), len(c), room)
 
 
 def _priced(df: DataFrame, c: np.ndarray, price: np.ndarray, k: int) -> DataFrame:
@@ -231,7 +240,7 @@ def _priced(df: DataFrame, c: np.ndarray, price: np.ndarray, k: int) -> DataFram
     return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(near, "id long, partition_id int, cost double, choice long")
 
 
-def _settle(df: DataFrame, choices: DataFrame, parts: int, room: int) -> DataFrame:
+def _settle(choices: DataFrame, parts: int, room: int) -> DataFrame:
     """First choices up to the room, by cost; the others fill what is left of the partitions in the order of their ids."""
     w = Window.partitionBy("partition_id").orderBy("cost", "id")
     first = choices.where("choice = 1").withColumn("r", F.row_number().over(w))
@@ -242,11 +251,11 @@ def _settle(df: DataFrame, choices: DataFrame, parts: int, room: int) -> DataFra
     for p in range(parts):
         total += room - held.get(p, 0)
         ends.append(total)
-    slot = F.row_number().over(Window.orderBy("id"))  # what overflows after the prices have settled is little
-    place = F.lit(parts - 1)
-    for p in reversed(range(parts - 1)):
-        place = F.when(F.col("slot") <= ends[p], F.lit(p)).otherwise(place)
-    return stays.unionByName(moves.withColumn("slot", slot).select("id", place.cast("int").alias("partition_id")))
+    from vecspark.operators.metrics import prefix_weights
+
+    slots = prefix_weights(moves.withColumn("w", F.lit(1).cast("long")), "w").select("id", F.col("prefix").alias("slot"))
+    place = F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e < F.col("slot")))
+    return stays.unionByName(slots.select("id", F.least(place, F.lit(parts - 1)).cast("int").alias("partition_id")))
 
 
 def overlapping(df: DataFrame, centers: DataFrame, share: float) -> DataFrame:

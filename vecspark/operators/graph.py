@@ -425,6 +425,22 @@ def consolidate(nodes: DataFrame, deleted: DataFrame, p: BuildParams = BuildPara
     return few.unionByName(pruned).join(vec, "id").select("id", "vec", "nbrs")
 
 
+def reconnected(nodes: DataFrame, entries: DataFrame, degree: int, by: str = "partition_id") -> DataFrame:
+    """Local graphs (by, id, vec, nbrs) in which the entry (by, id) leads to every node of its partition again: id, nbrs. A partition is one task, as when it was built."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, x = t["id"].to_numpy(), matrix(t["vec"])
+        nbrs = [np.searchsorted(ids, n) for n in t["nbrs"].to_pylist()]
+        at = np.flatnonzero(t["entry"].to_numpy(zero_copy_only=False))
+        connect(x, nbrs, int(at[0]) if len(at) else center(x), degree)
+        return pa.table({"id": t["id"], "nbrs": pa.array([ids[n] for n in nbrs], pa.list_(pa.int64()))})
+
+    first = entries.select("id", F.lit(True).alias("entry"))
+    rows = nodes.select(by, "id", "vec", "nbrs").join(first, "id", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    return rows.groupBy(by).applyInArrow(one, "id long, nbrs array<long>")
+
+
 def insert(nodes: DataFrame, new: DataFrame, p: BuildParams = BuildParams(), by: str = "partition_id") -> DataFrame:
     """Add rows (by, id, vec) to the node table of partitions (by, id, vec, nbrs); a row whose id is there already replaces it. Each partition links its own new rows in one task."""
     kind = dict(nodes.dtypes)[by]

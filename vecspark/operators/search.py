@@ -93,9 +93,13 @@ class State:
 
     def add(self, ids: np.ndarray, dist: np.ndarray, homes: np.ndarray, size: int) -> None:
         """Merge candidates that aren't in the pool; those no better than the last of a full pool are dropped."""
-        new = ~np.isin(ids, self.ids)
-        ids, at = np.unique(ids[new], return_index=True)
-        dist, homes = dist[new][at], homes[new][at]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        held = np.sort(self.ids)
+        new = held[np.minimum(np.searchsorted(held, ids), len(held) - 1)] != ids
+        new[1:] &= ids[1:] != ids[:-1]
+        ids, order = ids[new], order[new]
+        dist, homes = dist[order], homes[order]
         self.cmps += len(ids)
         if len(self.ids) >= size:
             near = dist < self.dist[-1]
@@ -453,10 +457,12 @@ def _states(rows: list[tuple]) -> pa.RecordBatch:
 ROUNDS = 8
 
 
-def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, gather: bool = False, files: Files | None = None, round_robin: bool = False) -> DataFrame:
-    """One graph over all partitions; a query's whole state moves to the home of its next candidate whenever nothing ahead is local.
+def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, gather: bool = False, files: Files | None = None, round_robin: bool = False, moves: bool | None = None) -> DataFrame:
+    """One graph over all partitions; a query's whole state goes on to the home of its next candidate whenever nothing ahead is local.
 
-    A round is one shuffle of states, and of nothing else: a task opens the partitions of the states that it gets and runs
+    Where the partitions' files can be mapped by every worker (a mounted file system), a task takes its states from one
+    partition to the next itself: a move would read the same pages in another task. Elsewhere (moves; by default as the
+    store is) states are sent. A round is one shuffle of states, and of nothing else: a task opens the partitions of the states that it gets and runs
     these until they end or have to leave. Several rounds are a job; its states are stored, so a lost executor costs these
     rounds at most, and jobs follow until no state is live. With gather the exact answers found in a partition are put
     aside at every move and merged in the end, instead of travelling with the state. With round_robin a query begins in
@@ -466,15 +472,37 @@ def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seed
     sent = spark.sparkContext.broadcast((book, seeds))
     homes = sorted(files.of)
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if moves is None:
+        moves = not isinstance(fs.FileSystem.from_uri(files.folder)[0], fs.LocalFileSystem)
+
+    def started(qids: list, q: np.ndarray) -> Iterator[tuple[int, int, State, np.ndarray]]:
         book, seeds = sent.value
+        for qid, x, table, at in zip(qids, q, book.table(q), seeds.of(q, p.seeds)):
+            s = State.start(x, seeds.ids[at], adc(table, seeds.codes[at]), seeds.homes[at], p.size)
+            yield qid, homes[qid % len(homes)] if round_robin else int(s.homes[0]), s, table
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            qids, q = b.column(0).to_pylist(), matrix(b.column(1))
+            for at in range(0, len(qids), STEP_QUERIES):
+                live, rows = list(started(qids[at : at + STEP_QUERIES], q[at : at + STEP_QUERIES])), []
+                while live:
+                    live.sort(key=lambda s: (s[1], s[0]))  # partition by partition
+                    on = [(qid, opened(files, home).run(s, table, p), s, table) for qid, home, s, table in live]
+                    for qid, away, s, _ in on:
+                        if away is None:
+                            rows += [(qid, int(i), float(d), s.hops, s.ios, s.cmps, max(0, len(s.history) - 1), s.history) for i, d in zip(*s.best(p.k))]
+                    live = [s for s in on if s[1] is not None]
+                if rows:
+                    yield _answer(rows, _NAMES)
+
+    if not moves:
+        return queries.select("qid", F.col("vec").cast("array<double>")).repartition(spark.sparkContext.defaultParallelism, "qid").mapInArrow(follow, RESULT)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows, q = [], matrix(b.column(1))
-                for qid, x, table, at in zip(b.column(0).to_pylist(), q, book.table(q), seeds.of(q, p.seeds)):
-                    s = State.start(x, seeds.ids[at], adc(table, seeds.codes[at]), seeds.homes[at], p.size)
-                    rows.append((qid, homes[qid % len(homes)] if round_robin else int(s.homes[0]), True, None, _pack(s, p.k)))
-                yield _states(rows)
+                yield _states([(qid, home, True, None, _pack(s, p.k)) for qid, home, s, _ in started(b.column(0).to_pylist(), matrix(b.column(1)))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, _ = sent.value

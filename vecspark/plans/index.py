@@ -150,6 +150,8 @@ class Index:
         lost = self.entries.join(entries, "partition_id", "left_anti").select("partition_id")
         centre = cluster.medoids(vectors.join(homes, "id").join(lost, "partition_id"), "partition_id").select("partition_id", "id")
         entries = stored(entries.select("partition_id", "id").unionByName(centre), "entries")
+        whole = graphs["local"].join(vectors, "id").join(homes, "id")
+        graphs["local"] = stored(graph.reconnected(whole, entries, p.degree), "local-links")
         tags = kept(self.tags) if self.tags is not None else None
         if compact:
             named = stored(_dense(vectors.select("id")), "names")
@@ -169,7 +171,7 @@ class Index:
 
     # --- search ----------------------------------------------------------------------------------------------------
 
-    def search(self, queries: DataFrame, k: int = 10, size: int = 64, beam: int = 4, mode: str = "state_send", top_n: int = 2, seeds: int = 10, round_robin: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, size: int = 64, beam: int = 4, mode: str = "state_send", top_n: int = 2, seeds: int = 10, round_robin: bool = False, moves: bool | None = None) -> DataFrame:
         """qid, id, dist (exact squared L2 as the index holds vectors), hops, ios, cmps, inter_hops, history; for mips also inner (the inner product of the original vectors, for a query of unit norm); with tags also tag.
 
         Deleted ids are searched through and left out of the answers: all that a search has expanded is looked at for k others."""
@@ -185,7 +187,7 @@ class Index:
         elif mode == "coordinator":
             found = search.coordinator(q, self.nodes, self.book, self.seeds(), p)
         else:
-            found = search.state_send(q, self.nodes, self.book, self.seeds(), p, mode == "client_gather", self.files(), round_robin)
+            found = search.state_send(q, self.nodes, self.book, self.seeds(), p, mode == "client_gather", self.files(), round_robin, moves)
         if self.deleted is not None:
             found = knn.ranked(found.join(self.deleted.select("id"), "id", "left_anti"), k).select(*found.columns)
         if self.metric is Metric.MIPS:
