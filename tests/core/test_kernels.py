@@ -81,8 +81,37 @@ def test_prune_follows_the_rule():
         assert sorted(kept.tolist()) == naive_prune(ids, d, x[ids], 8, 60, 1.5)
         assert len(G.prune(ids, d, x[ids], G.BuildParams(degree=30, alpha=1.2, saturate=True))) == 30
     assert not len(G.prune(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 4)), p))
-    some = np.arange(1, 10)
-    assert len(G.evict(x[0], some, x[some], p)) < 9
+
+
+def naive_evict(node, ids, x, alpha):
+    d = lambda a, b: float(((a - b) ** 2).sum())
+    rows = sorted(range(len(ids)), key=lambda k: (d(node, x[k]), ids[k]))
+    new, slack = len(ids) - 1, alpha
+    while slack >= 1 - 1e-5:
+        for k in reversed(rows):
+            if k != new:
+                far = k if d(node, x[k]) > d(node, x[new]) else new
+                if d(node, x[far]) > slack * d(x[k], x[new]):
+                    return [ids[r] for r in rows if r != far]
+        slack /= 1.2
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a != new and d(node, x[b]) > alpha * d(x[a], x[b]):
+                return [ids[r] for r in rows if r != b]
+    return [ids[r] for r in rows[:-1]]
+
+
+def test_eviction_follows_the_rule():
+    rng = np.random.default_rng(4)
+    gone = set()
+    for n in range(400):
+        x = rng.normal(size=(9, rng.integers(2, 12)))
+        ids = rng.permutation(50)[:8]
+        p = G.BuildParams(degree=7, alpha=float(rng.choice([1.0, 1.2, 1.5])))
+        kept = G.evict(x[8], ids, x[:8], p).tolist()
+        assert kept == naive_evict(x[8], ids.tolist(), x[:8], p.alpha)
+        gone.add(len(set(ids.tolist()) - set(kept)) and int(np.flatnonzero(~np.isin(ids, kept))[0]))
+    assert len(gone) > 4
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 200])

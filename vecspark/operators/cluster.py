@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from vecspark.functions.distance import l2sq, matrix, pairwise, to_rows
 from vecspark.functions.prep import MODULUS, portable_hash, ram_estimate
+from vecspark.runtime import stored
 
 # --- sampling ------------------------------------------------------------------------------------------------------
 
@@ -258,6 +259,54 @@ def _settle(choices: DataFrame, parts: int, room: int) -> DataFrame:
     return stays.unionByName(slots.select("id", F.least(place, F.lit(parts - 1)).cast("int").alias("partition_id")))
 
 
+def cut_share(graph: DataFrame, parts: DataFrame) -> DataFrame:
+    """cut: the share of the links (id, nbrs) that leave their partition (id, partition_id)."""
+    e = graph.select("id", F.explode("nbrs").alias("n"))
+    a = parts.select("id", F.col("partition_id").alias("p"))
+    met = e.join(a, "id").join(a.select(F.col("id").alias("n"), F.col("p").alias("o")), "n")
+    return met.agg(F.avg((F.col("p") != F.col("o")).cast("double")).alias("cut"))
+
+
+def by_links(graph: DataFrame, start: DataFrame, parts: int, slack: float = 0.05, rounds: int = 10) -> DataFrame:
+    """Partitions (id, partition_id) of a graph (id, nbrs) that cut fewer links than start does and hold some 1 + slack times the mean at most (but for what hashes of equal gains differ by).
+
+    Each round a node of every second hash looks where most of its neighbours are, by links either way, and wishes to move
+    there if it gains by that. As many move from one partition to another as the other way round, and more where there is
+    room, the largest gains first: counts of the gains (degrees, so few) say down to which one, and a share of those with
+    the last one goes by hash."""
+    e = graph.select("id", F.explode("nbrs").alias("n"))
+    both = stored(e.unionByName(e.select(F.col("n").alias("id"), F.col("id").alias("n"))).groupBy("id", "n").agg(F.count("*").alias("w")), "links")
+    now = stored(start.select("id", F.col("partition_id").cast("int").alias("partition_id")), "partitions")
+    n = now.count()
+    room = int(np.ceil(n / parts * (1 + slack)))
+    for k in range(rounds):
+        votes = both.join(now.select(F.col("id").alias("n"), "partition_id"), "n").groupBy("id", "partition_id").agg(F.sum("w").alias("v"))
+        own = now.select("id", F.col("partition_id").alias("p"))
+        best = votes.join(own, "id").groupBy("id", "p").agg(F.max(F.struct("v", (-F.col("partition_id")).alias("m"))).alias("b"), F.max(F.when(F.col("partition_id") == F.col("p"), F.col("v"))).alias("held"))
+        gain = F.col("b.v") - F.coalesce("held", F.lit(0))
+        wish = best.where((gain > 0) & (F.pmod(portable_hash(F.col("id"), k), F.lit(2)) == 0)).select("id", "p", (-F.col("b.m")).alias("to"), gain.alias("gain"))
+        wish = stored(wish, "wishes")
+        sizes = {r[0]: r[1] for r in now.groupBy("partition_id").count().collect()}
+        counts: dict[tuple[int, int], list] = {}
+        for r in wish.groupBy("p", "to", "gain").count().collect():  # a row for each two partitions and gain
+            counts.setdefault((r["p"], r["to"]), []).append((r["gain"], r["count"]))
+        total = {x: sum(c for _, c in gains) for x, gains in counts.items()}
+        bars = []
+        for (p, q), gains in sorted(counts.items()):
+            free = min(total[p, q], total.get((q, p), 0))
+            more = max(0, min(total[p, q] - free, room - sizes.get(q, 0)))
+            free, sizes[q] = free + more, sizes.get(q, 0) + more
+            for g, c in sorted(gains, reverse=True):
+                bars.append((p, q, g, max(0.0, min(1.0, free / c))))
+                free -= c
+        if not any(b[3] > 0 for b in bars):
+            break
+        admitted = F.broadcast(now.sparkSession.createDataFrame(bars, "p int, to int, gain long, share double"))
+        moved = wish.join(admitted, ["p", "to", "gain"]).where(portable_hash(F.col("id"), 100 + k) < F.floor(F.col("share") * MODULUS)).select("id", "to")
+        now = stored(now.join(moved, "id", "left").select("id", F.coalesce("to", "partition_id").alias("partition_id")), "partitions")
+    return now
+
+
 def overlapping(df: DataFrame, centers: DataFrame, share: float) -> DataFrame:
     """id and homes: the nearest centre's partition, and for the share of rows with the smallest margin the second nearest one's too."""
     a = assign(df, centers, 2).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "partition_id", "dist"))).alias("a"))

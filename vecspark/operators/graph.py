@@ -100,10 +100,28 @@ def prune(ids: np.ndarray, dist: np.ndarray, vectors: np.ndarray, p: BuildParams
 
 
 def evict(node: np.ndarray, ids: np.ndarray, vectors: np.ndarray, p: BuildParams) -> np.ndarray:
-    """One neighbour too many: what pruning leaves out goes; if it leaves out nothing, the farthest does."""
-    d = to_rows("l2", node, vectors)
-    kept = prune(ids, d, vectors, p, max(1, len(ids) - 1))
-    return kept
+    """A full list and a newcomer (the last): all but one stay, nearest first.
+
+    Of the newcomer and another neighbour the one farther from the node may go, if it is nearer to the other by more than
+    a slack; slacks fall from alpha to 1 by fifths, and the farthest such neighbour decides. If no slack finds one, the
+    first neighbour (by the nearest that covers it) goes that a nearer one covers by more than alpha; else the farthest."""
+    d, new = to_rows("l2", node, vectors), len(ids) - 1
+    order = np.lexsort((ids, d))
+    ids, d, x, at = ids[order], d[order], vectors[order], int(np.flatnonzero(order == new)[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = to_rows("l2", x[at], x)
+        ratio = np.where(apart > 0, np.maximum(d, d[at]) / apart, np.inf)
+        ratio[at] = -np.inf
+        slack = p.alpha
+        while slack >= 1 - 1e-5:
+            if len(hit := np.flatnonzero(ratio > slack)):
+                return np.delete(ids, hit[-1] if d[hit[-1]] > d[at] else at)
+            slack /= 1.2
+        between = pairwise("l2", x, x)
+        cover = np.triu(np.where(between > 0, d[None, :] / between, np.inf), 1) > p.alpha
+    cover[at] = False
+    gone = np.flatnonzero(cover.any(axis=1))
+    return np.delete(ids, int(cover[gone[0]].argmax()) if len(gone) else len(ids) - 1)
 
 
 def greedy_many(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +215,9 @@ def back(x: np.ndarray, nbrs: list[np.ndarray], node: int, other: int, p: BuildP
     if other in nbrs[node]:
         return
     both = np.append(nbrs[node], other)
-    if len(both) > int(SLACK * p.degree):
+    if len(both) > p.degree + 1:
         both = prune(both, to_rows("l2", x[node], x[both]), x[both], p)
-    nbrs[node] = both
+    nbrs[node] = evict(x[node], both, x[both], p) if len(both) > p.degree else both
 
 
 #: Nodes that are linked at once, and the bytes of marks of their searches.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecspark.operators import graph, knn, metrics
+from vecspark.operators import cluster, graph, knn, metrics
 from vecspark.operators.graph import BuildParams
 from vecspark.plans.index import Index
 from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_l2, vectors
@@ -117,6 +117,17 @@ for _mode in ("single", "full_precision", "scatter", "state_send", "client_gathe
     query(_EXACT, f"ann_exhaustive_{_mode}")(_exhaustive(_mode))
 
 
+@query("select true as fewer_cut, true as balanced, count(*)::bigint as n from embeddings")
+def partition_by_links(spark, sf):
+    """Partitions of the neighbour graph from random ones: at least a third fewer links are cut, sizes stay bounded, no row is lost."""
+    v, g = base_of(vectors(spark, sf)), stored(_graph(spark, sf), "graph")
+    random_ = cluster.random_tags(v, 4, 1)
+    parts = cluster.by_links(g, random_, 4, 0.1)
+    before, after = (cluster.cut_share(g, p).first()[0] for p in (random_, parts))
+    sizes = parts.groupBy("partition_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.lit(after < before * 2 / 3).alias("fewer_cut"), (F.max("n") <= F.lit(v.count() / 4 * 1.3)).alias("balanced"), F.sum("n").alias("n"))
+
+
 _ROUTED = f"with {SQL_VECTORS}, h as (select *, label % 4 as p from b), s as (select x.p, x.id, sum({sql_l2('x.vec', 'y.vec')}) as cost from h x join h y on x.p = y.p group by all), m as (select p, vec from (select *, row_number() over (partition by p order by round(cost, 9), id) as r from s) join b using (id) where r = 1), r as (select qid, p from (select qid, p, row_number() over (partition by qid order by {sql_l2('q.vec', 'm.vec')}, p) as r from q, m) where r <= 2), d as (select qid, id, {sql_l2('q.vec', 'h.vec')} as dist from r join q using (qid) join h using (p))"
 
 
@@ -176,7 +187,7 @@ def ann_recall_curve(spark, sf):
 @query()
 def graph_maintenance(spark, sf):
     """Recall of local graphs after a seventh of their nodes is deleted and consolidated and a fifth of all rows is inserted, a partition by itself each."""
-    from vecspark.operators import cluster, pq, search
+    from vecspark.operators import pq, search
     from vecspark.operators.search import SearchParams
 
     v = base_of(vectors(spark, sf)).select("id", "vec", F.pmod("label", F.lit(4)).cast("int").alias("partition_id"))

@@ -41,12 +41,12 @@ class Index:
     _seeds: search.Seeds | None = None
 
     @classmethod
-    def build(cls, df: DataFrame, partitions: int | DataFrame, name: str | Metric = "l2", chunks: int = 32, p: BuildParams = BuildParams(), shards: int | None = None, head_share: float = 0.05, slack: float = 0.05) -> Index:
+    def build(cls, df: DataFrame, partitions: int | DataFrame, name: str | Metric = "l2", chunks: int = 32, p: BuildParams = BuildParams(), shards: int | None = None, head_share: float = 0.05, slack: float = 0.05, head_levels: bool = False) -> Index:
         """From vectors (id, vec): prepare for the metric, train and encode, assign homes (or take them: id, partition_id), build the graphs.
 
         The global graph is built in overlapping shards of at most some SHARD_ROWS and merged, or at once if one shard
         holds all; local graphs are built partition by partition. A graph over a sample (head) gives each query its seeds
-        if head_share is above 0."""
+        if head_share is above 0; with head_levels it is over the levels of links around the entry instead."""
         m, spark, norm = metric(name), df.sparkSession, 1.0
         base = df.select("id", F.col("vec").cast("array<double>").alias("vec"))
         if m is Metric.MIPS:
@@ -73,6 +73,8 @@ class Index:
         head = None
         if head_share:
             some = cluster.sample(base, head_share, 7)
+            if head_levels:
+                some = base.join(graph.head_nodes(links, spark.createDataFrame([(entry,)], "id long"), head_share), "id", "left_semi")
             if some.limit(1).count():
                 head = stored(graph.build_shards(some.withColumn("shard", F.lit(0)), "shard", BuildParams(min(32, p.degree), 64)).drop("shard"), "head")
         return cls(spark, m, nodes, local, entries, medoids, book, entry, norm, head)

@@ -11,6 +11,8 @@ CHUNKS, PIVOTS, WIDTH = 8, 64, 8
 _MEAN = f"with {SQL_VECTORS}, mean as (select list(x order by p) as m from (select p, avg(x) as x from (select unnest(vec) as x, unnest(range(64)) as p from b) group by p)), c as (select id, list_transform(list_zip(vec, m), lambda z: z[1] - z[2]) as vec from b, mean)"
 _PARTS = f"part as (select id, ch as chunk, vec[ch * {WIDTH} + 1:ch * {WIDTH} + {WIDTH}] as p from c, (select unnest(range({CHUNKS})) as ch))"
 _PIV = f"piv as (select chunk, p as pv, row_number() over (partition by chunk order by id) - 1 as code from part where id < {PIVOTS})"
+#: The pivots of pq.fixed.
+FIXED_PIVOTS = f"{_MEAN}, {_PARTS}, {_PIV}"
 _CODES = f"code as (select id, chunk, code from (select part.id, part.chunk, piv.code, row_number() over (partition by part.id, part.chunk order by {sql_l2('p', 'pv')}, piv.code) as r from part join piv using (chunk)) where r = 1)"
 _QPART = f"qc as (select qid, list_transform(list_zip(vec, m), lambda z: z[1] - z[2]) as vec from q, mean), qpart as (select qid, ch as chunk, vec[ch * {WIDTH} + 1:ch * {WIDTH} + {WIDTH}] as p from qc, (select unnest(range({CHUNKS})) as ch)), lut as (select qid, chunk, code, {sql_l2('p', 'pv')} as dist from qpart join piv using (chunk))"
 _ADC = f"{_MEAN}, {_PARTS}, {_PIV}, {_CODES}, {_QPART}, d as (select qid, id, sum(dist) as dist from lut join code using (chunk, code) group by qid, id), r as (select *, row_number() over (partition by qid order by round(dist, 9), id) as rank from d)"

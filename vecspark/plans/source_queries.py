@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import prep, sqlfuncs
 from vecspark.functions.distance import inner_product
-from vecspark.operators import cluster, graph, knn
+from vecspark.operators import cluster, graph, knn, pq
 from vecspark.plans.graph_queries import _BOTH, _PAIRS, _graph, index
 from vecspark.plans.knn_queries import _L2, _TOP
 from vecspark.plans.metric_queries import _HISTORY, _MICROS, _history
+from vecspark.plans.pq_queries import FIXED_PIVOTS as _PARTS_SQL
 from vecspark.plans.registry import SQL_VECTORS, base_of, queries_of, query, rounded, sql_dot, sql_l2, table, vectors
 from vecspark.runtime import settings, shared_root, stored
-from vecspark.sources import binary, logs
+from vecspark.sources import binary, logs, sidecars
 from vecspark.streaming import queries as streams
 
 
@@ -290,3 +291,37 @@ def round_robin_start(spark, sf):
     """Where searches that begin by turns did begin."""
     found = index(spark, sf).search(queries_of(vectors(spark, sf)), 5, 20, 4, "state_send", round_robin=True)
     return found.select("qid", F.col("history")[0].alias("partition_id")).distinct()
+
+
+@query("select vec_id as row, (vec_id * 3 + 1)::bigint as value from embeddings")
+def id_map_scan(spark, sf):
+    """Ids of rows through a file of one column, its length checked."""
+    v, path = vectors(spark, sf), _file(spark, "ids.bin")
+    binary.write_matrix(v.select("id", F.array(F.col("id") * 3 + 1).alias("vec")), path, "uint32")
+    return sidecars.read_ids(spark, path, v.count())
+
+
+@query(_PARTS_SQL + " select chunk, code, unnest(range(8)) as p, round(unnest(pv)::float::double, 5) + 0.0 as x from piv")
+def codebook_scan(spark, sf):
+    """Fixed pivots through a codebook file."""
+    path = _file(spark, "pivots.bin")
+    sidecars.write_codebook(pq.fixed(base_of(vectors(spark, sf)), 8, 64), path)
+    book = sidecars.read_codebook(path).frame(spark).where("code < 64")
+    long = book.select(F.col("chunk").cast("long"), F.col("code").cast("long"), F.posexplode("pivot").alias("p", "x"))
+    return long.select("chunk", "code", F.col("p").cast("long"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
+@query("select vec_id as id, label::int as partition_id from embeddings")
+def partition_ids_scan(spark, sf):
+    """Partitions through binary files of their ids."""
+    prefix = _file(spark, "parts")
+    done = sidecars.write_partition_ids(vectors(spark, sf).select("id", F.col("label").alias("partition_id")), prefix)
+    return sidecars.read_partition_ids(spark, prefix, done.agg(F.max("partition_id")).first()[0] + 1)
+
+
+@query("select vec_id as id, label::int as partition_id, label::int as assigned from embeddings")
+def cluster_files_scan(spark, sf):
+    """Clusters through both of their files."""
+    v, a, b = vectors(spark, sf), _file(spark, "clusters.bin"), _file(spark, "assignment.bin")
+    sidecars.write_clusters(v.select("id", F.col("label").alias("partition_id")), a, b)
+    return sidecars.read_clusters(spark, a).join(sidecars.read_cluster_assignment(spark, b).withColumnRenamed("partition_id", "assigned"), "id").select("id", "partition_id", "assigned")

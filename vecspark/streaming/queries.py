@@ -6,6 +6,7 @@ parts are ignored."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -114,17 +115,17 @@ def counter_windows(events: DataFrame, ts: str = "ts", width: str = "1 minute",
 
 
 class Counters(StreamingQueryListener):
-    """A sample of every stream's state after each batch, as rows of (stream, batch, rows, rows a second, milliseconds)."""
+    """A sample of every stream's state after each batch, as rows of (stream, batch, rows, rows a second, milliseconds, time)."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int, float, int]] = []
+        self.rows: list[tuple[str, int, int, float, int, int]] = []
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration))
+        self.rows.append((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration, time.time_ns()))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -133,4 +134,9 @@ class Counters(StreamingQueryListener):
         pass
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "stream string, batch long, rows long, rows_per_second double, milliseconds long")
+        return spark.createDataFrame(self.rows, "stream string, batch long, rows long, rows_per_second double, milliseconds long, timestamp_ns long")
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """The samples as a counter CSV with a header, as vecspark.sources.logs.counters reads it."""
+        f = self.frame(spark).select("timestamp_ns", "batch", "rows", F.col("rows_per_second").cast("long").alias("rows_per_second"), "milliseconds")
+        f.coalesce(1).write.option("header", True).csv(path)
