@@ -67,10 +67,10 @@ def found_in(docs: DataFrame, items: DataFrame, threshold: float = NEAR, broadca
     entries = maybe(sketches.select("item_id", "k", "least", F.explode("sketch").alias("h")))
     found = None
     for k in sorted(fewest):
-        own = F.size("w") - k + 1
         hashes = _runs(F.col("w"), k, lambda r: F.xxhash64(r))
-        # an outer explode, and no filter: either would cut the texts into words once more
-        h = w.select("doc_id", "th", own.alias("own"), F.explode_outer(F.when(own >= fewest[k], hashes if few else F.array_distinct(hashes))).alias("h"))
+        # an outer explode and no filter, which would cut the texts into words once more; own apart, or the words would go along with every shingle
+        sized = w.select("doc_id", "th", "w", (F.size("w") - k + 1).alias("own"))
+        h = sized.select("doc_id", "th", "own", F.explode_outer(F.when(F.col("own") >= fewest[k], hashes if few else F.array_distinct(hashes))).alias("h"))
         one = h.join(entries.where(F.col("k") == k), "h").where("least <= own").select("doc_id", "th", "item_id")
         found = one if found is None else found.unionByName(one)
     if found is None:
