@@ -279,28 +279,33 @@ def _answer(rows: list[tuple], schema_names: list[str]) -> pa.RecordBatch:
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    if not rows:
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        return pa.table({n: pa.array([], k) for n, k in zip(_NAMES, kinds)})
-    return pa.Table.from_batches([_answer(rows, _NAMES)])
+# --- modes ---------------------------------------------------------------------------------------------------------
 
 
-# --- modes ---------------------------------------------------------------------------------------------------------
+#: Whole indexes that a worker has made of what was sent, by broadcast.
+_WHOLE: dict[int, tuple[Part, np.ndarray]] = {}
 
 
-def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, most_bytes: int = 512 << 20, exact: bool = False) -> DataFrame:
-    """One place has the whole graph: the node table goes to every task, after a look at its size; queries are shared out. exact: distances of vectors instead of codes (from one seed)."""
+def whole(nodes: DataFrame, book: Codebook, seeds: Seeds, most_bytes: int = 512 << 20):
+    """What every task of single() needs, sent after a look at its size; an index sends it once."""
     spark = nodes.sparkSession
     n, dim, degree = nodes.agg(F.count("*"), F.max(F.size("vec")), F.avg(F.size("nbrs"))).first()
     if n * (8 * (dim or 0) + (degree or 0) * (12 + 2 * book.chunks)) > most_bytes:
         raise ValueError("the index doesn't fit one worker: use another mode")
-    sent = spark.sparkContext.broadcast((nodes.orderBy("id").toArrow(), book, seeds))
+    return spark.sparkContext.broadcast((nodes.orderBy("id").toArrow(), book, seeds))
+
+
+def single(queries: DataFrame, sent, p: SearchParams, exact: bool = False) -> DataFrame:
+    """One place has the whole graph (sent: of whole()); queries are shared out. exact: distances of vectors instead of codes (from one seed)."""
+    spark, number = queries.sparkSession, sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") else id(sent)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, book, seeds = sent.value
-        part = Part.of(t)
-        at = part.rows(seeds.ids)
+        if number not in _WHOLE:
+            _WHOLE.clear()
+            part = Part.of(t)
+            _WHOLE[number] = part, part.rows(seeds.ids)
+        part, at = _WHOLE[number]
         for b in batches:
             if not b.num_rows:
                 continue
@@ -314,27 +319,44 @@ def single(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p
     return shared.mapInArrow(search, RESULT)
 
 
-def scatter(queries: DataFrame, nodes: DataFrame, entries: DataFrame, book: Codebook, p: SearchParams, routed: DataFrame | None = None) -> DataFrame:
-    """Each partition has an index of its own (links stay inside); its queries (all, or those routed to it: qid, partition_id) search it from its entry (partition_id, id), and the parts are merged. One shuffle of queries by partition."""
-    spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast(book)
+#: Nodes of a partition that are searched by several queries in step; larger ones are read node by node.
+STEP_NODES = 100_000
+
+
+def scatter(queries: DataFrame, files: Files, entries: DataFrame, book: Codebook, p: SearchParams, routed: DataFrame | None = None) -> DataFrame:
+    """Each partition has an index of its own (files of a node table whose links stay inside); its queries (all, or those routed to it: qid, partition_id) search it from its entry (partition_id, id), and the parts are merged. What is shuffled is queries."""
+    spark = queries.sparkSession
+    first = {r.partition_id: r.id for r in entries.select(F.col("partition_id").cast("int"), "id").collect()}  # one for each partition
+    sent = spark.sparkContext.broadcast((book, first))
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"))
     if routed is None:
-        at = F.broadcast(entries.select("partition_id").distinct())
-        placed = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).join(at)
+        homes = spark.createDataFrame([(h,) for h in sorted(first)], "partition_id int")
+        placed = asked.join(F.broadcast(homes))
     else:
-        placed = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).join(routed.select("qid", "partition_id"), "qid")
-    first = {r.partition_id: r.id for r in entries.select(F.col("partition_id").cast("int"), "id").collect()}  # one for each partition
+        placed = asked.join(routed.select("qid", F.col("partition_id").cast("int")), "qid")
 
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table([])
-        home = key[0].as_py()
-        part, q = Part.of(right, home), matrix(left["vec"])
-        start = np.broadcast_to(part.rows(np.array([first[home]])), (len(q), 1))
-        return _table(_many(part, left["qid"].to_pylist(), q, sent.value, start, p, [home]))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, first = sent.value
+        for b in batches:
+            homes, qids, x = b.column(2).to_numpy(), np.array(b.column(0).to_pylist()), matrix(b.column(1))
+            for home in np.unique(homes).tolist():
+                own = np.flatnonzero(homes == home)
+                part, q, some = opened(files, home), x[own], qids[own].tolist()
+                start = part.rows(np.array([first[home]]))
+                if len(part.ids) <= STEP_NODES:
+                    rows = _many(part, some, q, book, np.broadcast_to(start, (len(q), 1)), p, [home])
+                else:
+                    rows = []
+                    for qid, y, table in zip(some, q, book.table(q)):
+                        s = State.start(y, part.ids[start], adc(table, part.codes[start]), np.array([home]), p.size)
+                        part.run(s, table, p)
+                        rows += [(qid, int(i), float(d), s.hops, s.ios, s.cmps, 0, s.history) for i, d in zip(*s.best(p.k))]
+                if rows:
+                    yield _answer(rows, _NAMES)
 
-    placed = placed.withColumn("partition_id", F.col("partition_id").cast("int"))
-    found = placed.groupBy("partition_id").cogroup(nodes.groupBy("partition_id")).applyInArrow(search, RESULT)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = -(-n // max(1, len(first)))
+    found = placed.select("qid", "vec", "partition_id").repartition(n, "partition_id", F.pmod("qid", F.lit(spread))).mapInArrow(search, RESULT)
     return gathered(found, p.k)
 
 

@@ -202,5 +202,5 @@ def graph_maintenance(spark, sf):
     table = search.node_table(base, grown.select("id", "nbrs"), pq.encode(base, book), grown.select("id", "partition_id"))
     q = queries_of(vectors(spark, sf))
     entries = cluster.medoids(grown.select("id", "vec", "partition_id"), "partition_id").select("partition_id", "id")
-    found = search.scatter(q, table, entries, book, SearchParams(10, 80, 4))
+    found = search.scatter(q, search.laid_out(table), entries, book, SearchParams(10, 80, 4))
     return knn.recall(found, knn.nearest(q, base, 10), 10)

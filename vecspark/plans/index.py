@@ -38,6 +38,8 @@ class Index:
     deleted: DataFrame | None = None  # id: answers leave them out, paths still lead through them
     tags: DataFrame | None = None  # id, tag: names that answers get
     _files: search.Files | None = None
+    _local_files: search.Files | None = None
+    _whole: object = None
     _seeds: search.Seeds | None = None
 
     @classmethod
@@ -117,6 +119,16 @@ class Index:
         self._files = self._files or search.laid_out(self.nodes)
         return self._files
 
+    def local_files(self) -> search.Files:
+        """The partitions' own graphs the same way."""
+        self._local_files = self._local_files or search.laid_out(self.local)
+        return self._local_files
+
+    def whole(self):
+        """The whole graph as every task of the modes in one place needs it, sent once."""
+        self._whole = self._whole or search.whole(self.nodes, self.book, self.seeds())
+        return self._whole
+
     def seeds(self) -> search.Seeds:
         """Where global searches start: the head's nodes nearest to each query, or the entry if there is no head."""
         if self._seeds is None:
@@ -181,11 +193,11 @@ class Index:
             raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
         q, p = self.prepare(queries), SearchParams(k if self.deleted is None else max(k, size), size, beam, seeds)
         if mode in ("single", "full_precision"):
-            found = search.single(q, self.nodes, self.book, self.seeds(), p, exact=mode == "full_precision")
+            found = search.single(q, self.whole(), p, exact=mode == "full_precision")
         elif mode == "scatter":
-            found = search.scatter(q, self.local, self.entries, self.book, p)
+            found = search.scatter(q, self.local_files(), self.entries, self.book, p)
         elif mode == "scatter_top_n":
-            found = search.scatter(q, self.local, self.entries, self.book, p, knn.route(q, self.medoids, top_n))
+            found = search.scatter(q, self.local_files(), self.entries, self.book, p, knn.route(q, self.medoids, top_n))
         elif mode == "coordinator":
             found = search.coordinator(q, self.nodes, self.book, self.seeds(), p)
         else:
