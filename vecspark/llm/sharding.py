@@ -160,9 +160,12 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, task_byte
     starts = stored(counts.select("shard", "_bin", (before - F.col("n")).alias("_start")), "bin-starts")
     starts = F.broadcast(starts) if starts.count() * 64 <= broadcast_bytes else starts
     order = Window.partitionBy("shard", "_bin").orderBy("_key", F.col("doc_id").asc_nulls_first(), F.xxhash64(*(F.col(c).cast("string") for c in docs.columns)))
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * task_bytes)))
     return (
         binned(keyed, "_key")
         .join(starts, ["shard", "_bin"])
+        .repartition(tasks, "shard", "_bin")
         .withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.col("_start"))
         .select(*docs.columns, "size", "shard", "slot")
     )
