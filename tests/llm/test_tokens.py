@@ -97,3 +97,26 @@ def test_differencing_is_near_equal_and_the_count_rises():
     sums = [sum(sizes[i] for i in b) for b in packing.differencing(sizes, 20)]
     assert max(sums) - min(sums) <= 2
     assert len(packing.windows_of([40, 40, 40], 64, cut=False)) == 3  # two windows would do by the total
+
+
+def test_packing_of_nulls_and_repeated_rows(spark):
+    """Every piece is what a plain encoding of its row has at that place; rows that share an id are packed each for itself."""
+    rows = [(None, "some words"), (None, None), (3, "again " * 700), (3, "again " * 700), (3, "other text"), (None, "some words"), (9, "")] + [(100 + i, "w " * (i * 53 % 3000)) for i in range(40)]
+    c = Coder(public_path())
+    whole = {}
+    for i, t in rows:
+        whole.setdefault(i, []).append(np.array([*c.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    for cut in (True, False):
+        d = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, sequence_id string, offset long").repartition(3)
+        got = packing.pack(d, cut=cut).collect()
+        windows, held = {}, {}
+        for r in got:
+            assert r.length == len(r.ids) // 4 > 0
+            assert any(len(x) == 4 * r.doc_tokens and x[4 * r.start : 4 * (r.start + r.length)] == bytes(r.ids) for x in whole[r.doc_id])
+            windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            held[r.doc_id] = held.get(r.doc_id, 0) + r.length
+        assert held == {i: sum(map(len, x)) // 4 for i, x in whole.items()}
+        for w in windows.values():
+            assert [a for a, _ in sorted(w)] == [sum(n for _, n in sorted(w)[:k]) for k in range(len(w))]
+            n = sum(n for _, n in w)
+            assert n <= 2048 and (not cut or n == 2048 or n & (n - 1) == 0)
