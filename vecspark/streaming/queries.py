@@ -81,14 +81,20 @@ def gather_stream(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("qid").transformWithStateInPandas(statefulProcessor=Gather(k), outputStructType=DONE, outputMode="Append", timeMode="None")
 
 
+#: Folders by query that parts are kept in; a batch reads those of its own queries.
+BUCKETS = 64
+
+
 def gather_batches(parts: DataFrame, k: int, sink: str, checkpoint: str) -> StreamingQuery:
     """The same without state in the engine, for state stores that don't support it: parts are kept in a folder, and a query that has become complete in a batch is merged then."""
     from vecspark.operators.knn import merge
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{sink}/parts/batch={number}")
-        kept = spark.read.schema(PARTS + ", batch long").option("basePath", f"{sink}/parts").parquet(f"{sink}/parts").where(F.col("batch") <= number)
+        placed = df.withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(BUCKETS)).cast("int"))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/parts/batch={number}")
+        mine = [r.bucket for r in placed.select("bucket").distinct().collect()]
+        kept = spark.read.schema(PARTS + ", batch long, bucket int").option("basePath", f"{sink}/parts").parquet(f"{sink}/parts").where((F.col("batch") <= number) & F.col("bucket").isin(mine)).drop("bucket")
         here = df.select("qid").distinct()
         all_ = kept.join(here, "qid").dropDuplicates(["qid", "part"])
         ready = all_.groupBy("qid").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).where("n >= parts")
