@@ -368,13 +368,13 @@ def bfs_levels(graph: DataFrame, entry: DataFrame) -> DataFrame:
     """id and level of all that can be reached from entry (id). A level is one join; it is stored by itself and the earlier ones aren't written again."""
     edges = stored(graph.select("id", F.explode("nbrs").alias("n")), "edges")
     front = stored(entry.select("id", F.lit(0).alias("level")).distinct(), "level")
-    seen = front
-    while front.limit(1).count():
-        level = F.lit(front.first().level + 1)
+    seen, level = front, 0
+    while not front.isEmpty():
+        level += 1
         new = edges.join(front.select("id"), "id").select(F.col("n").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        front = stored(new.select("id", level.alias("level")), "level")
+        front = stored(new.select("id", F.lit(level).alias("level")), "level")
         seen = seen.unionByName(front)
-        if len(seen.inputFiles()) > 256:  # many levels make many files: one table of them now and then
+        if level % 32 == 0:  # many levels make many files: one table of them now and then
             seen = stored(seen.coalesce(16), "levels")
     return seen
 

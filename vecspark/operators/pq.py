@@ -93,7 +93,7 @@ class Codebook:
 
 def adc(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Distances of codes (n, chunks) by one query's table (chunks, codes)."""
-    return table[np.arange(table.shape[0])[None, :], codes].sum(axis=1)
+    return table.ravel().take(codes + np.arange(0, table.size, table.shape[1])).sum(axis=1)
 
 
 def _lloyd(x: np.ndarray, k: int, seed: int, iterations: int = 12) -> np.ndarray:

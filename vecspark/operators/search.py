@@ -170,8 +170,8 @@ class Part:
             s.ios += len(rows)
             s.exact_id += self.ids[rows].tolist()
             s.exact_d += to_rows("l2", s.q, self.x[rows]).tolist()
-            span = np.concatenate([np.arange(self.offsets[r], self.offsets[r + 1]) for r in rows])
-            if len(span):
+            span = slice(self.offsets[rows[0]], self.offsets[rows[0] + 1]) if len(rows) == 1 else np.concatenate([np.arange(self.offsets[r], self.offsets[r + 1]) for r in rows])
+            if len(self.nbrs[span]):
                 s.add(self.nbrs[span], adc(table, self.nbr_codes[span]), self.nbr_homes[span], p.size)
 
 
