@@ -170,3 +170,15 @@ def weight_dart(spark, sf):
 @query(f"with e as (select value, row_number() over (order by event_id) as r, count(*) over () as n from events), k as (select value from e where r > floor(n * 0.1)) select round({_floor(0.5, 'value')}, 6) as median, round({_floor(0.95, 'value')}, 6) as p95, round(avg(value), 6) as mean from k where value is not null")
 def trimmed_latency(spark, sf):
     return rounded(M.trimmed_latency(_events(spark, sf), "value", "event_id"), "median", "p95", "mean")
+
+
+_RUN = "r as (select l_linenumber::int as l, l_orderkey * 10.0::double as send, l_orderkey * 10.0::double + 100 + l_partkey % 977 as receive, (l_partkey % 13)::double as hops, (l_partkey % 5)::double as inter, (l_partkey % 17)::double as ios, (l_partkey % 301)::double as cmps, (l_suppkey % 101)::double as recall, (100 + l_partkey % 977)::double as lat from lineitem)"
+
+
+@query(f"with {_RUN} select l as L, round(count(*) * 1e6 / (max(receive) - min(send)), 4) as qps, round(avg(lat), 4) as mean, {_floor(0.5, 'lat')} as p50, {_floor(0.99, 'lat')} as p99, {_floor(0.999, 'lat')} as p999, round(avg(hops), 4) as mean_hops, round(avg(inter), 4) as mean_inter, round(avg(ios), 4) as mean_ios, round(avg(cmps), 4) as mean_cmps, round(avg(recall), 4) as recall from r group by l")
+def run_table(spark, sf):
+    """The table of a benchmark: a row for each size of the pool."""
+    part = lambda n: (F.col("l_partkey") % n).cast("double")
+    send = F.col("l_orderkey") * F.lit(10.0)
+    r = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("L"), send.alias("send_us"), (send + 100 + F.col("l_partkey") % 977).alias("receive_us"), part(13).alias("n_hops"), part(5).alias("n_inter_partition_hops"), part(17).alias("n_ios"), part(301).alias("n_cmps"), (F.col("l_suppkey") % 101).cast("double").alias("recall"))
+    return rounded(M.run_table(r, ["L"]).select("L", "qps", "mean", "p50", "p99", "p999", "mean_hops", "mean_inter", "mean_ios", "mean_cmps", "recall"), "qps", "mean", "mean_hops", "mean_inter", "mean_ios", "mean_cmps", "recall", digits=4)

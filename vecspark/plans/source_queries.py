@@ -325,3 +325,74 @@ def cluster_files_scan(spark, sf):
     v, a, b = vectors(spark, sf), _file(spark, "clusters.bin"), _file(spark, "assignment.bin")
     sidecars.write_clusters(v.select("id", F.col("label").alias("partition_id")), a, b)
     return sidecars.read_clusters(spark, a).join(sidecars.read_cluster_assignment(spark, b).withColumnRenamed("partition_id", "assigned"), "id").select("id", "partition_id", "assigned")
+
+
+@query("select vec_id as id, 96::bigint as dim, round(embedding[64]::double, 6) + 0.0 as last, 0.0::double as beyond from embeddings")
+def padded_matrix_scan(spark, sf):
+    """A matrix file whose rows are padded to a multiple of 48 dimensions."""
+    path = _file(spark, "m.bin")
+    binary.write_matrix(vectors(spark, sf).select("id", "vec"), path)
+    m = binary.read_matrix(spark, path, pad_to=48)
+    rest = F.aggregate(F.slice("vec", 65, 32), F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return m.select("id", F.size("vec").cast("long").alias("dim"), (F.round(F.element_at("vec", 64).cast("double"), 6) + F.lit(0.0)).alias("last"), rest.alias("beyond"))
+
+
+@query("with e as (select user_id % 3 as f, epoch_us(ts) * 1000 as ns, user_id as queued, event_id % 11 as sent from events), s as (select *, (ns - min(ns) over (partition by f)) / 1e9 as s from e), k as (select s - min(s) over (partition by f) as seconds, queued, sent from s where s >= 86400) select round(seconds, 2) as seconds, 'queued' as counter, queued as value from k union all select round(seconds, 2), 'sent', sent from k")
+def counter_csv_scan(spark, sf):
+    """Counter files of three servers, each from its own beginning, without the first day."""
+    folder = _file(spark, "counters")
+    e = table(spark, sf, "events").select((F.col("user_id") % 3).alias("f"), (F.expr(_MICROS).cast("long") * 1000).alias("timestamp_ns"), F.col("user_id").alias("queued"), (F.col("event_id") % 11).alias("sent"))
+    for f in range(3):
+        e.where(F.col("f") == f).drop("f").coalesce(1).write.option("header", True).csv(f"{folder}/{f}")
+    return rounded(logs.counters(spark, [f"{folder}/{f}" for f in range(3)], 86_400.0).select("seconds", "counter", "value"), "seconds", digits=2)
+
+
+@query("with n as (select distinct l_partkey % 500 as k from lineitem) select (k * 2)::int as \"start\", (k * 2 + 1)::int as \"end\", case when k % 3 = 0 then 'query_id' else 'batch_id' end as msg_id_type from n where k % 7 <> 0")
+def tag_pairs_scan(spark, sf):
+    """A tag dictionary through its file, paired by names; every seventh name has no end."""
+    k = table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("k")).distinct()
+    name = lambda end: F.concat(F.lit("step_"), F.col("k").cast("string"), F.lit(end))
+    kind = F.when(F.col("k") % 3 == 0, F.lit("query_id")).otherwise(F.lit("batch_id"))
+    (s, e), path = logs.START_END[0], _file(spark, "tags")
+    rows = k.select(name(s).alias("tag_name"), (F.col("k") * 2).alias("tag_value"), kind.alias("msg_id_type"))
+    ends = k.where("k % 7 <> 0").select(name(e).alias("tag_name"), (F.col("k") * 2 + 1).alias("tag_value"), kind.alias("msg_id_type"))
+    rows.unionByName(ends).coalesce(1).write.option("header", True).csv(path)
+    return logs.tag_pairs(logs.tag_dictionary(spark, path))
+
+
+@query("select l_linenumber as f, count(*) as n, sum(l_orderkey)::bigint as ids from lineitem where l_linenumber <= 3 group by 1")
+def query_csv_files(spark, sf):
+    """Query tables of several runs, read by a list of paths and told apart by it."""
+    h, paths = _history(spark, sf), []
+    for f in (1, 2, 3):
+        own = table(spark, sf, "lineitem").where(F.col("l_linenumber") == f).select(F.col("l_orderkey").alias("qid")).join(h, "qid")
+        row = own.select(F.col("qid").alias("query_id"), *(F.lit(f * 1.0).alias(c) for c in logs.QUERY[1:]), "partition_history", F.transform("partition_history", lambda x, i: i).alias("partition_history_hop_idx"))
+        paths.append(_file(spark, f"run{f}"))
+        logs.write_query_table(row, paths[-1])
+    return logs.query_table(spark, paths).groupBy(F.col("n_hops").cast("long").alias("f")).agg(F.count("*").alias("n"), F.sum("query_id").cast("long").alias("ids"))
+
+
+@query("select distinct event_id as qid, (user_id % 3)::int as part from events")
+def stream_parts_once(spark, sf):
+    """Parts that come three times over, each kept once."""
+    folder, name = _file(spark, "late"), f"l_{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(F.col("event_id").alias("qid"), (F.col("user_id") % 3).cast("int").alias("part"), F.lit(3).alias("parts"), F.array(F.col("event_id")).alias("ids"), F.array(F.lit(1.0)).alias("dists"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
+    for _ in range(3):
+        e.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    s = streams.without_late(spark.readStream.schema(streams.PARTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    s.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
+    return spark.table(name).select("qid", "part")
+
+
+@query("select event_id as qid, user_id % 5 as v from events where event_id % 2 = 0")
+def stream_waiting(spark, sf):
+    """Work that meets its query's vector within ten minutes; that of odd queries comes an hour late."""
+    folder, name, t0 = _file(spark, "waiting"), f"w_{uuid.uuid4().hex}", F.timestamp_seconds(F.lit(1_700_000_000))
+    e = table(spark, sf, "events")
+    e.select(F.col("event_id").alias("qid"), t0.alias("at")).write.parquet(f"{folder}/q")
+    late = F.when(F.col("event_id") % 2 == 1, F.expr("interval 1 hour")).otherwise(F.expr("interval 1 minute"))
+    e.select(F.col("event_id").alias("qid"), F.array((F.col("user_id") % 5).cast("double")).alias("vec"), (t0 + late).alias("sent")).write.parquet(f"{folder}/v")
+    q = spark.readStream.schema("qid long, at timestamp").parquet(f"{folder}/q")
+    v = spark.readStream.schema(streams.VECTORS).parquet(f"{folder}/v")
+    streams.waiting(q, v).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
+    return spark.table(name).select("qid", F.col("vec")[0].cast("long").alias("v"))
