@@ -119,10 +119,13 @@ def sizing_rules(spark, sf):
     return spark.createDataFrame(rows, "n long, budget long, dim long, chunks long, ram double, sample long")
 
 
-@query()
+@query("select count(*) as n, true as balanced, 5::bigint as parts from embeddings")
 def balanced_partitions(spark, sf):
-    """Sizes of disjoint balanced partitions."""
-    return cluster.balanced(vectors(spark, sf), 5, 0.05).groupBy("partition_id").agg(F.count("*").alias("n"))
+    """Disjoint partitions of five hundredths above the mean at most; every row has one."""
+    v = vectors(spark, sf)
+    n = v.count()
+    sizes = cluster.balanced(v, 5, 0.05).groupBy("partition_id").agg(F.count("*").alias("k"), F.countDistinct("id").alias("d"))
+    return sizes.agg(F.sum("d").alias("n"), (F.max("k") <= -(-n * 105 // 500)).alias("balanced"), F.count("*").alias("parts"))
 
 
 @query("select true as fits, count(*)::bigint as n from embeddings")
@@ -134,6 +137,15 @@ def shards_within_memory(spark, sf):
     return sizes.agg((F.max("n") * F.lit(prep.ram_estimate(1, 64, 16)) <= ram).alias("fits"), F.sum("n").alias("n"))
 
 
+@query(f"{_ASSIGNED} select true as better, 8::bigint as k from a limit 1")
+def kmeans_improves(spark, sf):
+    """k-means++ and Lloyd's iterations leave less than random pivots do after one."""
+    v = vectors(spark, sf)
+    _, trained = cluster.kmeans(base_of(v), cluster.plus_plus(base_of(v), 8), 10)
+    once = cluster.lloyd_step(base_of(v), _centers(v))[1].first()[0]
+    return spark.createDataFrame([(bool(trained < once), 8)], "better boolean, k long")
+
+
 @query()
 def kmeans_trained(spark, sf):
     """Residual of k-means from k-means++ pivots."""

@@ -184,6 +184,25 @@ def ann_recall_curve(spark, sf):
     return out
 
 
+@query("select m.mode, s.size, true as enough from (select unnest(['single', 'state_send']) as mode) m, (select unnest([10, 20, 40, 80]) as size) s")
+def ann_recall_bounds(spark, sf):
+    """Whether pools of these sizes find 58.8, 76.6, 88.2 and 94.7 of 100 neighbours at least."""
+    least = F.create_map(*(F.lit(x) for kv in ((10, 58.8), (20, 76.6), (40, 88.2), (80, 94.7)) for x in kv))
+    return ann_recall_curve(spark, sf).select("mode", "size", (F.col("recall") >= F.element_at(least, F.col("size"))).alias("enough"))
+
+
+@query("select count(*) as n, count(*) as reached, 0::bigint as self_links, 0::bigint as repeated, 0::bigint as nowhere, true as bounded from embeddings")
+def index_graph_rules(spark, sf):
+    """The index's graph: every node is reached from the entry, no node links to itself, twice to one or to none that is there, degrees are bounded (by one more where a node would be lost)."""
+    ix = index(spark, sf)
+    g = ix.nodes.select("id", "nbrs")
+    e = _edges(g)
+    reached = graph.bfs_levels(g, spark.createDataFrame([(ix.entry,)], "id long")).count()
+    nowhere = e.join(g.select(F.col("id").alias("n")), "n", "left_anti").count()
+    one = g.agg(F.count("*").alias("n"), F.sum(F.array_contains("nbrs", F.col("id")).cast("long")).alias("self_links"), F.sum(F.size("nbrs") - F.size(F.array_distinct("nbrs"))).cast("long").alias("repeated"), (F.max(F.size("nbrs")) <= 33).alias("bounded"))
+    return one.select("n", F.lit(reached).cast("long").alias("reached"), "self_links", "repeated", F.lit(nowhere).cast("long").alias("nowhere"), "bounded")
+
+
 @query()
 def graph_maintenance(spark, sf):
     """Recall of local graphs after a seventh of their nodes is deleted and consolidated and a fifth of all rows is inserted, a partition by itself each."""

@@ -89,3 +89,9 @@ def pq_trained_recall(spark, sf):
     truth = knn.nearest(q, b, 10)
     one = knn.recall(found, truth, 10).select(F.lit("codes").alias("by"), "recall")
     return one.unionByName(knn.recall(pq.rerank(q, b, found, 10), truth, 10).select(F.lit("reranked").alias("by"), "recall"))
+
+
+@query("select 'codes' as by, true as enough union all select 'reranked', true")
+def pq_recall_bounds(spark, sf):
+    """Whether trained codes find half of the neighbours by themselves, and 95 of 100 with 40 candidates reranked."""
+    return pq_trained_recall(spark, sf).select("by", (F.col("recall") >= F.when(F.col("by") == "codes", 50).otherwise(95)).alias("enough"))
