@@ -346,3 +346,13 @@ def test_deletes_tags_and_compaction(spark, points, built, tmp_path):
         for r in i.search(q, 4, 240, 8, mode).orderBy("qid", "dist", "id").collect():
             got.setdefault(r.qid, []).append(r.id if i is ix else r.tag)
         assert got == want, mode
+
+
+def test_an_index_has_the_exact_medoids_of_large_partitions(spark):
+    x = np.random.default_rng(5).normal(size=(2600, 3))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    ix = Index.build(d, d.select("id", (F.col("id") % 2).alias("partition_id")), "l2", 3, BuildParams(6, 12, 24), head_share=0)
+    got = {r.partition_id: r.vec for r in ix.medoids.collect()}
+    for p in (0, 1):
+        own = x[p::2]
+        assert got[p] == own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmin()].tolist()

@@ -70,7 +70,7 @@ class Index:
         own = stored(graph.build_shards(base.join(homes, "id"), "partition_id", p), "local-graphs")
         local = stored(search.node_table(base, own.select("id", "nbrs"), codes, homes), "local-nodes")
         entries = stored(own.where("entry").select("partition_id", "id"), "entries")
-        medoids = stored(base.join(cluster.medoids(base.join(homes, "id"), "partition_id", 10_000, 1_000), "id").select("partition_id", "vec"), "medoids")
+        medoids = stored(base.join(cluster.medoids(base.join(homes, "id"), "partition_id"), "id").select("partition_id", "vec"), "medoids")
         entry = cluster.entry_point(base).first().id
         head = None
         if head_share:
