@@ -349,10 +349,35 @@ def test_deletes_tags_and_compaction(spark, points, built, tmp_path):
 
 
 def test_an_index_has_the_exact_medoids_of_large_partitions(spark):
-    x = np.random.default_rng(5).normal(size=(2600, 3))
+    x = np.stack([np.random.default_rng(5).permutation(2600) / 2600, np.zeros(2600)], axis=1)  # so dense that any sample has another centre
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    ix = Index.build(d, d.select("id", (F.col("id") % 2).alias("partition_id")), "l2", 3, BuildParams(6, 12, 24), head_share=0)
+    ix = Index.build(d, d.select("id", (F.col("id") % 2).alias("partition_id")), "l2", 1, BuildParams(6, 12, 24), head_share=0)
     got = {r.partition_id: r.vec for r in ix.medoids.collect()}
     for p in (0, 1):
         own = x[p::2]
         assert got[p] == own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmin()].tolist()
+
+
+def test_nearest_of_copies_and_bounded_steps(spark, monkeypatch):
+    """Of many copies the least ids are found whatever the rows' order, and no more pairs than a step's are compared at once."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(5, 8)), 300, axis=0)
+    ids = rng.permutation(len(x))
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, vec array<double>").repartition(2)
+    of = {int(i): n // 300 for n, i in enumerate(ids)}
+    least = [sorted(i for i, c in of.items() if c == k)[:5] for k in range(5)]
+    q = d.where("id < 40")
+    for found in (knn.nearest(vec(q), d, 4), knn.nearest_of_many(vec(q), d, 4)):
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == {i: least[of[i]][:4] for i in range(40)}
+    links = {}
+    for r in graph.knn_graph(d, 4).orderBy("id", "rank").collect():
+        links.setdefault(r.id, []).append(r.n)
+    assert links == {i: [n for n in least[c] if n != i][:4] for i, c in of.items()}
+    seen, plain = [], knn.pairwise
+    monkeypatch.setattr(knn, "pairwise", lambda name, a, b, e="float": seen.append(len(a) * len(b)) or plain(name, a, b, e))
+    top = knn.Nearest(rng.normal(size=(3000, 4)), 3)
+    top.add(np.arange(9000), rng.normal(size=(9000, 4)))
+    assert max(seen) <= knn.STEP_ROWS * knn.STEP_QUERIES < 3000 * 9000 and sum(seen) == 3000 * 9000
