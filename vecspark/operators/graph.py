@@ -344,8 +344,8 @@ def merged_build(df: DataFrame, shards: int, p: BuildParams = BuildParams(), rep
 
 
 def knn_graph(df: DataFrame, k: int) -> DataFrame:
-    """Every row's k nearest others, exactly: id, n, dist, rank. For fixtures and small sets: all rows are queries, taken in blocks."""
-    found = knn.nearest(df.select(F.col("id").alias("qid"), "vec"), df, k + 1).where("qid <> id")
+    """Every row's k nearest others, exactly: id, n, dist, rank. All rows are queries, so all pairs are compared, a block of rows with a task's queries at a time."""
+    found = knn.nearest_of_many(df.select(F.col("id").alias("qid"), "vec"), df, k + 1).where("qid <> id")
     return knn.ranked(found.drop("rank"), k).select(F.col("qid").alias("id"), F.col("id").alias("n"), "dist", "rank")
 
 
