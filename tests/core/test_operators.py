@@ -381,3 +381,23 @@ def test_nearest_of_copies_and_bounded_steps(spark, monkeypatch):
     top = knn.Nearest(rng.normal(size=(3000, 4)), 3)
     top.add(np.arange(9000), rng.normal(size=(9000, 4)))
     assert max(seen) <= knn.STEP_ROWS * knn.STEP_QUERIES < 3000 * 9000 and sum(seen) == 3000 * 9000
+
+
+def test_connected_links_what_is_lost(spark):
+    """Two islands and a node without links: all are reached, no list is longer than the degree and one, what was there stays."""
+    x = np.array([[float(i), 0.0] for i in range(4)] + [[float(i), 9.0] for i in range(4)] + [[50.0, 50.0]])
+    links = [[1, 2], [0, 3], [0], [1], [5, 6], [4, 7], [4], [5], []]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    g = spark.createDataFrame(list(enumerate(links)), "id long, nbrs array<long>")
+    out = graph.connected(g, v, 0, 2)
+    assert graph.bfs_levels(out, spark.createDataFrame([(0,)], "id long")).count() == 9
+    got = {r.id: r.nbrs for r in out.collect()}
+    assert all(len(got[i]) <= 3 and got[i][: len(n)] == n and len(set(got[i])) == len(got[i]) for i, n in enumerate(links))
+
+
+def test_merged_index_reaches_every_node(spark):
+    x = np.random.default_rng(8).normal(size=(600, 6)) + np.repeat(np.arange(6), 100)[:, None] * 30.0
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    ix = Index.build(d, d.select("id", F.lit(0).alias("partition_id")), "l2", 3, BuildParams(6, 12, 24), shards=6, head_share=0)
+    assert graph.bfs_levels(ix.nodes.select("id", "nbrs"), spark.createDataFrame([(ix.entry,)], "id long")).count() == 600
+    assert ix.nodes.agg(F.max(F.size("nbrs"))).first()[0] <= 7

@@ -343,6 +343,38 @@ def merged_build(df: DataFrame, shards: int, p: BuildParams = BuildParams(), rep
     return merge_shards(graphs, p.degree).join(df.select("id", F.col("vec").cast("array<double>").alias("vec")), "id").select("id", "vec", "nbrs")
 
 
+def connected(graph: DataFrame, vectors: DataFrame, entry: int, degree: int) -> DataFrame:
+    """The graph (id, nbrs) with a link to whatever the entry doesn't lead to, from the nearest node (by vectors: id, vec) that is reached and has room: id, nbrs. Where no list is longer than the degree, none gets longer than one more.
+
+    A round links all that is lost and offers each node as many newcomers as it has room for, the nearest first; what was
+    turned down is left to the next round. Every newcomer brings room of its own, so each round links some."""
+    spark = graph.sparkSession
+    seen = _reached(stored(graph.select("id", F.explode("nbrs").alias("n")), "edges"), spark.createDataFrame([(entry,)], "id long"))
+    while True:
+        lost = stored(graph.join(seen, "id", "left_anti").select("id", "nbrs"), "lost")
+        if lost.isEmpty():
+            return graph
+        room = graph.join(seen, "id", "left_semi").select("id", (F.lit(degree + 1) - F.size("nbrs")).alias("room")).where("room > 0")
+        near = knn.nearest(lost.join(vectors, "id").select(F.col("id").alias("qid"), "vec"), vectors.join(room, "id").select("id", "vec"), 1)
+        w = Window.partitionBy("id").orderBy("dist", "qid")
+        taken = near.join(room, "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("room")).select("id", F.col("qid").alias("n"))
+        taken = stored(taken, "new-links")
+        more = taken.groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("more"))
+        graph = stored(graph.join(more, "id", "left").select("id", F.when(F.col("more").isNull(), F.col("nbrs")).otherwise(F.concat("nbrs", "more")).alias("nbrs")), "connected")
+        edges = stored(lost.select("id", F.explode("nbrs").alias("n")), "edges")
+        seen = seen.unionByName(_reached(edges.join(seen.select(F.col("id").alias("n")), "n", "left_anti"), taken.select(F.col("n").alias("id"))))
+
+
+def _reached(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """The ids that edges (id, n) lead to from front (id), front included."""
+    seen = front = stored(front.distinct(), "level")
+    while not front.isEmpty():
+        new = edges.join(front, "id").select(F.col("n").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = stored(new, "level")
+        seen = seen.unionByName(front)
+    return stored(seen, "reached")
+
+
 def knn_graph(df: DataFrame, k: int) -> DataFrame:
     """Every row's k nearest others, exactly: id, n, dist, rank. All rows are queries, so all pairs are compared, a block of rows with a task's queries at a time."""
     found = knn.nearest_of_many(df.select(F.col("id").alias("qid"), "vec"), df, k + 1).where("qid <> id")

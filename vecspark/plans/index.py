@@ -46,7 +46,7 @@ class Index:
     def build(cls, df: DataFrame, partitions: int | DataFrame, name: str | Metric = "l2", chunks: int = 32, p: BuildParams = BuildParams(), shards: int | None = None, head_share: float = 0.05, slack: float = 0.05, head_levels: bool = False) -> Index:
         """From vectors (id, vec): prepare for the metric, train and encode, assign homes (or take them: id, partition_id), build the graphs.
 
-        The global graph is built in overlapping shards of at most some SHARD_ROWS and merged, or at once if one shard
+        The global graph is built in overlapping shards of at most some SHARD_ROWS, merged and connected, or at once if one shard
         holds all; local graphs are built partition by partition. A graph over a sample (head) gives each query its seeds
         if head_share is above 0; with head_levels it is over the levels of links around the entry instead."""
         m, spark, norm = metric(name), df.sparkSession, 1.0
@@ -56,6 +56,7 @@ class Index:
         elif m is Metric.COSINE:
             base = base.withColumn("vec", prep.normalize(F.col("vec")))
         base = stored(base, "vectors")
+        entry = cluster.entry_point(base).first().id
         book = pq.train(base, min(chunks, len(base.select("vec").first()[0])))
         codes = stored(pq.encode(base, book), "codes")
         homes = cluster.balanced(base, partitions, slack) if isinstance(partitions, int) else partitions
@@ -63,7 +64,8 @@ class Index:
         if shards is None:
             shards = -(-2 * base.count() // SHARD_ROWS) if base.count() > SHARD_ROWS else 1  # each row has two shards
         if shards > 1:
-            links = graph.merged_build(base, shards, p).select("id", "nbrs")
+            # merging cuts lists, so that nodes may be lost
+            links = graph.connected(stored(graph.merged_build(base, shards, p).select("id", "nbrs"), "merged"), base, entry, p.degree)
         else:
             links = graph.build_shards(base.withColumn("shard", F.lit(0)), "shard", p).select("id", "nbrs")
         nodes = stored(search.node_table(base, links, codes, homes), "nodes")
@@ -71,7 +73,6 @@ class Index:
         local = stored(search.node_table(base, own.select("id", "nbrs"), codes, homes), "local-nodes")
         entries = stored(own.where("entry").select("partition_id", "id"), "entries")
         medoids = stored(base.join(cluster.medoids(base.join(homes, "id"), "partition_id"), "id").select("partition_id", "vec"), "medoids")
-        entry = cluster.entry_point(base).first().id
         head = None
         if head_share:
             some = cluster.sample(base, head_share, 7)
