@@ -67,7 +67,7 @@ def shard_merge_edges(spark, sf):
 
 @query(_BOTH + ", x as (select * from e where id % 7 <> 0), stay as (select id, n from x where n % 7 <> 0), t as (select x.id, e.n from x join e on e.id = x.n where x.n % 7 = 0 and e.n % 7 <> 0 and e.n <> x.id) select distinct id, n from (select * from stay union all select * from t)")
 def delete_repair_2hop(spark, sf):
-    g = _graph(spark, sf)
+    g = stored(_graph(spark, sf), "graph")
     return _edges(graph.repaired(g, g.where("id % 7 = 0").select("id")))
 
 

@@ -65,7 +65,7 @@ def truth_set_scan(spark, sf):
 
 def _graph_scan(dialect):
     def run(spark, sf):
-        g = _graph(spark, sf)
+        g = stored(_graph(spark, sf), "graph")
         path = _file(spark, "graph.bin")
         binary.write_graph(g, path, dialect)
         return binary.read_graph(spark, path, dialect).select("id", F.explode("nbrs").alias("n"))
