@@ -109,3 +109,26 @@ def test_tagged_logs(spark, tmp_path):
     assert sorted(map(tuple, L.tag_pairs(tags).collect())) == [(10, 11, "query_id_and_node_id"), (12, 13, "batch_id")]
     r = {x.tag: x for x in L.with_ids(L.tagged(spark, f"{tmp_path}/t.dat"), tags).collect()}
     assert (r[10].query_id, r[10].node_id, r[10].us) == (3, 9, 5.0) and not r[11].ok and r[12].batch_id == 77
+
+
+def test_streams_that_end_leave_files(spark):
+    """Their rows come from files, not from the driver's memory, and all of them are there."""
+    from vecspark.plans.catalog import QUERIES
+
+    for name, n in (("stream_parts_once", 1000), ("stream_waiting", 500)):
+        out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert out.inputFiles() and out.count() == n
+
+
+def test_sql_functions_rank_no_pair_of_all(spark):
+    """Windows see bounds and what is within them: no vectors, and far fewer rows than pairs."""
+    from vecspark.plans.catalog import QUERIES
+
+    plan = QUERIES["sql_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    windows, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        kids = [p.children().apply(i) for i in range(p.children().size())]
+        todo += kids
+        windows += kids if p.nodeName() == "Window" else []
+    assert windows and not any("array" in w.output().apply(i).dataType().simpleString() for w in windows for i in range(w.output().size()))

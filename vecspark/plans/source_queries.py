@@ -380,24 +380,23 @@ def query_csv_files(spark, sf):
 @query("select distinct event_id as qid, (user_id % 3)::int as part from events")
 def stream_parts_once(spark, sf):
     """Parts that come three times over, each kept once."""
-    folder, name = _file(spark, "late"), f"l_{uuid.uuid4().hex}"
+    folder = _file(spark, "late")
     e = table(spark, sf, "events").select(F.col("event_id").alias("qid"), (F.col("user_id") % 3).cast("int").alias("part"), F.lit(3).alias("parts"), F.array(F.col("event_id")).alias("ids"), F.array(F.lit(1.0)).alias("dists"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
     for _ in range(3):
-        e.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    s = streams.without_late(spark.readStream.schema(streams.PARTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    s.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
-    return spark.table(name).select("qid", "part")
+        e.write.mode("append").parquet(f"{folder}/in")
+    files = len(spark.read.schema(streams.PARTS).parquet(f"{folder}/in").inputFiles())
+    s = streams.without_late(spark.readStream.schema(streams.PARTS).option("maxFilesPerTrigger", max(1, files // 3)).parquet(f"{folder}/in"))
+    return streams.to_files(s.select("qid", "part"), folder)
 
 
 @query("select event_id as qid, user_id % 5 as v from events where event_id % 2 = 0")
 def stream_waiting(spark, sf):
     """Work that meets its query's vector within ten minutes; that of odd queries comes an hour late."""
-    folder, name, t0 = _file(spark, "waiting"), f"w_{uuid.uuid4().hex}", F.timestamp_seconds(F.lit(1_700_000_000))
+    folder, t0 = _file(spark, "waiting"), F.timestamp_seconds(F.lit(1_700_000_000))
     e = table(spark, sf, "events")
     e.select(F.col("event_id").alias("qid"), t0.alias("at")).write.parquet(f"{folder}/q")
     late = F.when(F.col("event_id") % 2 == 1, F.expr("interval 1 hour")).otherwise(F.expr("interval 1 minute"))
     e.select(F.col("event_id").alias("qid"), F.array((F.col("user_id") % 5).cast("double")).alias("vec"), (t0 + late).alias("sent")).write.parquet(f"{folder}/v")
     q = spark.readStream.schema("qid long, at timestamp").parquet(f"{folder}/q")
     v = spark.readStream.schema(streams.VECTORS).parquet(f"{folder}/v")
-    streams.waiting(q, v).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
-    return spark.table(name).select("qid", F.col("vec")[0].cast("long").alias("v"))
+    return streams.to_files(streams.waiting(q, v).select("qid", F.col("vec")[0].cast("long").alias("v")), folder)

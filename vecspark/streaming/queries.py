@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from vecspark.runtime import settings
+
 VECTORS = "qid long, vec array<double>, sent timestamp"
 PARTS = "qid long, part int, parts int, ids array<long>, dists array<double>, at timestamp"
 DONE = "qid long, rank long, id long, dist double, parts int"
@@ -115,6 +117,23 @@ def waiting(queries: DataFrame, vectors: DataFrame, delay: str = "10 minutes") -
     return q.join(v, (F.col("q.qid") == F.col("v.qid")) & near).select("q.*", "v.vec")
 
 
+#: States on the workers' disks, written as changes: their size isn't bound by an executor's memory.
+STATES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+def to_files(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream whose input is there gives, as files in a folder of the shared store: no row passes the driver, and a batch that is repeated replaces itself."""
+    spark = stream.sparkSession
+    with settings(spark, STATES):
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def counter_windows(events: DataFrame, ts: str = "ts", width: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
     """Counts and sums of samples in tumbling windows, once each is past the delay."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, width), "counter").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
