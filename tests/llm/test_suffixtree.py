@@ -94,6 +94,16 @@ def test_matches_brute_force_and_beats_the_base(spark):
     assert sum(x[6] for x in out) > sum(x[5] for x in out)
 
 
+def test_hot_contexts_follow_the_same_rules(spark):
+    """Where contexts are dealt in pieces, the test and the smoothing are those of all others."""
+    rows = corpus()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(brute(rows, 4, 30, 15, 0.05), key=str)
+    got = sorted((tuple(r) for r in suffixtree.score(d, 4, 30, 15, 0.05, hot=60).collect()), key=str)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert np.allclose([x[6] for x in got], [x[6] for x in want], rtol=1e-5)
+
+
 def test_hot_contexts_are_the_same_in_pieces():
     """What is asked of a hot context in two buckets is answered as in one."""
     rng = np.random.default_rng(1)

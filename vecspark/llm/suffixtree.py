@@ -8,15 +8,16 @@ symbols and states grow with the corpus.
 Divergence test: a candidate is retained if its next-symbol distribution, each occurrence judged by all the others,
 predicts training texts better than its parent's (the context without its oldest symbol) by ``GAIN`` bits a symbol. A
 retained state's distribution is smoothed by its parent's, by absolute discounting (n symbols that occur at all leave
-n * ``DISCOUNT`` of their counts to the parent); the root's by one count a symbol. Contexts of ``HOT`` tokens or more
-need no test, and leave ``HOT_PRIOR`` counts to the parent. A text's log10 probability is the sum over tokens of the
-symbol's, in the longest retained suffix of what came before, and the word's among its shape's words,
-(c + 1) / (N + V + 1) with the shape's own N and V.
+n * ``DISCOUNT`` of their counts to the parent); the root's by one count a symbol. Both rules are the same for every
+context, whatever its count. A text's log10 probability is the sum over tokens of the symbol's, in the longest retained
+suffix of what came before, and the word's among its shape's words, (c + 1) / (N + V + 1) with the shape's own N and V.
 
 No worker holds the tree. Documents are read once into blocks of some 16 MB, each with a vocabulary of its own and the
 texts as places in it. Level by level a block asks for its distinct contexts with what follows them and how often; the
-questions are dealt to buckets by context (and what follows, where the context is hot, so that no context fills a
-bucket), a bucket sums the counts of all blocks, tests the contexts and answers with the probabilities. What a context
+questions are dealt to buckets by context (and what follows, where the context has ``HOT`` tokens or more, so that no
+context fills a bucket), a bucket sums the counts of all blocks, tests the contexts and answers with the counts. The
+pieces of a hot context are added up first: how many kinds of symbols follow it, then the test's bits; a row for each
+piece comes to the driver, a row for each hot context goes to the blocks. What a context
 one symbol longer occurs is known from its parent's answer, so only contexts that reach the bound are ever asked for.
 Blocks' states are files in the shared folder, renamed when complete, the same in every attempt; a level's are deleted
 when the next is stored. Words, symbols and contexts are known by 64-bit hashes.
@@ -255,13 +256,14 @@ class Pairs:
     new: np.ndarray  # whether a pair begins a run
     q: np.ndarray  # log10 of what the parent says
     total: np.ndarray  # for each run: the context's training count
+    hot: np.ndarray  # the hashes of the contexts of hot runs
 
     @property
     def run(self) -> np.ndarray:
         return np.cumsum(self.new) - 1
 
 
-def _pairs(x: np.ndarray, level: int, pos: np.ndarray, ctx: np.ndarray, total: np.ndarray, p: np.ndarray, buckets: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(x: np.ndarray, level: int, pos: np.ndarray, ctx: np.ndarray, total: np.ndarray, p: np.ndarray, buckets: int, hot: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs; for each its first place in pos, bucket and context's hash). At each place, ctx: a name for the context of level symbols within the block, total: its training count, p: log10 of what its parent says of the symbol."""
     key = ctx.astype(np.uint64)
     key <<= np.uint64(32)
@@ -278,7 +280,7 @@ def _pairs(x: np.ndarray, level: int, pos: np.ndarray, ctx: np.ndarray, total: n
     for j in range(level, 0, -1):
         hashes = _mix(hashes * _R + x[pos[first] - j])
     total = total[first].astype(np.int64)
-    split = x[pos[first]].astype(np.uint64) % (np.uint64(1) + (total // HOT).astype(np.uint64))
+    split = x[pos[first]].astype(np.uint64) % (np.uint64(1) + (total // hot).astype(np.uint64))
     bucket = (_mix(hashes + split * _R) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((hashes, bucket))
     place = np.empty(len(order), np.uint32)
@@ -286,7 +288,8 @@ def _pairs(x: np.ndarray, level: int, pos: np.ndarray, ctx: np.ndarray, total: n
     first, bucket, hashes = first[order], bucket[order], hashes[order]
     new = np.ones(len(first), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (bucket[1:] != bucket[:-1])
-    return Pairs(place[at], new, p[first].astype("<f4"), total[order][new]), first, bucket, hashes
+    total = total[order][new]
+    return Pairs(place[at], new, p[first].astype("<f4"), total, hashes[new][total >= hot]), first, bucket, hashes
 
 
 def _ask(block: int, texts: dict[str, np.ndarray], x: np.ndarray, pos: np.ndarray, asked: tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -313,24 +316,30 @@ def _once(of: np.ndarray, q: np.ndarray, names: int) -> tuple[np.ndarray, np.nda
     return (each, none) if (each[of] == q).all() else (none, q)
 
 
-def smoothed(c: np.ndarray, q: np.ndarray, total: np.ndarray, kinds: np.ndarray, retained: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """What contexts say of symbols that follow them c times, by their training counts, how many kinds of symbols follow them, and what their parents say (q)."""
+def smoothed(c: np.ndarray, q: np.ndarray, total: np.ndarray, kinds: np.ndarray, retained: np.ndarray, discount: float = DISCOUNT, alone: float = HOT) -> np.ndarray:
+    """What contexts say of symbols that follow them c times, by their training counts, how many kinds of symbols follow them, and what their parents say (q).
+
+    From alone tokens on the kinds aren't needed: HOT_PRIOR counts go to the parent. The tree knows them always and has no such bound."""
     hot = (c + HOT_PRIOR * q) / (total + HOT_PRIOR)
     rest = (np.maximum(c - discount, 0) + discount * kinds * q) / np.maximum(total, 1)
-    return np.where(retained, np.where(total >= HOT, hot, rest), q)
+    return np.where(retained, np.where(total >= alone, hot, rest), q)
 
 
-def contexts_tested(total: np.ndarray, own: np.ndarray, c: np.ndarray, q: np.ndarray, gain: float, discount: float = DISCOUNT) -> tuple[np.ndarray, np.ndarray]:
-    """For each context (kinds of symbols that follow, retained). own: the context of each pair of a context and what follows (c times), q: what the parent says."""
-    kinds = np.bincount(own, c > 0, len(total)).astype(np.int64)
+def gained_bits(total: np.ndarray, own: np.ndarray, c: np.ndarray, q: np.ndarray, kinds: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """What contexts gain over their parents, in bits, by the pairs that are given; kinds: of the whole contexts."""
     # each occurrence by all others: its own count and, if it is the only one, its kind are taken away
     others = (np.maximum(c - 1 - discount, 0) + discount * (kinds[own] - (c == 1)) * q) / np.maximum(total[own] - 1, 1)
-    bits = np.bincount(own, np.where(c > 0, c * np.log2(np.maximum(others / q, 1e-3)), 0.0), len(total))
-    return kinds, (total >= HOT) | (bits >= gain * np.maximum(total, 1))
+    return np.bincount(own, np.where(c > 0, c * np.log2(np.maximum(others / q, 1e-3)), 0.0), len(total))
+
+
+def contexts_tested(total: np.ndarray, own: np.ndarray, c: np.ndarray, q: np.ndarray, gain: float, discount: float = DISCOUNT, alone: float = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """For each context (kinds of symbols that follow, retained). own: the context of each pair of a context and what follows (c times), q: what the parent says. From alone tokens on contexts are retained untested; the tree has no such bound."""
+    kinds = np.bincount(own, c > 0, len(total)).astype(np.int64)
+    return kinds, (total >= alone) | (gained_bits(total, own, c, q, kinds, discount) >= gain * np.maximum(total, 1))
 
 
-def _pair_counts(gain: float) -> Callable:
-    """Answer with each pair's training count, and for each run its context's kinds and whether it is retained."""
+def _pair_counts(gain: float, hot: int) -> Callable:
+    """Answer with each pair's training count, and for each run its context's kinds and whether it is retained. Pieces of hot contexts go without a block: the context's hash, the piece's kinds, the context's count, and the piece's counts with what the parent says."""
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _grouped(it, 0):
@@ -340,26 +349,50 @@ def _pair_counts(gain: float) -> Callable:
                 of = low + high.astype(np.int64) * 65536
                 parts.append((hashes, total, run, symbols[of], n, each[of] if len(each) else q))
             hashes, total, run, follows, n, q = (np.concatenate([p[i] for p in parts]) for i in range(6))
-            _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+            names, first, of = np.unique(hashes, return_index=True, return_inverse=True)
             pairs, where, at = np.unique(np.repeat(of, run).astype(np.uint64) << np.uint64(32) | follows.astype(np.uint64), return_index=True, return_inverse=True)
-            c = np.bincount(at, n, len(pairs)).astype(np.int64)
-            kinds, retained = contexts_tested(total[first], (pairs >> np.uint64(32)).astype(np.int64), c, 10.0 ** q[where].astype(np.float64), gain)
+            c, own, total = np.bincount(at, n, len(pairs)).astype(np.int64), (pairs >> np.uint64(32)).astype(np.int64), total[first]
+            kinds, retained = contexts_tested(total, own, c, 10.0 ** q[where].astype(np.float64), gain, alone=np.inf)
+            for i in np.flatnonzero(total >= hot).tolist():
+                x, y = np.searchsorted(own, (i, i + 1))
+                piece = [bucket], [None], [_pack(c[x:y].astype("<i8"), q[where[x:y]])], [int(names[i].view(np.int64))], [int(kinds[i])], [int(total[i])]
+                yield pa.record_batch([pa.array(v, pa.binary() if k == 2 else pa.int64()) for k, v in enumerate(piece)], names=["bucket", "block", "data", "symbol", "n", "v"])
             c, kinds, retained = np.minimum(c, 0xFFFFFFFF).astype("<u4")[at], kinds.astype("<u4")[of], retained.astype("u1")[of]
             ends, runs = (np.cumsum([0, *(len(x[i]) for x in parts)]) for i in (3, 0))
             for i, r in enumerate(rows):
-                own = slice(runs[i], runs[i + 1])
-                yield _answers([bucket], [r[1]], [_pack(c[ends[i] : ends[i + 1]], kinds[own], retained[own])])
+                mine = slice(runs[i], runs[i + 1])
+                yield _answers([bucket], [r[1]], [_pack(c[ends[i] : ends[i + 1]], kinds[mine], retained[mine])])
 
     return answer
 
 
+def _hot_contexts(told: DataFrame, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hot contexts of a level's answers: (hashes, ascending; kinds; retained). At most a row for each piece comes to the driver."""
+
+    def judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            bits = []
+            for data, v, kinds in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                c, q = _unpack(data, "<i8", "<f4")
+                bits.append(float(gained_bits(np.array([v]), np.zeros(len(c), np.int64), c, 10.0 ** q.astype(np.float64), np.array([kinds]))[0]))
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(bits, pa.float64())], names=["symbol", "bucket", "v", "kinds", "bits"])
+
+    pieces = told.where("block is null")
+    kinds = pieces.groupBy("symbol").agg(F.sum("n").alias("kinds"))
+    met = pieces.join(kinds, "symbol").select("symbol", "bucket", "data", "v", "kinds")
+    rows = sorted(met.mapInArrow(lean(judged), "symbol long, bucket long, v long, kinds long, bits double").collect())
+    names, first, of = np.unique(np.array([r.symbol for r in rows], np.int64).view(np.uint64), return_index=True, return_inverse=True)
+    total, kinds = (np.array([r[i] for r in rows], np.int64)[first] for i in (2, 3))
+    return names, kinds, np.bincount(of, [r.bits for r in rows], len(names)) >= gain * total
+
+
 def _add(sums: np.ndarray, size: np.ndarray, pos: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """sums with the logarithms at pos added for each text."""
     doc = np.repeat(np.arange(len(size)), size)[pos]
     return sums + np.bincount(doc, logs, len(sums))
 
 
-def _first(blocks: str, folder: str, sums: tuple, model: tuple[int, int, int, int, int], buckets: int) -> Callable:
+def _first(blocks: str, folder: str, sums: tuple, model: tuple[int, int, int, int, int], buckets: int, hot: int) -> Callable:
     """From the words' counts to symbols; the first level's questions."""
     frequent, contexts, total, distinct, symbols = model
     of_n, of_v = sums
@@ -383,7 +416,7 @@ def _first(blocks: str, folder: str, sums: tuple, model: tuple[int, int, int, in
             rest[pos] = False
             score = _add(np.add.reduceat(within[w], begin), size, np.flatnonzero(rest), root[w[rest]])
             _save(folder, block, {"score": score, "known": np.add.reduceat((c > 0)[w].astype(np.int64), begin), "base": np.add.reduceat(base[w], begin), "symbol": symbol.astype(np.uint32), "often": n.astype("<i8"), "root": root})
-            yield from _ask(block, s, x, pos, _pairs(x, 1, pos, x[pos - 1], total_at, root[w[pos]], buckets))
+            yield from _ask(block, s, x, pos, _pairs(x, 1, pos, x[pos - 1], total_at, root[w[pos]], buckets, hot))
 
     return run
 
@@ -398,47 +431,52 @@ def _starts(s: dict[str, np.ndarray], symbol: np.ndarray, n: np.ndarray, context
     return pos, symbol[w].astype(np.uint32), n[before[pos]]
 
 
-def _answered(rows: list[tuple], blocks: str, base: str, folder: str, block: int, level: int, contexts: int, buckets: int) -> tuple:
+def _answered(rows: list[tuple], blocks: str, base: str, folder: str, block: int, level: int, contexts: int, buckets: int, hot: int, judged: tuple | None) -> tuple:
     """Where a block's search stands, with the answers of a level: (texts, the first level's file, score, symbols, places, pairs at them, log10 of each pair's probability, each pair's count)."""
     texts, one = _load(blocks, block), _load(base, block)
     if level == 1:  # the pairs follow from the words once more, and needn't be kept
         pos, x, total = _starts(texts, one["symbol"], one["often"], contexts)
-        pairs, score = _pairs(x, 1, pos, x[pos - 1], total, one["root"][texts["word"][pos]], buckets)[0], one["score"]
+        pairs, score = _pairs(x, 1, pos, x[pos - 1], total, one["root"][texts["word"][pos]], buckets, hot)[0], one["score"]
     else:
         s = _load(folder, block)
         pos, score, x = np.cumsum(s["pos"], dtype=np.int64), s["score"], one["symbol"][texts["word"]]
-        pairs = Pairs(s["at"], s["new"], s["q"], s["total"])
+        pairs = Pairs(s["at"], s["new"], s["q"], s["total"], s["hot"])
     parts = [_unpack(r[2], "<u4", "<u4", "u1") for r in rows]
     c, kinds, retained = (np.concatenate([a[i] for a in parts]) for i in range(3))
+    if len(pairs.hot):
+        names, whole, kept = judged
+        at, own = np.searchsorted(names, pairs.hot), pairs.total >= hot
+        kinds, retained = kinds.astype(np.int64), retained.copy()
+        kinds[own], retained[own] = whole[at], kept[at]
     run, q = pairs.run, 10.0 ** pairs.q.astype(np.float64)
-    p = np.log10(smoothed(c.astype(np.float64), q, pairs.total[run], kinds[run], retained[run] > 0))
+    p = np.log10(smoothed(c.astype(np.float64), q, pairs.total[run], kinds[run], retained[run] > 0, alone=np.inf))
     return texts, one, score, x, pos, pairs.at, p, c
 
 
-def _next(blocks: str, base: str, old: str, new: str, level: int, contexts: int, buckets: int) -> Callable:
+def _next(blocks: str, base: str, old: str, new: str, level: int, contexts: int, buckets: int, hot: int, judged: tuple | None) -> Callable:
     """Answers of a level to the questions of the next."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(it, 1):
-            texts, _, score, x, pos, at, p, c = _answered(rows, blocks, base, old, block, level, contexts, buckets)
+            texts, _, score, x, pos, at, p, c = _answered(rows, blocks, base, old, block, level, contexts, buckets, hot, judged)
             # a pair that is often enough is the next place's context; that place is asked about already, by the shorter one
             grown = np.flatnonzero((c >= contexts)[at] & (x[pos] != END))
             stop = np.ones(len(pos), bool)
             stop[grown + 1] = False
             score = _add(score, texts["size"], pos[stop], p[at[stop]])
             there = pos[grown + 1]
-            asked = _pairs(x, level + 1, there, at[grown], c[at[grown]], p[at[grown + 1]], buckets)
+            asked = _pairs(x, level + 1, there, at[grown], c[at[grown]], p[at[grown + 1]], buckets, hot)
             pairs = asked[0]
-            _save(new, block, {"score": score, "pos": np.diff(there, prepend=0).astype(np.uint32), "at": pairs.at, "new": pairs.new, "q": pairs.q, "total": pairs.total})
+            _save(new, block, {"score": score, "pos": np.diff(there, prepend=0).astype(np.uint32), "at": pairs.at, "new": pairs.new, "q": pairs.q, "total": pairs.total, "hot": pairs.hot})
             yield from _ask(block, texts, x, there, asked)
 
     return run
 
 
-def _last(blocks: str, base: str, old: str, level: int, contexts: int, buckets: int, total: int) -> Callable:
+def _last(blocks: str, base: str, old: str, level: int, contexts: int, buckets: int, total: int, hot: int, judged: tuple | None) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(it, 1):
-            texts, one, score, _, pos, at, p, _ = _answered(rows, blocks, base, old, block, level, contexts, buckets)
+            texts, one, score, _, pos, at, p, _ = _answered(rows, blocks, base, old, block, level, contexts, buckets, hot, judged)
             score = _add(score, texts["size"], pos, p[at])
             columns = [pa.array(texts["doc"], mask=texts["null"]), pa.array(texts["held"]), pa.array(texts["size"]), pa.array(one["known"]), pa.array(np.full(len(score), total)), pa.array(one["base"]), pa.array(score)]
             yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -446,8 +484,8 @@ def _last(blocks: str, base: str, old: str, level: int, contexts: int, buckets:
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, contexts: int = CONTEXTS, gain: float = GAIN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words by themselves) and score (the tree)."""
+def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, contexts: int = CONTEXTS, gain: float = GAIN, hot: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words by themselves) and score (the tree). hot: contexts of so many tokens are dealt to several buckets; the results don't depend on it."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
@@ -457,25 +495,26 @@ def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, context
 
     blocks, base = (_made(shared_dir(spark, x)) for x in ("blocks", "level-1"))
     told = stored(to_buckets(_blocks(docs, blocks, buckets)).mapInArrow(lean(_word_counts(frequent)), ANSWER), "word-answers")
-    total, distinct, symbols = 0, 0, END + 1
+    total, distinct, symbols, most = 0, 0, END + 1, 0
     of_n, of_v = np.zeros(END + 1, np.int64), np.zeros(END + 1, np.int64)
     # a row for each shape, and one for all frequent words
-    for r in told.where("block is null").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.count("*").alias("k")).collect():
-        total, distinct = total + r.n, distinct + r.v
+    for r in told.where("block is null").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.count("*").alias("k"), F.max("n").alias("most")).collect():
+        total, distinct, most = total + r.n, distinct + r.v, max(most, r.n if r.symbol <= END else r.most)
         if r.symbol <= END:
             of_n[r.symbol], of_v[r.symbol] = r.n, r.v
         else:
             symbols += r.k
     model = (frequent, contexts, total, distinct, symbols)
-    step, old, new = _first(blocks, base, (of_n, of_v), model, buckets), None, base
+    step, old, new = _first(blocks, base, (of_n, of_v), model, buckets, hot), None, base
     for level in range(1, depth + 1):
         # what blocks ask isn't stored: it is larger than the answers
-        more = stored(to_buckets(to_blocks(told).mapInArrow(lean(step), MESSAGE)).mapInArrow(lean(_pair_counts(gain)), ANSWER), "answers")
+        more = stored(to_buckets(to_blocks(told).mapInArrow(lean(step), MESSAGE)).mapInArrow(lean(_pair_counts(gain, hot)), ANSWER), "answers")
         forget(told)
         if old not in (None, base):
             _gone(old)
         told, old = more, new
+        judged = _hot_contexts(told, gain) if most >= hot else None  # a context's last symbol occurs as often at least
         if level < depth:
             new = _made(shared_dir(spark, f"level-{level + 1}"))
-            step = _next(blocks, base, old, new, level, contexts, buckets)
-    return to_blocks(told).mapInArrow(lean(_last(blocks, base, old, depth, contexts, buckets, total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            step = _next(blocks, base, old, new, level, contexts, buckets, hot, judged)
+    return to_blocks(told).mapInArrow(lean(_last(blocks, base, old, depth, contexts, buckets, total, hot, judged)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
