@@ -176,3 +176,62 @@ def test_searches_in_step_find_what_one_by_one_does(size):
         part.run(s, tables[i], p)
         found, d = s.best(5)
         assert many[i][0].tolist() == found.tolist() and np.allclose(many[i][1], d) and (many[i][2], many[i][3]) == (s.hops, s.ios)
+
+
+def _nodes(n, degree, homes, seed):
+    """A random graph as an index has it: (codebook, parts by home, all as one)."""
+    from vecspark.operators.pq import Codebook
+    from vecspark.operators.search import Part
+
+    rng = np.random.default_rng(seed)
+    ids, x = np.sort(rng.choice(10 * n, n, False)), np.round(rng.normal(size=(n, 4)))
+    codes = rng.integers(0, 3, (n, 2)).astype(np.int16)  # few codes: many equal distances
+    links = [rng.choice(n, rng.integers(1, degree + 1), False) for _ in range(n)]
+    home = rng.integers(0, homes, n)
+
+    def part(own, h):
+        sizes = [len(links[i]) for i in own]
+        flat = np.concatenate([links[i] for i in own])
+        return Part(h, ids[own], x[own], codes[own], np.concatenate([[0], np.cumsum(sizes)]), ids[flat], codes[flat], home[flat].astype(np.int32))
+
+    return rng.random((2, 3)), {h: part(np.flatnonzero(home == h), h) for h in range(homes)}, part(np.arange(n), None), x, home
+
+
+def test_pools_of_all_nodes_expand_what_sorted_pools_do():
+    from vecspark.operators import search
+    from vecspark.operators.pq import adc
+
+    for seed in range(6):
+        table, parts, one, x, home = _nodes(400, 3, 3, seed)
+        p, seeds = search.SearchParams(7, 400, 5), np.array([3, 90, 90, 211])
+        for links, homes in ((one.links(), None), (one.links(), home)):
+            start = None if homes is None else int(home[90])
+            seen, hops, cmps, history = search.expanded_all(search.code_distances(table, one.codes), links, seeds, p.beam, homes, start)
+            best, d = search.best_of(x[0], [(slice(None), one.x)], seen, p.k)
+            if homes is None:
+                (ids, dist, *cost), = one.run_many(x[:1], table[None], seeds[None], p)
+                want = ids.tolist(), dist.tolist(), cost
+            else:
+                s = search.State.start(x[0], one.ids[seeds], adc(table, one.codes[seeds]), home[seeds], p.size)
+                while start is not None:
+                    start = parts[start].run(s, table, p)
+                want = s.best(p.k)[0].tolist(), s.best(p.k)[1].tolist(), [s.hops, s.ios, s.cmps]
+                assert history == s.history and len(history) > 2
+            assert (one.ids[best].tolist(), d.tolist(), [hops, int(seen.sum()), cmps]) == want
+        assert (search.reached(one.links(), 3) == search.expanded_all(np.zeros(400), one.links(), seeds[:1], 5)[0]).all()
+
+
+def test_pools_of_all_nodes_take_time_in_proportion():
+    import time
+
+    from vecspark.operators import search
+
+    class Book:
+        def table(self, q):
+            return np.random.default_rng(1).random((len(q), 2, 3))
+
+    _, _, one, x, _ = _nodes(40_000, 12, 1, 9)
+    began = time.time()
+    rows = search._many(one, list(range(16)), x[:16], Book(), np.zeros((16, 1), int), search.SearchParams(10, 40_000, 16), [])
+    rows += search._exactly(one, list(range(16)), x[:16], np.zeros((16, 1), int), search.SearchParams(10, 40_000, 16))
+    assert len(rows) == 320 and time.time() - began < 30

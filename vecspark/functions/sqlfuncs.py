@@ -29,7 +29,7 @@ def register_search(spark: SparkSession, name: str, index) -> None:
 
     from vecspark.functions.distance import Metric
     from vecspark.operators.pq import adc
-    from vecspark.operators.search import SearchParams, State, opened
+    from vecspark.operators.search import SearchParams, State, everything, opened
 
     if index.metric is not Metric.L2:
         raise ValueError("the table function takes queries as they are: an l2 index")
@@ -46,9 +46,13 @@ def register_search(spark: SparkSession, name: str, index) -> None:
             at = seeds.of(q[None, :], p.seeds)[0]
             s = State.start(q, seeds.ids[at], adc(lut, seeds.codes[at]), seeds.homes[at], size)
             home = int(s.homes[0])
-            while home is not None:
-                home = opened(files, home).run(s, lut, p)
-            for rank, (i, d) in enumerate(zip(*s.best(k)), 1):
+            if whole := everything(files, size):
+                found = whole.search(q, lut, s.ids, home, p)[:2]
+            else:
+                while home is not None:
+                    home = opened(files, home).run(s, lut, p)
+                found = s.best(k)
+            for rank, (i, d) in enumerate(zip(*found), 1):
                 yield rank, int(i), float(d)
 
     spark.udtf.register(name, VectorSearch)

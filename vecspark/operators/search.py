@@ -2,7 +2,9 @@
 
 Candidates are ranked by code distances (vecspark.operators.pq), answers by exact ones. Order is by (distance, id)
 everywhere. A search holds a pool of the ``size`` best candidates; each step expands the ``beam`` best that aren't yet,
-and it ends when all of the pool are. With size at least the number of nodes everything reachable is expanded.
+and it ends when all of the pool are. With size at least the number of nodes everything reachable is expanded. Such a pool
+drops nothing, so it is kept as marks in the order of all code distances instead of being sorted at every step
+(expanded_all): the same nodes are expanded in the same steps.
 
 The node table carries, next to each node's links, the codes and homes of the nodes they lead to, so a partition can
 rank foreign candidates without a copy of all codes. For searches that move between partitions it is laid out once as
@@ -39,6 +41,8 @@ class SearchParams:
     size: int = 64
     beam: int = 4
     seeds: int = 10
+    #: Where ids are stored that answers leave out; for pools that have room for all nodes.
+    gone: str | None = None
 
 
 def node_table(vectors: DataFrame, graph: DataFrame, codes: DataFrame, homes: DataFrame) -> DataFrame:
@@ -138,6 +142,95 @@ class Seeds:
         return np.where(best >= 0, best, best[:, :1])  # a head that is hardly connected may show fewer
 
 
+def code_distances(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """adc in steps that stay in the cache."""
+    return np.concatenate([adc(table, codes[at : at + 4096]) for at in range(0, len(codes), 4096)]) if len(codes) else np.zeros(0)
+
+
+def expanded_all(dist: np.ndarray, links: np.ndarray, seeds: np.ndarray, beam: int, homes: np.ndarray | None = None, home: int | None = None) -> tuple[np.ndarray, int, int, list[int]]:
+    """A search whose pool has room for all nodes, from seeds (places; they ascend by id): (whether each node is expanded, hops, comparisons, homes one after the other). dist: code distances; links: places, -1 where there are fewer. With homes a step expands those of the beam that are at home, and the search moves on to the first's home if none is."""
+    n, seeds = len(dist), np.unique(seeds)
+    order = np.argsort(dist, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    seen, ahead_of = np.zeros(n + 1, bool), np.zeros(n, bool)  # seen: the last is for links that aren't there; ahead_of: by rank
+    seen[-1], seen[seeds], ahead_of[rank[seeds]] = True, True, True
+    low, hops, wide, history = int(rank[seeds].min()), 0, 4 * beam, [] if home is None else [home]
+    while True:
+        at = np.flatnonzero(ahead_of[low : low + wide])[:beam]
+        while len(at) < beam and low + wide < n:
+            wide *= 2
+            at = np.flatnonzero(ahead_of[low : low + wide])[:beam]
+        if not len(at):
+            return seen[:-1], hops, int(seen[:-1].sum()) - len(seeds), history
+        if len(at) == beam and at[-1] * 4 < wide:
+            wide = max(4 * beam, wide // 2)
+        at += low
+        low, node = int(at[0]), order[at]
+        if homes is not None:
+            here = homes[node] == home
+            if not here.any():
+                home = int(homes[node[0]])
+                history.append(home)
+                continue
+            at, node = at[here], node[here]
+        hops += 1
+        ahead_of[at] = False
+        far = links[node].ravel()
+        far = far[~seen[far]]
+        if len(far):
+            seen[far] = True
+            far = rank[far]
+            ahead_of[far] = True
+            low = min(low, int(far.min()))
+
+
+def best_of(q: np.ndarray, rows: list[tuple[np.ndarray | slice, np.ndarray]], held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, exact distances) of the k nearest of the held places. rows: places and their vectors, in parts."""
+    d = np.empty(len(held))
+    for places, x in rows:
+        d[places] = np.concatenate([to_rows("l2", q, x[at : at + 4096]) for at in range(0, len(x), 4096)]) if len(x) else 0
+    some = np.flatnonzero(held)
+    if len(some) > k:
+        last = np.partition(d[some], k - 1)[k - 1]
+        some = some[d[some] <= last]
+    some = some[np.lexsort((some, d[some]))[:k]]
+    return some, d[some]
+
+
+def reached(links: np.ndarray, seed: int) -> np.ndarray:
+    """Whether links lead to each node from seed."""
+    seen, front = np.zeros(len(links) + 1, bool), np.array([seed])
+    seen[-1], seen[seed] = True, True
+    while len(front):
+        far = links[front].ravel()
+        front = np.unique(far[~seen[far]])
+        seen[front] = True
+    return seen[:-1]
+
+
+#: Ids that answers leave out, by the table that they are read from.
+_GONE: dict[str, np.ndarray] = {}
+
+
+def gone_ids(stored_at: str | None) -> np.ndarray:
+    """The ids (column id) of a stored table, ascending. A search that holds all nodes has room for them."""
+    import pyarrow.parquet as pq
+
+    if stored_at is None:
+        return np.zeros(0, np.int64)
+    if stored_at not in _GONE:
+        _GONE.clear()
+        place, plain = fs.FileSystem.from_uri(stored_at)
+        _GONE[stored_at] = np.sort(pq.read_table(plain, columns=["id"], filesystem=place)["id"].to_numpy())
+    return _GONE[stored_at]
+
+
+def _left(ids: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Whether each of ids isn't gone."""
+    return gone[np.minimum(np.searchsorted(gone, ids), len(gone) - 1)] != ids if len(gone) else np.ones(len(ids), bool)
+
+
 class Part:
     """The nodes that a worker has, ascending by id: a partition, or all."""
 
@@ -252,6 +345,14 @@ STEP_QUERIES, STEP_BYTES = 256, 256 << 20
 
 def _many(part: Part, qids: list, q: np.ndarray, book: Codebook, seeds: np.ndarray, p: SearchParams, history: list[int]) -> list[tuple]:
     step, rows = max(1, min(STEP_QUERIES, STEP_BYTES // max(1, len(part.ids)))), []
+    if p.size >= len(part.ids):
+        left = _left(part.ids, gone_ids(p.gone))
+        for i, qid in enumerate(qids):
+            table = book.table(q[i : i + 1])[0]
+            seen, hops, cmps, _ = expanded_all(code_distances(table, part.codes), part.links(), seeds[i], p.beam)
+            best, d = best_of(q[i], [(slice(None), part.x)], seen & left, p.k)
+            rows += [(qid, int(j), float(x), hops, int(seen.sum()), cmps, 0, history) for j, x in zip(part.ids[best], d)]
+        return rows
     for at in range(0, len(qids), step):
         some = q[at : at + step]
         for qid, (ids, d, hops, ios, cmps) in zip(qids[at : at + step], part.run_many(some, book.table(some), seeds[at : at + step], p)):
@@ -262,6 +363,16 @@ def _many(part: Part, qids: list, q: np.ndarray, book: Codebook, seeds: np.ndarr
 def _exactly(part: Part, qids: list, q: np.ndarray, seeds: np.ndarray, p: SearchParams) -> list[tuple]:
     """The same with exact distances throughout; every node that is seen is a comparison."""
     step, rows = max(1, min(STEP_QUERIES, STEP_BYTES // max(1, len(part.ids)))), []
+    if p.size >= len(part.ids):
+        left, links = _left(part.ids, gone_ids(p.gone)), part.links()
+        for at in range(0, len(qids), step):
+            seen = reached(links, int(seeds[at, 0]))
+            some, n, top = np.flatnonzero(seen & left), int(seen.sum()), knn.Nearest(q[at : at + step], p.k)
+            for x in range(0, len(some), knn.STEP_ROWS):
+                top.add(part.ids[some[x : x + knn.STEP_ROWS]], part.x[some[x : x + knn.STEP_ROWS]])
+            for qid, ids, d in zip(qids[at : at + step], top.ids, top.dist):
+                rows += [(qid, int(i), float(x), n, n, n, 0, []) for i, x in zip(ids, d) if np.isfinite(x)]
+        return rows
     for at in range(0, len(qids), step):
         found, d = greedy_many(part.x, part.links(), q[at : at + step], int(seeds[at, 0]), p.size)
         order = np.lexsort((part.ids[np.maximum(found, 0)], d), axis=1)[:, : p.k]
@@ -343,7 +454,7 @@ def scatter(queries: DataFrame, files: Files, entries: DataFrame, book: Codebook
                 own = np.flatnonzero(homes == home)
                 part, q, some = opened(files, home), x[own], qids[own].tolist()
                 start = part.rows(np.array([first[home]]))
-                if len(part.ids) <= STEP_NODES:
+                if len(part.ids) <= max(STEP_NODES, p.size):
                     rows = _many(part, some, q, book, np.broadcast_to(start, (len(q), 1)), p, [home])
                 else:
                     rows = []
@@ -381,6 +492,11 @@ class Files:
     of: dict[int, tuple[int, int, int]]
 
 
+def mapped(files: Files) -> bool:
+    """Whether every worker can map the files."""
+    return isinstance(fs.FileSystem.from_uri(files.folder)[0], fs.LocalFileSystem)
+
+
 def laid_out(nodes: DataFrame) -> Files:
     """Write the files, each partition by one task that streams through its rows. Finished files are renamed, so a repeated attempt replaces them by the same."""
     folder = shared_dir(nodes.sparkSession, "partitions")
@@ -449,6 +565,54 @@ def opened(files: Files, home: int) -> Part:
     return part
 
 
+class Everything:
+    """All partitions' mapped files as one graph, for searches whose pools have room for all nodes: codes and links by place, the vectors where they are."""
+
+    def __init__(self, files: Files):
+        parts = [opened(files, home) for home in sorted(files.of)]
+        ids = np.concatenate([x.ids for x in parts])
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        ends = np.cumsum([0, *(len(x.ids) for x in parts)])
+        self.ids, self.homes = ids[order], np.concatenate([np.full(len(x.ids), x.home, np.int64) for x in parts])[order]
+        self.codes = np.concatenate([x.codes for x in parts])[order]
+        self.rows = [(place[a:b], x.x) for a, b, x in zip(ends, ends[1:], parts)]
+        degree = np.concatenate([np.diff(x.offsets) for x in parts])
+        self.links = np.full((len(ids), max(1, int(degree.max(initial=0)))), -1, np.int32)
+        for (own, _), x in zip(self.rows, parts):
+            size = np.diff(x.offsets)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(self.ids, x.nbrs), len(ids) - 1)
+            self.links[own[row], np.arange(len(row)) - x.offsets[:-1][row]] = np.where(self.ids[at] == x.nbrs, at, -1)
+        self._left: tuple[str | None, np.ndarray] = None, np.ones(len(ids), bool)
+
+    def left(self, gone: str | None) -> np.ndarray:
+        if self._left[0] != gone:
+            self._left = gone, _left(self.ids, gone_ids(gone))
+        return self._left[1]
+
+    def search(self, q: np.ndarray, table: np.ndarray, seeds: np.ndarray, home: int, p: SearchParams) -> tuple[np.ndarray, np.ndarray, int, int, int, list[int]]:
+        """From seeds (ids): (ids, distances, hops, I/Os, comparisons, history), as a state finds them that moves from home to home."""
+        seen, hops, cmps, history = expanded_all(code_distances(table, self.codes), self.links, np.searchsorted(self.ids, seeds), p.beam, self.homes, home)
+        best, d = best_of(q, self.rows, seen & self.left(p.gone), p.k)
+        return self.ids[best], d, hops, int(seen.sum()), cmps, history
+
+
+#: The last one that a worker has made.
+_EVERYTHING: dict[str, Everything] = {}
+
+
+def everything(files: Files, size: int) -> Everything | None:
+    """All partitions as one graph if a pool of that size has room for all nodes and the files can be mapped."""
+    if size < sum(n for n, _, _ in files.of.values()) or not mapped(files):
+        return None
+    if files.folder not in _EVERYTHING:
+        _EVERYTHING.clear()
+        _EVERYTHING[files.folder] = Everything(files)
+    return _EVERYTHING[files.folder]
+
+
 _STATE = "qid long, home int, live boolean, part int, data binary"
 _LAYOUT = (("q", np.float64), ("ids", np.int64), ("dist", np.float64), ("done", np.uint8), ("homes", np.int32), ("exact_id", np.int64), ("exact_d", np.float64), ("history", np.int32))
 
@@ -495,7 +659,7 @@ def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seed
     homes = sorted(files.of)
 
     if moves is None:
-        moves = not isinstance(fs.FileSystem.from_uri(files.folder)[0], fs.LocalFileSystem)
+        moves = not mapped(files)
 
     def started(qids: list, q: np.ndarray) -> Iterator[tuple[int, int, State, np.ndarray]]:
         book, seeds = sent.value
@@ -504,8 +668,18 @@ def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seed
             yield qid, homes[qid % len(homes)] if round_robin else int(s.homes[0]), s, table
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = everything(files, p.size)
         for b in batches:
             qids, q = b.column(0).to_pylist(), matrix(b.column(1))
+            if whole:
+                for at in range(0, len(qids), STEP_QUERIES):
+                    rows = []
+                    for qid, home, s, table in started(qids[at : at + STEP_QUERIES], q[at : at + STEP_QUERIES]):
+                        ids, d, *cost, history = whole.search(s.q, table, s.ids, home, p)
+                        rows += [(qid, int(i), float(x), *cost, len(history) - 1, history) for i, x in zip(ids, d)]
+                    if rows:
+                        yield _answer(rows, _NAMES)
+                continue
             for at in range(0, len(qids), STEP_QUERIES):
                 live, rows = list(started(qids[at : at + STEP_QUERIES], q[at : at + STEP_QUERIES])), []
                 while live:
