@@ -80,3 +80,22 @@ def test_nulls_and_empty(spark):
     got = sorted(map(tuple, jaccard.near_duplicates(d).collect()), key=str)
     assert got == sorted([(None, 3), (None, 3), (3, 3), (3, 3), (None, None)], key=str)
     assert jaccard.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_is_joined_without_its_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for at in range(5, 55, 5):  # ten groups that share most shingles; texts link within a group
+        for i in range(30):
+            rows.append((len(rows), " ".join([*base[:at], f"x{rng.random()}", *base[at + 1 :]])))
+    tested, verified = [], jaccard._verified
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))
+    assert sum(tested) < 4 * len(rows)
