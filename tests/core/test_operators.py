@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import prep, sqlfuncs
-from vecspark.operators import cluster, graph, knn, metrics, pq
+from vecspark.operators import cluster, graph, knn, metrics, pq, search
 from vecspark.operators.graph import BuildParams
 from vecspark.plans.index import Index
 from vecspark.streaming import queries as S
@@ -401,3 +401,19 @@ def test_merged_index_reaches_every_node(spark):
     ix = Index.build(d, d.select("id", F.lit(0).alias("partition_id")), "l2", 3, BuildParams(6, 12, 24), shards=6, head_share=0)
     assert graph.bfs_levels(ix.nodes.select("id", "nbrs"), spark.createDataFrame([(ix.entry,)], "id long")).count() == 600
     assert ix.nodes.agg(F.max(F.size("nbrs"))).first()[0] <= 7
+
+
+def test_coordinators_of_all_nodes_take_no_job_a_round(spark, points, built):
+    """A pool with room for all nodes: the same answers and costs as by joins, in a number of jobs that rounds don't raise."""
+    q, jobs = vec(points.where("id % 60 = 7")), spark.sparkContext.statusTracker()
+    by_joins = search.coordinator(built.prepare(q), built.nodes, built.book, built.seeds(), search.SearchParams(4, 240, 40))
+    spark.sparkContext.setJobGroup("coordinator", "all nodes")
+    got = built.search(q, 4, 240, 40, "coordinator").collect()
+    rows = lambda rs: sorted((r.qid, r.id, round(r.dist, 9), *r[3:]) for r in rs)
+    assert rows(got) == rows(by_joins.collect()) and all(r.hops >= 6 and r.ios == 240 for r in got)
+    built.search(q, 4, 240, 4, "coordinator").collect()  # ten times the rounds
+    assert len(jobs.getJobIdsForGroup("coordinator")) < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    gone = points.where("id % 5 = 0").select("id")
+    want = sorted((r.qid, r.id) for r in built.delete(gone).search(q, 4, 240, 8, "single").collect())
+    assert sorted((r.qid, r.id) for r in built.delete(gone).search(q, 4, 240, 8, "coordinator").collect()) == want

@@ -579,7 +579,7 @@ class Everything:
         self.codes = np.concatenate([x.codes for x in parts])[order]
         self.rows = [(place[a:b], x.x) for a, b, x in zip(ends, ends[1:], parts)]
         degree = np.concatenate([np.diff(x.offsets) for x in parts])
-        self.links = np.full((len(ids), max(1, int(degree.max(initial=0)))), -1, np.int32)
+        self.links, self.degree = np.full((len(ids), max(1, int(degree.max(initial=0)))), -1, np.int32), degree[order]
         for (own, _), x in zip(self.rows, parts):
             size = np.diff(x.offsets)
             row = np.repeat(np.arange(len(size)), size)
@@ -598,14 +598,25 @@ class Everything:
         best, d = best_of(q, self.rows, seen & self.left(p.gone), p.k)
         return self.ids[best], d, hops, int(seen.sum()), cmps, history
 
+    def rounds(self, q: np.ndarray, table: np.ndarray, seeds: np.ndarray, p: SearchParams) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+        """From seeds (ids): (ids, distances, rounds, I/Os, comparisons) of a coordinator, who takes the beam wherever it lies and has all links of it scored."""
+        seen, hops, _, _ = expanded_all(code_distances(table, self.codes), self.links, np.searchsorted(self.ids, seeds), p.beam)
+        best, d = best_of(q, self.rows, seen & self.left(p.gone), p.k)
+        return self.ids[best], d, hops, int(seen.sum()), int(self.degree[seen].sum())
+
 
 #: The last one that a worker has made.
 _EVERYTHING: dict[str, Everything] = {}
 
 
+def holds_all(files: Files, size: int) -> bool:
+    """Whether a pool of that size has room for all nodes and the files can be mapped."""
+    return size >= sum(n for n, _, _ in files.of.values()) and mapped(files)
+
+
 def everything(files: Files, size: int) -> Everything | None:
-    """All partitions as one graph if a pool of that size has room for all nodes and the files can be mapped."""
-    if size < sum(n for n, _, _ in files.of.values()) or not mapped(files):
+    """All partitions as one graph if the pool holds_all."""
+    if not holds_all(files, size):
         return None
     if files.folder not in _EVERYTHING:
         _EVERYTHING.clear()
@@ -754,12 +765,33 @@ def state_send(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seed
     return knn.merge(found.where("id is not null").select("qid", "id", "dist"), p.k).join(cost, "qid").select(*_NAMES)
 
 
-def coordinator(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams) -> DataFrame:
+def coordinator(queries: DataFrame, nodes: DataFrame, book: Codebook, seeds: Seeds, p: SearchParams, files: Files | None = None) -> DataFrame:
     """The pool is a table; each round joins its frontier to the nodes and scores their links: relational operators alone.
 
     Only candidates below the query's cut-off (the last of a full pool) come back from the join. Pools are stored after
-    each round. Every round is a job, so this is for comparison and for few rounds, not for speed."""
+    each round. Every round is a job, so this is for comparison and for few rounds, not for speed.
+
+    With files that can be mapped and a pool that has room for all nodes there is a round for every beam of the nodes. Then
+    a query's coordinator is a task: it keeps the pool as marks (expanded_all) and reads its rounds' nodes in the
+    partitions' files. Answers, rounds, I/Os and comparisons are the same."""
     spark = nodes.sparkSession
+    if files is not None and holds_all(files, p.size):
+        given = spark.sparkContext.broadcast((book, seeds))
+
+        def coordinated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (book, seeds), whole = given.value, everything(files, p.size)
+            for b in batches:
+                qids, q = b.column(0).to_pylist(), matrix(b.column(1))
+                for at in range(0, len(qids), STEP_QUERIES):
+                    some, rows = q[at : at + STEP_QUERIES], []
+                    for qid, x, table, first in zip(qids[at : at + STEP_QUERIES], some, book.table(some), seeds.of(some, p.seeds)):
+                        ids, d, *cost = whole.rounds(x, table, seeds.ids[first], p)
+                        rows += [(qid, int(i), float(y), *cost, 0, []) for i, y in zip(ids, d)]
+                    if rows:
+                        yield _answer(rows, _NAMES)
+
+        return queries.select("qid", F.col("vec").cast("array<double>")).repartition(spark.sparkContext.defaultParallelism, "qid").mapInArrow(coordinated, RESULT)
+
     frame = book.frame(spark)
     o = book.offsets
     mean = F.array(*(F.lit(float(x)) for x in book.centroid))

@@ -194,7 +194,7 @@ class Index:
             raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
         q, p = self.prepare(queries), SearchParams(k if self.deleted is None else max(k, size), size, beam, seeds)
         at = getattr(self.deleted, "_stored_at", None)
-        if at and mode != "coordinator" and (mode not in ("state_send", "client_gather") or not moves and search.mapped(self.files())) and size >= self.nodes.count():
+        if at and (mode not in ("state_send", "client_gather", "coordinator") or not (moves and mode != "coordinator") and search.mapped(self.files())) and size >= self.nodes.count():
             p = replace(p, k=k, gone=at)  # all is expanded, and workers leave them out themselves
         if mode in ("single", "full_precision"):
             found = search.single(q, self.whole(), p, exact=mode == "full_precision")
@@ -203,7 +203,7 @@ class Index:
         elif mode == "scatter_top_n":
             found = search.scatter(q, self.local_files(), self.entries, self.book, p, knn.route(q, self.medoids, top_n))
         elif mode == "coordinator":
-            found = search.coordinator(q, self.nodes, self.book, self.seeds(), p)
+            found = search.coordinator(q, self.nodes, self.book, self.seeds(), p, self.files() if size >= self.nodes.count() else None)
         else:
             found = search.state_send(q, self.nodes, self.book, self.seeds(), p, mode == "client_gather", self.files(), round_robin, moves)
         if self.deleted is not None:
