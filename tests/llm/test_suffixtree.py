@@ -143,3 +143,19 @@ def test_empty_and_wordless_tables(spark):
     assert suffixtree.score(d.limit(0)).count() == 0
     got = suffixtree.score(d).collect()
     assert {r.n_tokens for r in got} == {1} and all(r.score <= 0 for r in got)
+
+
+def test_questions_take_few_bytes_in_many_buckets(spark):
+    """Symbols, contexts and their counts are small in messages, into however many buckets a block's questions are dealt."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(4000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 200), 4000) - 1])) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    shuffled = lambda: sum(at.apply(i).totalShuffleWrite() for at in [spark.sparkContext._jsc.sc().statusStore().executorList(True)] for i in range(at.size()))
+    before, partitions = shuffled(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")  # buckets too
+        assert suffixtree.score(d, 2).count() == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert shuffled() - before < 330_000
