@@ -201,8 +201,8 @@ class _Names(dict):
         return n
 
 
-def _blocks(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """Write the blocks, and ask for the counts of their words. Word 0 of each is the end."""
+def _blocks(docs: DataFrame, folder: str, words: str, buckets: int) -> DataFrame:
+    """Write the blocks and, apart, their words' names and shapes, which the first level alone reads; ask for the counts of the words. Word 0 of each is the end."""
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -219,7 +219,8 @@ def _blocks(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             hashes = np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))
             shape = np.concatenate([[END], shapes(pa.array(list(names)[1:], pa.binary()).cast(pa.string()))]).astype("<u2")
             # places by first occurrence are small for frequent words, so they take few bytes
-            _save(folder, block, {"doc": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids]), "held": out, "size": lengths, "word": flat, "shape": shape, "name": (hashes & MASK).astype(np.uint32)})
+            _save(folder, block, {"doc": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids]), "held": out, "size": lengths, "word": flat})
+            _save(words, block, {"shape": shape, "name": (hashes & MASK).astype(np.uint32)})
             bucket, order = _word_buckets(hashes & MASK, buckets)
             hashes, counts, shape, bucket = hashes[order], counts[order], shape[order], bucket[order]
             yield from _dealt(block, bucket, lambda x, y: _pack(hashes[x:y], counts[x:y], shape[x:y]))
@@ -431,35 +432,40 @@ def _add(sums: np.ndarray, size: np.ndarray, pos: np.ndarray, logs: np.ndarray)
     return sums + np.bincount(doc, logs, len(sums))
 
 
-def _first(blocks: str, folder: str, sums: tuple, model: tuple[int, int, int, int, int], buckets: int, hot: int) -> Callable:
+def _first(blocks: str, words: str, folder: str, sums: tuple, model: tuple[int, int, int, int, int], buckets: int, hot: int) -> Callable:
     """From the words' counts to symbols; the first level's questions."""
     frequent, contexts, total, distinct, symbols = model
     of_n, of_v = sums
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(it, 1):
-            s = _load(blocks, block)
-            parts, (bucket, order) = [_unpack(r[2], "<i8", "<i8", "<u4") for r in rows], _word_buckets(s["name"], buckets)
+            s, known = _load(blocks, block), _load(words, block)
+            parts, (bucket, order) = [_unpack(r[2], "<i8", "<i8", "<u4") for r in rows], _word_buckets(known["name"], buckets)
             c, n, rank = np.empty((3, len(order)), np.int64)
             c[order], n[order], rank[order] = (np.concatenate([x[i] for x in parts]) for i in range(3))
-            symbol = np.where(rank > 0, END + 1 + (rank - 1) * buckets + bucket, s["shape"])
+            symbol = np.where(rank > 0, END + 1 + (rank - 1) * buckets + bucket, known["shape"])
             shape = np.minimum(symbol, END)
             n, v = np.where(symbol <= END, of_n[shape], n), of_v[shape]
             base = np.log10((c + 1) / (total + distinct + 1))
             within = np.where(symbol < END, np.log10((c + 1) / (n + v + 1)), np.log10(np.maximum(c, 1) / np.maximum(n, 1)))
-            root = np.log10((n + 1) / (total + symbols))
+            root = _root(n, total + symbols)
             size, w = s["size"], s["word"]
             begin = np.cumsum(size) - size
             pos, x, total_at = _starts(s, symbol, n, contexts)
             rest = np.ones(len(w), bool)
             rest[pos] = False
             score = _add(np.add.reduceat(within[w], begin), size, np.flatnonzero(rest), root[w[rest]])
-            _save(folder, block, {"score": score, "known": np.add.reduceat((c > 0)[w].astype(np.int64), begin), "base": np.add.reduceat(base[w], begin), "symbol": symbol.astype(np.uint32), "often": n.astype("<i8"), "root": root})
+            _save(folder, block, {"score": score, "known": np.add.reduceat((c > 0)[w].astype(np.int64), begin), "base": np.add.reduceat(base[w], begin), "symbol": symbol.astype(np.uint32), "often": n.astype("<i8"), "root": np.array([total + symbols])})
             yield from _ask(block, s, x, pos, _pairs(x, None, pos, x[pos - 1], total_at, root[w[pos]], buckets, hot), hot)
 
     return run
 
 
+def _root(n: np.ndarray, total: int) -> np.ndarray:
+    """log10 of what the root says of symbols, by their training counts."""
+    return np.log10((n + 1) / total)
+
+
 def _starts(s: dict[str, np.ndarray], symbol: np.ndarray, n: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places whose symbol before is often enough, all symbols, how often it is for each place)."""
     w = s["word"]
@@ -475,7 +481,7 @@ def _answered(rows: list[tuple], blocks: str, base: str, folder: str, block: int
     texts, one = _load(blocks, block), _load(base, block)
     if level == 1:  # the pairs follow from the words once more, and needn't be kept
         pos, x, total = _starts(texts, one["symbol"], one["often"], contexts)
-        pairs, score = _pairs(x, None, pos, x[pos - 1], total, one["root"][texts["word"][pos]], buckets, hot)[0], one["score"]
+        pairs, score = _pairs(x, None, pos, x[pos - 1], total, _root(one["often"], one["root"][0])[texts["word"][pos]], buckets, hot)[0], one["score"]
     else:
         s = _load(folder, block)
         pos, score, x = np.cumsum(s["pos"], dtype=np.int64), s["score"], one["symbol"][texts["word"]]
@@ -534,8 +540,8 @@ def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, context
     to_buckets = lambda asked: asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
     to_blocks = lambda told: told.where("block is not null").select("bucket", "block", "data").repartition(n, "block").sortWithinPartitions("block", "bucket")
 
-    blocks, base = (_made(shared_dir(spark, x)) for x in ("blocks", "level-1"))
-    told = stored(to_buckets(_blocks(docs, blocks, buckets)).mapInArrow(lean(_word_counts(frequent)), ANSWER), "word-answers")
+    blocks, words, base = (_made(shared_dir(spark, x)) for x in ("blocks", "words", "level-1"))
+    told = stored(to_buckets(_blocks(docs, blocks, words, buckets)).mapInArrow(lean(_word_counts(frequent)), ANSWER), "word-answers")
     total, distinct, symbols, most = 0, 0, END + 1, 0
     of_n, of_v = np.zeros(END + 1, np.int64), np.zeros(END + 1, np.int64)
     # a row for each shape, and one for all frequent words
@@ -546,13 +552,13 @@ def score(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, context
         else:
             symbols += r.k
     model = (frequent, contexts, total, distinct, symbols)
-    step, old, new = _first(blocks, base, (of_n, of_v), model, buckets, hot), None, base
+    step, old, new = _first(blocks, words, base, (of_n, of_v), model, buckets, hot), None, base
     for level in range(1, depth + 1):
         # what blocks ask isn't stored: it is larger than the answers
         more = stored(to_buckets(to_blocks(told).mapInArrow(lean(step), MESSAGE)).mapInArrow(lean(_pair_counts(gain, hot, contexts if level < depth else np.inf)), ANSWER), "answers")
         forget(told)
-        if old not in (None, base):
-            _gone(old)
+        if old != base:
+            _gone(old or words)
         told, old = more, new
         judged = _hot_contexts(told, gain) if most >= hot else None  # a context's last symbol occurs as often at least
         if level < depth:
