@@ -2,11 +2,13 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
 from vecspark.llm import suffixtree
+from vecspark.runtime import shared_root
 
 
 def corpus():
@@ -159,3 +161,17 @@ def test_questions_take_few_bytes_in_many_buckets(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert shuffled() - before < 330_000
+
+
+def test_levels_keep_little_on_disk(spark, monkeypatch):
+    """The second level's logarithms follow from counts, so no file holds them for each block."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(4000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 200), 4000) - 1])) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder, sizes, forget = Path(shared_root(spark).removeprefix("file://"), "vecspark"), [], suffixtree.forget
+    kept = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    monkeypatch.setattr(suffixtree, "forget", lambda *tables: (sizes.append(kept()), forget(*tables)))
+    before = kept()
+    assert suffixtree.score(d, 2).count() == 1000
+    assert max(sizes) - before < 450_000
