@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -348,6 +349,39 @@ def test_deletes_tags_and_compaction(spark, points, built, tmp_path):
         assert got == want, mode
 
 
+def test_consolidated_graphs_lead_to_every_node(spark, points, built):
+    """Links are a chain, so two deleted neighbours break it and its later nodes lead to no earlier one: a pool of all nodes must still find all that stay, from wherever in the head a search begins."""
+    old = built.nodes
+    chain = old.select("id", F.when(F.col("id") < 239, F.array(F.col("id") + 1)).otherwise(F.array().cast("array<long>")).alias("nbrs"))
+    nodes = search.node_table(old.select("id", "vec"), chain, old.select("id", "codes"), old.select("id", "partition_id"))
+    gone = points.where("id % 10 < 2").select("id")
+    q = vec(points.where("id % 30 = 7"))
+    left = {r.id: np.array(r.vec) for r in points.where("id % 10 > 1").collect()}
+    want = {r.qid: [i for _, i in sorted((((v - np.array(r.vec)) ** 2).sum(), i) for i, v in left.items())[:20]] for r in q.collect()}
+    ix = replace(built, nodes=nodes, _files=None, _whole=None, _seeds=None).delete(gone).consolidated(BuildParams(4, 30, 60), compact=True)
+    ix.check()
+    assert ix.nodes.agg(F.max(F.size("nbrs"))).first()[0] <= 5
+    for mode in ("single", "state_send"):
+        got = {}
+        for r in ix.search(q, 20, 240, 8, mode).orderBy("qid", "dist", "id").collect():
+            got.setdefault(r.qid, []).append(r.tag)
+        assert got == want, mode
+
+
+def test_rooted_starts_lead_to_the_entry(spark):
+    """A ring whose entry nothing leads to gets one link, nodes without links one each."""
+    x = np.array([[0.0, 0.0]] + [[np.cos(a), np.sin(a) + 5] for a in range(6)] + [[50.0, float(i)] for i in range(7)])
+    links = [[1]] + [[i % 6 + 1] for i in range(1, 7)] + [[] for _ in range(7)]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    g = spark.createDataFrame(list(enumerate(links)), "id long, nbrs array<long>")
+    got = {r.id: r.nbrs for r in graph.rooted(g, v, 0, v.select("id")).collect()}
+    more = {i: got[i][len(n) :] for i, n in enumerate(links)}
+    assert all(got[i][: len(n)] == n for i, n in enumerate(links)) and [len(more[i]) for i in range(7, 14)] == [1] * 7
+    assert more[0] == [] and [m for i in range(1, 7) for m in more[i]] == [0]
+    nbrs = [np.array(got[i], np.int64) for i in range(14)]
+    assert all(graph.reachable(nbrs, i)[0] for i in range(14))
+
+
 def test_an_index_has_the_exact_medoids_of_large_partitions(spark):
     x = np.stack([np.random.default_rng(5).permutation(2600) / 2600, np.zeros(2600)], axis=1)  # so dense that any sample has another centre
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")

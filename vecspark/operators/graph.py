@@ -365,6 +365,28 @@ def connected(graph: DataFrame, vectors: DataFrame, entry: int, degree: int) ->
         seen = seen.unionByName(_reached(edges.join(seen.select(F.col("id").alias("n")), "n", "left_anti"), taken.select(F.col("n").alias("id"))))
 
 
+def rooted(graph: DataFrame, vectors: DataFrame, entry: int, starts: DataFrame) -> DataFrame:
+    """The graph (id, nbrs) with links by which each of starts (id) leads to the entry, so that searches from there see all that the entry leads to: id, nbrs. No list gets more than one link more.
+
+    A round links the starts nearest to the entry (by vectors: id, vec), each to the nearest that leads there, and four
+    times as many as the round before: one link brings most others along, unless they have nothing to do with each other."""
+    spark = graph.sparkSession
+    edges = stored(graph.select(F.explode("nbrs").alias("id"), F.col("id").alias("n")), "edges")  # turned round
+    first = spark.createDataFrame([(entry,)], "id long")
+    seen, some = _reached(edges, first), 1
+    while True:
+        lost = stored(starts.join(seen, "id", "left_anti").select("id"), "lost")
+        if lost.isEmpty():
+            return graph
+        one = vectors.join(first, "id").select(F.col("id").alias("qid"), "vec")
+        next_ = stored(knn.nearest(one, vectors.join(lost, "id").select("id", "vec"), some).select("id"), "next")
+        near = knn.nearest(vectors.join(next_, "id").select(F.col("id").alias("qid"), "vec"), vectors.join(seen, "id").select("id", "vec"), 1)
+        taken = stored(near.select(F.col("qid").alias("id"), F.col("id").alias("n")), "new-links")
+        graph = stored(graph.join(taken, "id", "left").select("id", F.when(F.col("n").isNull(), F.col("nbrs")).otherwise(F.concat("nbrs", F.array("n"))).alias("nbrs")), "rooted")
+        seen = seen.unionByName(_reached(edges.join(seen.select(F.col("id").alias("n")), "n", "left_anti"), taken.select("id")))
+        some *= 4
+
+
 def _reached(edges: DataFrame, front: DataFrame) -> DataFrame:
     """The ids that edges (id, n) lead to from front (id), front included."""
     seen = front = stored(front.distinct(), "level")

@@ -155,12 +155,16 @@ class Index:
         return replace(self, deleted=stored(graph.delete(self.deleted or none, ids, self.nodes), "deleted"))
 
     def consolidated(self, p: BuildParams = BuildParams(), compact: bool = False) -> Index:
-        """An index without the deleted ids, its links repaired; the entry anew if it was one of them, a head of what is left. compact: ids from 0 on without gaps, in the old ones' order; tags keep the names."""
+        """An index without the deleted ids, its links repaired; the entry anew, a head of what is left. As repairs and cuts lose nodes, the entry leads to every node again, and the head to the entry. compact: ids from 0 on without gaps, in the old ones' order; tags keep the names."""
         gone = self.deleted if self.deleted is not None else self.spark.createDataFrame([], "id long")
         kept = lambda t: t.join(gone.select("id"), "id", "left_anti")
         vectors, codes, homes = (stored(kept(self.nodes).select("id", c), f"kept-{c}") for c in ("vec", "codes", "partition_id"))
         graphs = {n: stored(graph.consolidate(getattr(self, n).select("id", "vec", "nbrs"), gone, p).select("id", "nbrs"), f"{n}-links") for n in ("nodes", "local")}
         head = None if self.head is None else kept(self.head).select("id")
+        entry = cluster.entry_point(vectors).first().id
+        if head is not None:
+            graphs["nodes"] = graph.rooted(graphs["nodes"], vectors, entry, head)
+        graphs["nodes"] = graph.connected(graphs["nodes"], vectors, entry, p.degree)
         entries = kept(self.entries)
         lost = self.entries.join(entries, "partition_id", "left_anti").select("partition_id")
         centre = cluster.medoids(vectors.join(homes, "id").join(lost, "partition_id"), "partition_id").select("partition_id", "id")
@@ -177,11 +181,11 @@ class Index:
                 edges = name(name(g.select("id", F.posexplode("nbrs").alias("p", "n"))), "n").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("e"))
                 graphs[k] = stored(vectors.select("id").join(edges, "id", "left").select("id", F.coalesce(F.transform("e", lambda x: x["n"]), F.array().cast("array<long>")).alias("nbrs")), f"{k}-links")
             head = name(head) if head is not None else None
+            entry = None if entry is None else named.where(F.col("id") == entry).first().new
         nodes = stored(search.node_table(vectors, graphs["nodes"], codes, homes), "nodes")
         local = stored(search.node_table(vectors, graphs["local"], codes, homes), "local-nodes")
         if head is not None:
             head = stored(graph.build_shards(head.join(vectors, "id").withColumn("shard", F.lit(0)), "shard", BuildParams(min(32, p.degree), 64)).drop("shard"), "head")
-        entry = cluster.entry_point(vectors).first().id
         return Index(self.spark, self.metric, nodes, local, entries, self.medoids, self.book, entry, self.max_norm, head, None, tags)
 
     # --- search ----------------------------------------------------------------------------------------------------
